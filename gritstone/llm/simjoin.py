@@ -227,7 +227,7 @@ def _in_blocks(members: DataFrame, settings: JoinSettings) -> DataFrame:
     copies = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     copies = copies.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "bits")
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         own, n, bits = (group.column(c).to_numpy() for c in ("own", "n", "bits"))
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)

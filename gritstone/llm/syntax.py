@@ -30,6 +30,7 @@ ENDINGS = {
 LANGUAGE_OF = {e: name for name, endings in ENDINGS.items() for e in endings}
 
 CLOSES = {")": "(", "]": "[", "}": "{"}
+MARKS = ("<<<<<<<", ">>>>>>>", "=======", "|||||||")
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
 
 
@@ -42,18 +43,24 @@ class Broken(Exception):
     """Why and where a text is no valid file."""
 
 
+def conflicted(code: str) -> bool:
+    return any(m in code for m in MARKS) and CONFLICT.search(code) is not None
+
+
 def words(text: str) -> str:
     return "|".join(text.split())
 
 
 # --- JavaScript and TypeScript -------------------------------------------------
 
-_CODE = re.compile(r"[()\[\]{}'\"`/<#]")
-_PAIR = re.compile(r"[(\[{][\w$., :]*+[)\]}]")  # nothing inside to look at
 _STRING = {
-    "'": re.compile(r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"),
-    '"': re.compile(r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"'),
+    "'": re.compile(r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'"),
+    '"': re.compile(r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*+"'),
 }
+# Plain code, then a pair of delimiters without anything inside to look at, a string, or one telling character.
+_STEP = re.compile(
+    r"[^()\[\]{}'\"`/<#]*+(?:(\([\w$., :]*+\)|\[[\w$., :]*+\]|\{[\w$., :]*+\})|(" + _STRING["'"].pattern + "|" + _STRING['"'].pattern + r")|([\s\S]))"
+)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/")
@@ -86,6 +93,10 @@ def _out_of_place(code: str, typed: bool) -> bool:
     prefix, infix = (_TS_PREFIX, _TS_INFIX) if typed else (_JS_PREFIX, _JS_INFIX)
     for line in code.split("\n"):
         parts = line.split()
+        if parts and (parts[0] in _FOREIGN or parts[0][0] == "#" and not parts[0][1:2].isalpha() and parts[0][1:2] not in ("_", "$", "!")):
+            return True
+        if len(parts) > 1 and parts[-1][-1] == ":" and parts[0] in ("if", "while", "for") and parts[1][0] != "(":
+            return True
         for a, b in zip(parts, parts[1:]):
             if a not in prefix and b not in infix and (a[-1].isalnum() or a[-1] in '_$"]') and (b[0].isalnum() or b[0] in '_$"'):
                 left = _LEFT.search(a).group()
@@ -97,7 +108,7 @@ def _out_of_place(code: str, typed: bool) -> bool:
 _JS_ONLY = re.compile(r"\(\s*[A-Za-z_$][\w$]*\s*\??:\s*[A-Za-z_$\[{(\"]|(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*:|\)\s*:\s*[\w$<>\[\]|. ]+\s*(?:=>|\{)|\bas\s+(?:const|[A-Z]|string|number|any|unknown)")
 _FIRST = re.compile(r"\s*\{\s*(?:\"\"\s*:|\})")
 _PREMATURE = re.compile(r"(?:[=+*%&|^<>?:,.(\[{~!-]|(?<![\w$])(?:return|const|let|var|function|class|import|export|new|typeof|extends|if|while|for|else))\s*\Z")
-_FOREIGN = re.compile(r"^[ \t]*#(?![\w$!])|^[ \t]*(?:foreach|elif|elseif|unless|def|echo|fi|done|esac)\b(?!\s*[:=.,)\]}])|^[ \t]*[\w$]+\([^()\n]*\)[ \t]*:[ \t]*$|^[ \t]*(?:if|while|for)\s+[\w$!\"]|^\s*@\s|^[ \t]*%", re.M)
+_FOREIGN = frozenset("foreach elif elseif unless def echo fi done esac".split())
 
 
 def _operand_next(out: list[str]) -> bool:
@@ -185,14 +196,20 @@ def js_skeleton(src: str, markup: bool) -> str:
                 tags[-1].append(name)
                 return in_tag(at)
 
-    search, pair = _CODE.search, _PAIR.match
-    while (m := search(src, pos)) is not None:
-        i = m.start()
+    step = _STEP.match
+    while (m := step(src, pos)) is not None:
+        kind = m.lastindex
+        if kind == 1:
+            pos = m.end()
+            continue
+        i = m.start(kind)
+        if kind == 2:
+            out.append(src[last:i])
+            out.append('""')
+            pos = last = m.end()
+            continue
         c = src[i]
         if c in "([{":
-            m = pair(src, i)
-            if m is not None and CLOSES[src[(pos := m.end()) - 1]] == c:
-                continue
             stack.append(c)
             pos = i + 1
             continue
@@ -211,12 +228,8 @@ def js_skeleton(src: str, markup: bool) -> str:
             continue
         out.append(src[last:i])
         if c == "'" or c == '"':
-            m = _STRING[c].match(src, i)
-            if m is None:
-                raise Broken("unterminated string")
-            out.append('""')
-            pos = m.end()
-        elif c == "`":
+            raise Broken("unterminated string")
+        if c == "`":
             depth.append(out)
             pos = template(i + 1)
         elif c == "/":
@@ -266,13 +279,13 @@ def js_skeleton(src: str, markup: bool) -> str:
 def check_js(src: str, language: str) -> None:
     markup = language != "typescript"
     code = js_skeleton(src, markup)
-    if CONFLICT.search(code):
+    if conflicted(code):
         raise Broken("conflict marker")
     if _FIRST.match(code) and '"' in code:
         raise Broken("data, not code")
     if _PREMATURE.search(code.rstrip()[-40:]):
         raise Broken("premature end")
-    if _FOREIGN.search(code) or _out_of_place(code, language != "javascript"):
+    if _out_of_place(code, language != "javascript"):
         raise Broken("token out of place")
     if language == "javascript" and _JS_ONLY.search(code):
         raise Broken("type annotation in JavaScript")
@@ -360,7 +373,7 @@ def php_skeleton(src: str) -> str:
 
 def check_php(src: str) -> None:
     code = php_skeleton(src)
-    if CONFLICT.search(src if not code else code):
+    if conflicted(code or src):
         raise Broken("conflict marker")
     body = code.rstrip()
     if body and body[-1] not in ";}":
@@ -408,7 +421,7 @@ def py_skeleton(src: str) -> str:
 
 
 def check_python(src: str) -> None:
-    if CONFLICT.search(py_skeleton(src)):
+    if conflicted(py_skeleton(src)):
         raise Broken("conflict marker")
     try:
         with warnings.catch_warnings():
