@@ -36,7 +36,10 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Repartition to the session's shuffle width before Python work.
 
     A small file gives few scan splits; without this a few tasks would do all the
-    Python work. With columns given, equal values go to one partition.
+    Python work. A table of many files is read by many tasks anyway, and its rows
+    are not moved. With columns given, equal values go to one partition.
     """
     n = shuffle_partitions(df.sparkSession)
+    if not columns and 2 * len(df.inputFiles()) >= n:
+        return df
     return df.repartition(n, *[F.col(c) for c in columns]) if columns else df.repartition(n)
