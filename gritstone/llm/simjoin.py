@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from gritstone.session import checkpointed, spread
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-COORDINATES = 32  # minwise tokens a path can branch on
-SKETCH_BITS = 64
+COORDINATES = 24  # minwise tokens a path can branch on
+WORDS = 2  # 64-bit words of a sketch
+SKETCH_BITS = 64 * WORDS
+BITS = [f"bits{k}" for k in range(WORDS)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(1, 2**63, SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,7 +39,7 @@ _ADD = _RNG.integers(1, 2**63, SKETCH_BITS, dtype=np.uint64)
 class JoinSettings:
     similarity: float = 0.8
     shingle: int = 5
-    trees: int = 9
+    trees: int = 6
     leaf: int = 48  # nodes of so many records or fewer are compared exhaustively
     depth: int = 7  # nodes still larger at this depth are compared in blocks
     block: int = 2048
@@ -117,55 +119,66 @@ def _sketches(width: int):
                 continue
             starts = np.append(starts[:-1][full], len(h))
             signature = np.empty((len(full), COORDINATES), np.uint32)
-            bits = np.zeros(len(full), np.uint64)
+            bits = np.zeros((WORDS, len(full)), np.uint64)
             with np.errstate(over="ignore"):
                 for j in range(SKETCH_BITS):
                     low = np.minimum.reduceat(h * _ODD[j] + _ADD[j], starts[:-1])
                     if j < COORDINATES:
                         signature[:, j] = (mix(low) >> np.uint64(32)).astype(np.uint32)
-                    bits |= (mix(low ^ _GOLD) >> np.uint64(63)) << np.uint64(j)
+                    bits[j // 64] |= (mix(low ^ _GOLD) >> np.uint64(63)) << np.uint64(j % 64)
                 h1, h2 = set_keys(h, starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(full)), pa.array(h1), pa.array(h2), pa.array(bits.view(np.int64)), _binary(signature)],
-                ["id", "h1", "h2", "bits", "signature"],
+                [batch.column(0).take(pa.array(full)), pa.array(h1), pa.array(h2), *[pa.array(b) for b in bits.view(np.int64)], _binary(signature)],
+                ["id", "h1", "h2", *BITS, "signature"],
             )
 
     return run
 
 
-def _branches(similarity: float, seeds: list[int] | None):
-    """Children of nodes. Rows are (node, n, bits, signature); with seeds, (n, bits, signature) start the trees."""
+def _branches(similarity: float, trees: int | None):
+    """Children of nodes. Rows are (node, n, sketch, signature); with a number of trees they start there.
+
+    Roots draw their tokens from one deck, so no two trees begin with the same one
+    while the deck lasts. Deeper nodes draw by their own hash.
+    """
     whole, part = divmod(1 / similarity, 1)
+    deck = np.random.default_rng(7).permutation(COORDINATES)
+
+    def children(node, at: np.ndarray, signature: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        token = signature[rows, at.astype(np.int64)].astype(np.uint64) | (at.astype(np.uint64) << np.uint64(32))
+        return mix(node * _GOLD + mix(token)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, bits = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "bits"))
+            n, *bits = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", *BITS))
             raw = batch.column(batch.schema.get_field_index("signature"))
             signature = np.frombuffer(b"".join(raw.to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            if seeds is None:
-                starts = [batch.column(0).to_numpy().view(np.uint64)]
-            else:
-                starts = [np.full(len(n), seed, np.uint64) for seed in seeds]
+            every = np.arange(len(n))
             out: list[tuple] = []
             with np.errstate(over="ignore"):
-                for node in starts:
+                if trees is not None:
+                    for draw in range(round(trees / similarity)):
+                        node = mix(np.full(len(n), draw // COORDINATES + 1, np.uint64) * _GOLD)
+                        out.append((children(node, np.full(len(n), deck[draw % COORDINATES]), signature, every), n, *bits))
+                else:
+                    node = batch.column(0).to_numpy().view(np.uint64)
                     first = mix(node ^ np.uint64(0xA5A5)) % np.uint64(COORDINATES)
-                    step = mix(node ^ np.uint64(0x5A5A)) % np.uint64(COORDINATES // 2) * np.uint64(2) + np.uint64(1)
+                    step = mix(node ^ np.uint64(0x5A5A)) % np.uint64(COORDINATES - 1) + np.uint64(1)
                     more = (mix(node ^ np.uint64(0xC3C3)) >> np.uint64(11)).astype(np.float64) / 2**53 < part
                     for t in range(int(whole) + 1):
-                        rows = np.arange(len(n)) if t < whole else np.flatnonzero(more)
+                        rows = every if t < whole else np.flatnonzero(more)
                         at = (first[rows] + np.uint64(t) * step[rows]) % np.uint64(COORDINATES)
-                        token = signature[rows, at.astype(np.int64)].astype(np.uint64) | (at << np.uint64(32))
-                        out.append((mix(node[rows] * _GOLD + mix(token)).view(np.int64), n[rows], bits[rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "n", "bits"])
+                        out.append((children(node[rows], at, signature, rows), n[rows], *[b[rows] for b in bits]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "n", *BITS])
 
     return run
 
 
-def _agreeing(bits: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
-    return SKETCH_BITS - np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) >= least
+def _agreeing(bits: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+    apart = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in bits)
+    return SKETCH_BITS - apart >= least
 
 
 def _least_agreement(settings: JoinSettings) -> int:
@@ -177,7 +190,7 @@ def _compare(settings: JoinSettings):
     """Over rows sorted by node: candidate pairs of small nodes (over false), members of large ones (over true)."""
     least = _least_agreement(settings)
 
-    def small(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def small(node: np.ndarray, n: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.arange(len(node))
         for gap in range(1, settings.leaf):
             at = at[at + gap < len(node)]
@@ -190,9 +203,10 @@ def _compare(settings: JoinSettings):
                 yield _pairs(np.minimum(a, b), np.maximum(a, b), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.empty(0, np.int64)] * 3, None
+        none = [np.empty(0, np.int64)] * (2 + WORDS)
+        held, large = none, None
         for batch in batches:
-            node, n, bits = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(held))
+            node, n, *bits = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(held))
             if not len(node):
                 continue
             starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
@@ -200,16 +214,16 @@ def _compare(settings: JoinSettings):
             over = np.repeat((sizes > settings.leaf) | (node[starts] == (node[0] if large is None else large)) & (large is not None), sizes)
             last = starts[-1]
             if over[last]:
-                large, held = node[last], [np.empty(0, np.int64)] * 3
+                large, held = node[last], none
                 cut = len(node)
             else:
                 large, cut = None, last
-                held = [node[cut:], n[cut:], bits[cut:]]
+                held = [x[cut:] for x in (node, n, *bits)]
             big = np.flatnonzero(over[:cut])
             if len(big):
                 yield _pairs(node[big], n[big], True)
             few = np.flatnonzero(~over[:cut])
-            yield from small(node[few], n[few], bits[few])
+            yield from small(node[few], n[few], *[b[few] for b in bits])
         yield from small(*held)
 
     return run
@@ -225,10 +239,10 @@ def _in_blocks(members: DataFrame, settings: JoinSettings) -> DataFrame:
     sizes = members.groupBy("node").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
     placed = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
     copies = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    copies = copies.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "bits")
+    copies = copies.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", *BITS)
 
     def run(key, group):
-        own, n, bits = (group.column(c).to_numpy() for c in ("own", "n", "bits"))
+        own, n, *bits = (group.column(c).to_numpy() for c in ("own", "n", *BITS))
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
@@ -245,9 +259,9 @@ def _in_blocks(members: DataFrame, settings: JoinSettings) -> DataFrame:
 
 def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
     """Distinct pairs (a, b), a < b, of class numbers that share a small node of a tree and agree in sketch."""
-    node_schema, pair_schema = "node long, n long, bits long", "a long, b long, over boolean"
-    seeds = [int(x) for x in mix(np.arange(1, settings.trees + 1, dtype=np.uint64) * _GOLD)]
-    rows = classes.select("n", "bits", "signature").mapInArrow(_branches(settings.similarity, seeds), node_schema)
+    sketch = ", ".join(f"{b} long" for b in BITS)
+    node_schema, pair_schema = f"node long, n long, {sketch}", "a long, b long, over boolean"
+    rows = classes.select("n", *BITS, "signature").mapInArrow(_branches(settings.similarity, settings.trees), node_schema)
     found: list[DataFrame] = []
     for depth in range(settings.depth):
         compared = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(settings), pair_schema)
@@ -257,9 +271,9 @@ def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
         if large.isEmpty():
             break
         if depth == settings.depth - 1:
-            found.append(_in_blocks(large.join(classes.select("n", "bits"), "n").select("node", "n", "bits"), settings))
+            found.append(_in_blocks(large.join(classes.select("n", *BITS), "n").select("node", "n", *BITS), settings))
             break
-        rows = large.join(classes.select("n", "bits", "signature"), "n").select("node", "n", "bits", "signature")
+        rows = large.join(classes.select("n", *BITS, "signature"), "n").select("node", "n", *BITS, "signature")
         rows = rows.mapInArrow(_branches(settings.similarity, None), node_schema)
     out = found[0]
     for more in found[1:]:
@@ -282,9 +296,9 @@ def _grams(width: int):
             with np.errstate(over="ignore"):
                 h1, h2 = set_keys(h, starts)
             same = (h1 == batch.column(2).to_numpy()[full]) & (h2 == batch.column(3).to_numpy()[full])
-            n = batch.column(1).to_numpy()[full][same]
+            rows = pa.array(full[same])
             grams = [h[a:b].tobytes() for a, b, ok in zip(starts[:-1], ends, same, strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(grams, pa.binary())], ["n", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(4).take(rows), pa.array(grams, pa.binary())], ["n", "rep", "grams"])
 
     return run
 
@@ -293,45 +307,42 @@ def _exact(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(u) + len(v) - len(np.union1d(u, v))
                 out.append(both / (len(u) + len(v) - both))
             out = np.array(out, np.float64)
             keep = pa.array(out >= similarity)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(out[out >= similarity])], ["a", "b", "jaccard"]
-            )
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).filter(keep) for k in range(4)], pa.array(out[out >= similarity])], ["a", "b", "a_rep", "b_rep", "jaccard"])
 
     return run
 
 
 def similarity_join(records: DataFrame, settings: JoinSettings = JoinSettings()) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes and the members of classes of ``records`` (id, text).
-
-    Returns ``links`` (a, b, jaccard), a < b by number, of class numbers whose
-    shingle sets have at least the similarity, and ``members`` (id, n). Records
-    with a null id or text, or too short for one shingle, belong to no class.
-    Repeated rows count once; an id with several texts is a member of several
-    classes. Other columns are ignored.
+    """Links between classes and the members of classes of ``records`` (id, text).
+
+    Returns ``links`` (a, b, a_rep, b_rep, jaccard), a < b by number, of classes
+    whose shingle sets have at least the similarity, with the smallest id of each,
+    and ``members`` (n, id) of the classes of two ids and more. Records with a null
+    id or text, or too short for one shingle, belong to no class. Repeated rows
+    count once; an id with several texts is a member of several classes. Other
+    columns are ignored.
     """
     clean = records.select("id", "text").filter("id is not null and text is not null")
-    sketched = spread(clean).mapInArrow(_sketches(settings.shingle), "id string, h1 long, h2 long, bits long, signature binary")
-    sketched = checkpointed(sketched)
-    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("signature").alias("signature"))
+    schema = f"id string, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, signature binary"
+    sketched = checkpointed(spread(clean).mapInArrow(_sketches(settings.shingle), schema))
+    classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in (*BITS, "signature")])
     classes = checkpointed(classes.withColumn("n", F.monotonically_increasing_id()))
     pairs = checkpointed(candidate_classes(classes, settings))
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "n", "left_semi").select(F.col("rep").alias("id"), "n", "h1", "h2")
-    grams = clean.join(wanted, "id").select("text", "n", "h1", "h2").mapInArrow(_grams(settings.shingle), "n long, grams binary")
+    wanted = classes.select("n", F.col("rep").alias("id"), "h1", "h2").join(wanted, "n", "left_semi")
+    grams = clean.join(wanted, "id").select("text", "n", "h1", "h2", F.col("id").alias("rep")).mapInArrow(_grams(settings.shingle), "n long, rep string, grams binary")
     grams = checkpointed(grams.dropDuplicates(["n"]))
-    links = (
-        pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(grams.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
-        .select("a", "b", "ga", "gb")
-        .mapInArrow(_exact(settings.similarity), "a long, b long, jaccard double")
-    )
-    members = sketched.select("id", "h1", "h2").distinct().join(classes.select("h1", "h2", "n"), ["h1", "h2"]).select("id", "n")
+    left, right = (grams.select(F.col("n").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("grams").alias(f"g{x}")) for x in "ab")
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "a_rep", "b_rep", "ga", "gb")
+    links = links.mapInArrow(_exact(settings.similarity), "a long, b long, a_rep string, b_rep string, jaccard double")
+    several = classes.filter("last <> rep").select("h1", "h2", "n")
+    members = sketched.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("n", "id").distinct()
     return links, members
 
 
@@ -348,8 +359,8 @@ def found_pairs(functions: DataFrame, settings: JoinSettings = FUNCTIONS) -> Dat
     long = functions.filter(F.size("toks") >= MIN_TOKENS).select("id", F.col("source").alias("text"))
     links, members = similarity_join(long, settings)
     members = checkpointed(members)
-    left, right = members.toDF("a_id", "a"), members.toDF("b_id", "b")
-    across = links.join(left, "a").join(right, "b").select("a_id", "b_id")
+    left, right = members.toDF("a", "a_id"), members.toDF("b", "b_id")
+    across = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a_id", "a_rep").alias("x"), F.coalesce("b_id", "b_rep").alias("y"))
     within = left.join(right, (F.col("a") == F.col("b")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
-    ordered = across.filter("a_id <> b_id").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
+    ordered = across.filter("x <> y").select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
     return ordered.union(within).distinct()
