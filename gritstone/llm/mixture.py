@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gritstone.llm.tokens import BYTE_BPE, TOKENIZERS, token_counts
 from gritstone.session import checkpointed, shuffle_partitions
 
+LARGE = 500  # a record is large above a 500th of its source, so a source has fewer large ones than that
 FAN = 16  # open records joined in one step of the tree
 SEED = 20240601
 _EPS = 1e-9
@@ -107,20 +108,32 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
 
     ``sizes`` is (doc_id, source, tokens). Records without tokens, without a source
     or of a source without a target are not drawn; no record is drawn more often
-    than max_repeats says. Buckets of a source hold about as many records each,
+    than max_repeats says. Large records, of which a source has a bounded number,
+    are rounded first; the rate of the others makes up for what those got too much
+    or too little. Buckets of a source hold about as many records each,
     however large it is; their number follows the row count.
     """
     sizes = checkpointed(sizes.filter("source is not null and tokens > 0"))
-    rates = plan(sizes, targets, total).filter("rate > 0").select("source", "rate")
-    rows = sizes.join(F.broadcast(rates), "source")
+    # One row per source of targets.
+    rates = checkpointed(plan(sizes, targets, total).filter("rate > 0").select("source", "rate", "max_repeats", F.col("tokens").alias("all")))
+    rows = sizes.join(F.broadcast(rates.select("source", "rate", "all")), "source")
+    is_large = F.col("tokens") * LARGE > F.col("all")
     whole = F.floor(F.col("rate") + _EPS)
+    parts = [whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("fraction")]
+    large = rows.filter(is_large).select("source", F.lit(0).cast("long").alias("bucket"), "doc_id", "tokens", *parts)
+    large = checkpointed(large.groupBy("source").applyInArrow(_round_group(True, seed), _STATE))
+    got = large.groupBy("source").agg(F.sum(F.col("tokens") * (F.col("whole") + F.col("fraction"))).alias("got"), F.sum("tokens").alias("big"))
+    left = rates.join(F.broadcast(got), "source", "left").fillna(0, ["got", "big"])
+    rest = F.least(F.greatest((F.col("rate") * F.col("all") - F.col("got")) / (F.col("all") - F.col("big")), F.lit(0.0)), F.col("max_repeats").cast("double"))
+    left = left.filter(F.col("all") > F.col("big")).select("source", "all", rest.alias("rate"))
+    rows = sizes.join(F.broadcast(left), "source").filter(~is_large)
     per_bucket = 20_000
     buckets = max(shuffle_partitions(sizes.sparkSession), sizes.count() // per_bucket + 1)
     rows = rows.select(
-        "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).alias("bucket"), "doc_id", "tokens", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("fraction")
+        "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).alias("bucket"), "doc_id", "tokens", *parts
     )
     is_open = (F.col("fraction") > _EPS) & (F.col("fraction") < 1 - _EPS)
-    settled = []
+    settled = [large]
     level, size = rows, buckets
     while True:
         final = size == 1

@@ -22,6 +22,7 @@ BINS_PER_GRADE = 10
 GRADES = 60
 LEVELS = 5
 HARD = 4
+UNLABELLED = (6.0, 9.0, 13.0, 16.0)  # school grades at which levels 2 to 5 begin where no label says otherwise
 MIN_WORDS = 3
 
 _FENCE = re.compile(r"^(?P<f>`{3,}|~{3,})[^\n]*\n(?:[\s\S]*?^(?P=f)[ \t]*$|[\s\S]*\Z)", re.M)
@@ -81,7 +82,7 @@ def prose(text: str) -> list[str]:
 @cache
 def _rules() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     silent = re.compile(r"(?:[^laeiouy]es|[^tdaeiouy]ed|[^laeiouy]e|que|gue)$")
-    split = re.compile(r"ia(?!n[cs]|l|r[dt])|io(?!n|u)|eo(?!u)|ua(?!l|r[dt])|uo|ea(?=te|ti|to)|ie(?=t|nc)|ii|[aeiouy]ing$|ism$|[^aeiouy]le$|[^aeiouy]les$|[^aeiouy]led$")
+    split = re.compile(r"ia(?!n[cs]|l|r[dt])|io(?!n|u)|eo(?!u)|ua(?!l|r[dt])|uo|ea(?=te|ti|to)|ie(?=t|nc)|ii|[aeiouy]ing$|(?<=[rvn])ia(?=l)|ism$|[^aeiouy]led$")
     return silent, split, re.compile(r"[aeiouy]+")
 
 
@@ -107,7 +108,7 @@ def counts(paragraphs: list[str]) -> tuple[int, int, int, int, int, int, int]:
             sentences += 1
             for w in found:
                 low = w.lower()
-                n = sum(map(syllables, re.split(r"['’-]", low)))if not low.isalpha() else syllables(low)
+                n = sum(map(syllables, re.split(r"['’-]", low))) if not low.isalpha() else syllables(low)
                 words += 1
                 letters += len(w)
                 syl += n
@@ -164,12 +165,14 @@ def cut_points(graded: DataFrame, labels: DataFrame) -> list[float]:
     """Grades at which levels 2 to 5 begin, chosen for the fewest labels on the wrong side.
 
     All labels count, each by its own level; raters who disagree weigh against each
-    other. What reaches the driver is a histogram of fixed size. Levels without
-    labels begin where the one below does.
+    other. What reaches the driver is a histogram of fixed size. Without any
+    label the levels begin at fixed school grades.
     """
     at = F.least(F.greatest(F.floor(F.col("grade") * BINS_PER_GRADE), F.lit(0)), F.lit(GRADES * BINS_PER_GRADE - 1)).cast("int")
     rows = graded.join(labels.filter(F.col("level").between(1, LEVELS)).select("doc_id", "level"), "doc_id")
     seen: dict[tuple[int, int], int] = {(r["at"], r["level"]): r["n"] for r in rows.groupBy(at.alias("at"), "level").agg(F.count("*").alias("n")).collect()}
+    if not seen:
+        return list(UNLABELLED)
     points, floor = [], 0
     for level in range(2, LEVELS + 1):
         low = [0] * (GRADES * BINS_PER_GRADE)

@@ -83,7 +83,7 @@ _TS_INFIX = _JS_INFIX | frozenset("is implements satisfies keyof if".split())
 _LEFT = re.compile(r"[\w$.#@\"\]]+\Z")
 _RIGHT = re.compile(r"[\w$\"]+")
 _SYMBOLS = re.compile(
-    r"[-<?:;.=+*,(\[$\"](?:(?<=[^-]-)>|(?<=<)\?|(?<=\?)>|(?<=:):|(?<=;);;|(?<=\.)\.\.\.|(?<==)\s*[)\];,}]|(?<=[=+*,(\[])\s*;|(?<=\()\s*,"
+    r"[-<?:;.=+*,(\[$\"](?:(?<=[^-]-)>|(?<=<)\?|(?<=\?)>|(?<=:):|(?<=;);;|(?<=\.)\.\.\.|(?<==)\s*[)\];,}]|(?<=[=+*,\[])\s*;|(?<=\()\s*,"
     r"|(?<=,)\s*,(?![^\[\]]*\])|(?<=\$)\{|(?<=\")\"[\w$\"])"
 )
 
