@@ -99,6 +99,10 @@ def test_foreign_files(spark):
         "r1/src/small.ts": "export const t = [\n  1,\n  2,\n];\n" + "function f(a: string) { return a; }\n",
         "r1/src/long.ts": "const s = '" + "word " * 300 + "';\nfunction f(a: string) {\n  return s + a;\n}\n",
         "r1/vendors/own.py": HAND.format(2),
+        "r1/src/umd.js": ";(function (root, factory) {\n  if (typeof module === 'object') module.exports = factory();\n  else root.Lib = factory();\n}(this, function () {\n  return { a: 1 };\n}));\n",
+        "r1/src/single.py": '"""lib: helpers."""\n__version__ = "1.4"\n\n' + HAND.format(3),
+        "r1/src/__init__.py": '__version__ = "1.4"\n' + HAND.format(4),
+        "r1/src/mentions.js": "const wrap = (body) => '(function (root, factory) {' + body + '}(this));';\nexport default wrap;\n",
         "r1/empty.ts": "",
         "r1/config.json": "{}",
     }
@@ -108,11 +112,18 @@ def test_foreign_files(spark):
     rows = spark.createDataFrame(list(texts.items()) * 2 + [(None, "x"), ("x.ts", None)], "rel string, source string")
     got = {r.rel: r.label for r in provenance.labelled_files(rows).collect()}
     foreign = {k for k, v in got.items() if v != "handwritten"}
-    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js")} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
+    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js", "umd.js", "single.py")} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
     assert got["r1/src/data.ts"] == "blob" and got["r1/src/min.js"] == "minified" and "r1/config.json" not in got
     assert values(provenance.foreign_files(rows.limit(0))) == []
 
 
+def test_copies_are_seen_whichever_repositories_hold_them(spark):
+    copied = "".join(f"function part{k}(value) {{\n  return helper{k}(value.items[{k % 7}]);\n}}\n" for k in "abcdefgh".encode())
+    for first in range(0, 24, 4):
+        rows = spark.createDataFrame([(f"repo-{k}/lib/copy.js", copied) for k in range(first, first + 4)], "rel string, source string")
+        assert provenance.foreign_files(rows).count() == 4
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 VALID = [
