@@ -53,6 +53,13 @@ def masked(value: Column) -> Column:
     return F.concat(F.left(value, F.lit(4)), F.lit("...("), F.length(value).cast("string"), F.lit(" chars)"))
 
 
+def token_payload(token: Column) -> Column:
+    """The payload of a signed web token as JSON text, or null."""
+    middle = F.translate(F.split_part(token, F.lit("."), F.lit(2)), "-_", "+/")
+    padded = F.rpad(middle, (F.ceil(F.length(middle) / 4) * 4).cast("int"), F.lit("="))
+    return F.try_to_binary(padded, F.lit("base64")).cast("string")
+
+
 def without_ending(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 

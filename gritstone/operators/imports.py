@@ -30,11 +30,37 @@ def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
     """
     near = edges.filter(F.col("specifier").rlike(r"^\.\.?/") & F.col("from_rel").isNotNull())
     near = near.select("edge_id", joined_path(F.col("from_rel"), F.col("specifier")).alias("wanted"))
-    answers = files.select("rel").distinct().select("rel", F.posexplode(specifiers_of(F.col("rel"))).alias("pos", "wanted"))
+    return near.join(_answers(files), "wanted", "left").select("edge_id", F.col("best.rel").alias("target"))
+
+
+def _answers(files: DataFrame) -> DataFrame:
+    """(wanted, best): the file that each path without or with ending leads to."""
+    answers = files.select("rel").distinct().select("rel", F.explode(specifiers_of(F.col("rel"))).alias("wanted"))
     # The path itself, then other endings, then an index file of a folder; of equal ranks the smallest path.
     kind = F.when(F.col("wanted") == F.col("rel"), 0).when(F.col("rel").startswith(F.concat("wanted", F.lit("/"))), 2).otherwise(1)
-    best = answers.groupBy("wanted").agg(F.min(F.struct(kind.alias("kind"), "rel")).alias("best"))
-    return near.join(best, "wanted", "left").select("edge_id", F.col("best.rel").alias("target"))
+    return answers.groupBy("wanted").agg(F.min(F.struct(kind.alias("kind"), "rel")).alias("best"))
+
+
+def resolved_by_alias(edges: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]]) -> DataFrame:
+    """(edge_id, target) of edges whose specifier an alias (pattern with at most one star, targets) covers.
+
+    The pattern with the longest text before its star counts alone; its targets are
+    tried in order, each as in ``resolved``. None indexed gives a null target.
+    Aliases come from the configuration, so an edge has a few literal candidates.
+    """
+    spec = F.col("specifier")
+    choices = []
+    for pattern, targets in sorted(aliases, key=lambda a: -len(a[0].partition("*")[0])):
+        head, star, tail = pattern.partition("*")
+        fits = spec.startswith(head) & spec.endswith(tail) & (F.length(spec) >= len(head) + len(tail)) if star else spec == pattern
+        held = F.substring(spec, F.lit(len(head) + 1), F.length(spec) - len(head) - len(tail))
+        put = lambda t: F.concat(F.lit(t.partition("*")[0]), held, F.lit(t.partition("*")[2])) if "*" in t else F.lit(t)  # noqa: B023, E731
+        choices.append(F.when(fits, F.array(*map(put, targets))))
+    if not choices:
+        return edges.select("edge_id", F.lit(None).cast("string").alias("target")).limit(0)
+    tried = edges.select("edge_id", F.posexplode(F.coalesce(*choices)).alias("pos", "wanted"))
+    found = tried.join(_answers(files), "wanted", "left")
+    return found.groupBy("edge_id").agg(F.min_by("best.rel", F.when(F.col("best.rel").isNotNull(), F.col("pos"))).alias("target"))
 
 
 def dead_files(files: DataFrame, edges: DataFrame, entry_globs: list[str]) -> DataFrame:

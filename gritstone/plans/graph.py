@@ -13,6 +13,7 @@ ENTRIES = ["app/**", "**/app/**", "index.*", "**/index.*", "**/*.test.*", "**/te
 BOUNDARIES = [("server-from-lib", "*/lib/**", ["*/server/**"]), ("vendor-from-src", "*/src/**", ["*/vendor/**", "*/src/vendor/**"])]
 RULES = ["secret-exposed", "dead-export"]
 CAP = 3
+SINCE = "2024-01-03"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +105,9 @@ def cache_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newly_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events that a user has for the first time since SINCE, and whether they had any before."""
     ev = _events(spark, sf_dir).withColumn("user", F.col("user_id"))
-    return Q.newly(ev.filter("event_id % 10 = 1"), ev.filter("event_id % 10 = 0"), "user", "event_type")
+    return Q.newly(ev.filter(F.col("ts") >= SINCE), ev.filter(F.col("ts") < SINCE), "user", "event_type")
 
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +167,7 @@ ORACLE_SQL = {
     "changed_files": f"WITH {_F}, {_P} SELECT coalesce(c.rel, p.rel) AS rel, CASE WHEN p.rel IS NULL THEN 'added' WHEN c.rel IS NULL THEN 'gone' ELSE 'changed' END AS change FROM c FULL JOIN p ON c.rel = p.rel WHERE p.rel IS NULL OR c.rel IS NULL OR c.content_hash IS DISTINCT FROM p.content_hash",
     "surely_unchanged": f"WITH {_F}, {_P} SELECT c.rel FROM c JOIN p ON c.rel = p.rel AND c.size = p.size AND c.mtime = p.mtime WHERE c.size > 0 AND c.mtime > 0",
     "cache_serve": f"WITH {_F}, r AS (SELECT DISTINCT file AS rel, rule FROM findings WHERE rule IN ('secret-exposed', 'dead-export')) SELECT c.rel FROM c JOIN r ON c.rel = r.rel WHERE c.content_hash IS NOT NULL GROUP BY c.rel HAVING count(*) = 2",
-    "newly_skipped": "WITH n AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE event_id % 10 = 1), o AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE event_id % 10 = 0) SELECT n.user AS user, n.event_type AS event_type, n.user IN (SELECT user FROM o) AS known FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user = n.user AND o.event_type = n.event_type)",
+    "newly_skipped": "WITH n AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-03'), o AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03') SELECT n.user AS user, n.event_type AS event_type, n.user IN (SELECT user FROM o) AS known FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user = n.user AND o.event_type = n.event_type)",
     "event_runs": "WITH i AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, min(event_id) AS first, count(*) AS length FROM i GROUP BY user_id, event_type, g HAVING count(*) >= 3",
     "hook_rounds": "WITH m AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ep FROM events), n AS (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, ep ORDER BY ts, event_id) AS n FROM m) SELECT event_id, CAST(least(n, 3) AS BIGINT) AS round, n > 3 AS silent FROM n",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
