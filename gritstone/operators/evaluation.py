@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalar import jaccard
+from gritstone.functions.scalar import jaccard, shingles
 
+LOCAL = r"\b(?:const|let|var)\s+([A-Za-z_]\w*)"
 THRESHOLDS = [round(0.30 + 0.05 * k, 2) for k in range(14)]
 
 
@@ -68,3 +69,33 @@ def weighted_precision(labelled: DataFrame, population: DataFrame) -> DataFrame:
     each = labelled.groupBy("stratum").agg(F.avg(F.col("hit").cast("double")).alias("p"))
     rows = each.join(population.groupBy("stratum").agg(F.count("*").alias("n")), "stratum")
     return rows.agg(F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("precision"), F.count("*").alias("strata"))
+
+
+def planted(functions: DataFrame) -> DataFrame:
+    """(id, kind, source, planted): each function with four edited copies of itself.
+
+    rename: its first local name everywhere; insert: a statement after the first
+    line; literals: every number and quoted text; combined: all of them. A kind
+    that changes nothing in a function, and a null source, make no row.
+    """
+    rows = functions.select("id", "source").dropna().distinct()
+    name = F.regexp_extract("source", LOCAL, 1)
+    edits = {
+        "rename": lambda c: F.when(name != "", F.regexp_replace(c, F.concat(F.lit(r"\b"), name, F.lit(r"\b")), F.concat(name, F.lit("Planted")))).otherwise(c),
+        "insert": lambda c: F.regexp_replace(c, r"^([^\n]*\n)", "$1  plantedCall(plantedValue, 1);\n"),
+        "literals": lambda c: F.regexp_replace(F.regexp_replace(c, r"\b[0-9]+\b", "41"), r"'[^'\n]*'", "'planted'"),
+    }
+    edits["combined"] = lambda c: edits["insert"](edits["literals"](edits["rename"](c)))
+    copies = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e(F.col("source")).alias("planted")) for k, e in edits.items()]))
+    return rows.withColumn("copy", copies).select("id", "copy.kind", "source", "copy.planted").filter("planted <> source")
+
+
+def recall_by_kind(copies: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(kind, n, recall): the share of planted copies whose word runs are as alike as the threshold asks."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), 1)
+    # Columns of their own: inside a lambda an expression is worked out again for every element.
+    rows = copies.select("kind", words(F.col("source")).alias("a"), words(F.col("planted")).alias("b"))
+    rows = rows.select("kind", shingles(F.col("a"), width).alias("a"), shingles(F.col("b"), width).alias("b"))
+    alike = jaccard(F.col("a"), F.col("b"))
+    hit = F.when(alike >= threshold, 1.0).otherwise(0.0)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("recall"))

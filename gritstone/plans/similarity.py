@@ -10,6 +10,7 @@ from gritstone.session import table
 
 MIN_TOKENS = 40
 RECALL = 0.9
+PLANTED = 0.7
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,12 @@ def pair_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (structural_dupes, structure_hash, pair_buckets, duplicate_pairs, signature_scores, precision_recall_sweep, chosen_threshold, weighted_precision, gate_breakdown, pair_degrees)}
+def planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edited copies of each kind a similarity of 0.7 on three words in a row would find."""
+    return E.recall_by_kind(E.planted(table(spark, sf_dir, "function_records")), 3, PLANTED)
+
+
+QUERIES = {f.__name__: f for f in (structural_dupes, structure_hash, pair_buckets, duplicate_pairs, signature_scores, precision_recall_sweep, chosen_threshold, weighted_precision, gate_breakdown, pair_degrees, planted_recall)}
 
 _P = "p AS (SELECT concat_ws('|', least(a_id, b_id), greatest(a_id, b_id)) AS pair, bool_or(structural_match) AS structural_match, max(jaccard) AS jaccard, max(sig_sim) AS sig_sim, bool_or(sig_gate) AS sig_gate FROM candidate_pairs WHERE a_id IS NOT NULL AND b_id IS NOT NULL AND a_id <> b_id GROUP BY 1)"
 _B = "CASE WHEN coalesce(structural_match, false) THEN 'structural' WHEN jaccard >= 0.6 THEN 'high' WHEN jaccard >= 0.3 THEN 'low' ELSE 'below' END"
@@ -99,3 +105,18 @@ ORACLE_SQL = {
     "gate_breakdown": f"WITH {_P} SELECT {_B} AS bucket, count(*) FILTER (WHERE sig_gate) AS yes, count(*) FILTER (WHERE NOT sig_gate) AS no, count(*) FILTER (WHERE sig_gate IS NULL) AS unknown FROM p GROUP BY 1",
     "pair_degrees": "WITH r AS (SELECT a_id AS x, b_id AS y FROM candidate_pairs WHERE structural_match AND a_id <> b_id UNION SELECT b_id, a_id FROM candidate_pairs WHERE structural_match AND a_id <> b_id) SELECT x AS id, count(*) AS links FROM r GROUP BY x",
 }
+
+_RENAME = r"CASE WHEN n = '' THEN {0} ELSE regexp_replace({0}, '\b' || n || '\b', n || 'Planted', 'g') END"
+_LITERALS = r"regexp_replace(regexp_replace({0}, '\b[0-9]+\b', '41', 'g'), '''[^''\n]*''', '''planted''', 'g')"
+_INSERT = r"regexp_replace({0}, '^([^\n]*\n)', '\1  plantedCall(plantedValue, 1);' || chr(10))"
+_EDITS = {"rename": _RENAME.format("source"), "insert": _INSERT.format("source"), "literals": _LITERALS.format("source"), "combined": _INSERT.format(_LITERALS.format(_RENAME.format("source")))}
+_RUNS = "CASE WHEN len({0}) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len({0}) - 1, 2)), lambda i: array_to_string({0}[i:i + 2], chr(31)))) END"
+
+ORACLE_SQL["planted_recall"] = (
+    rf"WITH f AS (SELECT DISTINCT id, source, regexp_extract(source, '{E.LOCAL}', 1) AS n FROM function_records WHERE id IS NOT NULL AND source IS NOT NULL), "
+    f"c AS ({' UNION ALL '.join(f'SELECT source, {k!r} AS kind, {e} AS planted FROM f' for k, e in _EDITS.items())}), "
+    "w AS (SELECT kind, regexp_extract_all(lower(source), '[a-z0-9_]+') AS a, regexp_extract_all(lower(planted), '[a-z0-9_]+') AS b FROM c WHERE planted <> source), "
+    f"s AS (SELECT kind, {_RUNS.format('a')} AS a, {_RUNS.format('b')} AS b FROM w), "
+    "j AS (SELECT kind, len(list_intersect(a, b)) AS i, len(a) + len(b) - len(list_intersect(a, b)) AS u FROM s) "
+    "SELECT kind, count(*) AS n, round(avg(CASE WHEN u = 0 OR i / u >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM j GROUP BY kind"
+)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar
-from gritstone.operators import imports, regions
+from gritstone.operators import evaluation, imports, regions
 
 
 def values(df):
@@ -85,3 +85,16 @@ def test_token_payload(spark):
     rows = spark.createDataFrame([*[(t,) for t in tokens], ("x",), ("a.*.b",), (None,)], "t string")
     assert [r[0] for r in rows.select(scalar.token_payload(F.col("t"))).collect()][:3] == bodies
     assert [r[0] for r in rows.select(scalar.token_payload(F.col("t"))).collect()][4:] == [None, None]
+
+
+def test_planted_copies(spark):
+    body = "function f(a) {\n  const total = a.size;\n  let s = 'x';\n" + "".join(f"  call{k}(total, s, other{k});\n" for k in range(40)) + "  return total + 3;\n}"
+    rows = spark.createDataFrame([("f", body), ("f", body), ("g", "one line"), ("h", ""), ("n", None), (None, "x")], "id string, source string")
+    copies = {(r.id, r.kind): r.planted for r in evaluation.planted(rows).collect()}
+    assert set(copies) == {("f", k) for k in ("rename", "insert", "literals", "combined")}
+    assert "const totalPlanted = " in copies["f", "rename"] and "total," not in copies["f", "rename"]
+    assert copies["f", "insert"].split("\n")[1] == "  plantedCall(plantedValue, 1);"
+    assert "'planted'" in copies["f", "literals"] and "+ 41;" in copies["f", "literals"]
+    got = {r.kind: (r.n, r.recall) for r in evaluation.recall_by_kind(evaluation.planted(rows), 3, 0.7).collect()}
+    assert got["insert"] == (1, 1.0) and got["literals"] == (1, 1.0) and got["rename"] == (1, 0.0)
+    assert values(evaluation.recall_by_kind(evaluation.planted(rows.limit(0)), 3, 0.7)) == []
