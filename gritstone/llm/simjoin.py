@@ -1,10 +1,11 @@
 """Near-duplicate records with small edits: a chosen-path set similarity join.
 
-A record is the set of its word shingles. Independent trees branch on minwise
-tokens that the node itself picks, about 1/similarity of them, so two records
-above the similarity share a leaf of a tree about once. Nodes of few records are
-compared exhaustively, larger ones branch again, and those that do not shrink are
-compared in blocks. Pairs that survive a bit sketch are checked exactly.
+A record is the set of its word shingles. Roots draw minwise tokens, and deeper nodes
+branch on tokens they pick themselves, more than 1/similarity of them, so what two
+records above the similarity share does not die out on the way down. The number of
+root draws follows from a target recall at the deepest level. Nodes of few records
+are compared exhaustively, larger ones branch again, and those that do not shrink
+are compared in blocks. Pairs that survive a bit sketch are checked exactly.
 
 Equal shingle sets form one class first: a text copied a million times takes part
 once, and members come back only at the end.
@@ -15,6 +16,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from gritstone.session import checkpointed, spread
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-COORDINATES = 24  # minwise tokens a path can branch on
+COORDINATES = 32  # minwise tokens a path can branch on
 WORDS = 2  # 64-bit words of a sketch
 SKETCH_BITS = 64 * WORDS
 BITS = [f"bits{k}" for k in range(WORDS)]
@@ -39,12 +42,49 @@ _ADD = _RNG.integers(1, 2**63, SKETCH_BITS, dtype=np.uint64)
 class JoinSettings:
     similarity: float = 0.8
     shingle: int = 5
-    trees: int = 6
+    recall: float = 0.99  # of pairs at the similarity itself, were all nodes large down to the deepest level
+    growth: float = 1.5  # children that a pair at the similarity shares of a shared node, on average
     leaf: int = 48  # nodes of so many records or fewer are compared exhaustively
     depth: int = 7  # nodes still larger at this depth are compared in blocks
     block: int = 2048
     sketch_sigmas: float = 4.2  # how far under its expectation an agreement may fall
 
+    @property
+    def branching(self) -> float:
+        return self.growth / self.similarity
+
+    @property
+    def draws(self) -> int:
+        return root_draws(self.similarity, self.branching, self.depth, self.recall)
+
+
+def expected_recall(similarity: float, branching: float, depth: int, draws: int) -> float:
+    """The share of pairs at the similarity that share a node of the last of ``depth`` levels.
+
+    The tokens of a pair agree at a number of coordinates once for all trees, which
+    is binomial; given it, draws agree by that share, and what is shared of a node
+    is a branching process.
+    """
+    out = 0.0
+    for m in range(COORDINATES + 1):
+        p, dead = m / COORDINATES, 0.0
+        for _ in range(depth - 1):
+            child = 1 - p + p * dead
+            dead = child ** int(branching) * (1 - branching % 1 + branching % 1 * child)
+        out += comb(COORDINATES, m) * similarity**m * (1 - similarity) ** (COORDINATES - m) * (1 - (1 - p + p * dead) ** draws)
+    return out
+
+
+@cache
+def root_draws(similarity: float, branching: float, depth: int, recall: float) -> int:
+    """The fewest root draws with which the deepest level reaches the recall."""
+    draws = 1
+    while expected_recall(similarity, branching, depth, draws) < recall:
+        draws += 1
+        if draws > 8 * COORDINATES:
+            raise ValueError(f"{COORDINATES} tokens cannot reach a recall of {recall} at depth {depth}")
+    return draws
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 on unsigned integers."""
@@ -135,13 +175,13 @@ def _sketches(width: int):
     return run
 
 
-def _branches(similarity: float, trees: int | None):
-    """Children of nodes. Rows are (node, n, sketch, signature); with a number of trees they start there.
+def _branches(branching: float, draws: int | None):
+    """Children of nodes. Rows are (node, n, sketch, signature); with a number of root draws they start there.
 
     Roots draw their tokens from one deck, so no two trees begin with the same one
     while the deck lasts. Deeper nodes draw by their own hash.
     """
-    whole, part = divmod(1 / similarity, 1)
+    whole, part = divmod(branching, 1)
     deck = np.random.default_rng(7).permutation(COORDINATES)
 
     def children(node, at: np.ndarray, signature: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -158,8 +198,8 @@ def _branches(similarity: float, trees: int | None):
             every = np.arange(len(n))
             out: list[tuple] = []
             with np.errstate(over="ignore"):
-                if trees is not None:
-                    for draw in range(round(trees / similarity)):
+                if draws is not None:
+                    for draw in range(draws):
                         node = mix(np.full(len(n), draw // COORDINATES + 1, np.uint64) * _GOLD)
                         out.append((children(node, np.full(len(n), deck[draw % COORDINATES]), signature, every), n, *bits))
                 else:
@@ -261,7 +301,7 @@ def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
     """Distinct pairs (a, b), a < b, of class numbers that share a small node of a tree and agree in sketch."""
     sketch = ", ".join(f"{b} long" for b in BITS)
     node_schema, pair_schema = f"node long, n long, {sketch}", "a long, b long, over boolean"
-    rows = classes.select("n", *BITS, "signature").mapInArrow(_branches(settings.similarity, settings.trees), node_schema)
+    rows = classes.select("n", *BITS, "signature").mapInArrow(_branches(settings.branching, settings.draws), node_schema)
     found: list[DataFrame] = []
     for depth in range(settings.depth):
         compared = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(settings), pair_schema)
@@ -274,7 +314,7 @@ def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
             found.append(_in_blocks(large.join(classes.select("n", *BITS), "n").select("node", "n", *BITS), settings))
             break
         rows = large.join(classes.select("n", *BITS, "signature"), "n").select("node", "n", *BITS, "signature")
-        rows = rows.mapInArrow(_branches(settings.similarity, None), node_schema)
+        rows = rows.mapInArrow(_branches(settings.branching, None), node_schema)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

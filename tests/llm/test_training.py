@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,29 @@ def test_similar_functions(spark):
     assert values(simjoin.found_pairs(frame.limit(0))) == []
 
 
+def test_draws_reach_the_recall_at_the_deepest_level():
+    settings, pairs = simjoin.FUNCTIONS, 1500
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**32, (pairs, simjoin.COORDINATES), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < settings.similarity, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+    signature, n = np.concatenate([one, two]), np.arange(2 * pairs)
+    step, node = simjoin._branches(settings.branching, settings.draws), np.zeros(len(n), np.int64)
+    for _ in range(settings.depth):
+        zeros = pa.array(np.zeros(len(n), np.int64))
+        batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), *[zeros for _ in simjoin.BITS], simjoin._binary(signature[n])], ["node", "n", *simjoin.BITS, "signature"])
+        out = next(step(iter([batch])))
+        at = np.unique(np.stack([out.column(0).to_numpy(), out.column(1).to_numpy()]), axis=1)
+        # Only nodes with both records of a pair matter further down.
+        order = np.lexsort((at[1], at[1] % pairs, at[0]))
+        node, n = at[0][order], at[1][order]
+        both = np.flatnonzero((node[1:] == node[:-1]) & (n[1:] % pairs == n[:-1] % pairs))
+        both = np.union1d(both, both + 1)
+        node, n = node[both], n[both]
+        step = simjoin._branches(settings.branching, None)
+    # Three deviations under the target.
+    assert len(np.unique(n % pairs)) / pairs > settings.recall - 3 * (settings.recall * (1 - settings.recall) / pairs) ** 0.5
+
+
 # --- 3 ---------------------------------------------------------------------------
 
 HAND = "import os\n\ndef load_{0}(path):\n    with open(path) as f:\n        return f.read()\n\ndef save_{0}(path, data):\n    if data:\n        os.remove(path)\n    return len(data) + {0}\n"
