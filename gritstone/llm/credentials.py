@@ -146,6 +146,8 @@ def analyse(text: str) -> Line:
     for k in range(n):
         t, s = tokens[k], shapes[k]
         following = shapes[k + 1] if k + 1 < n else "$"
+        if quote in ("'", '"') and "\n" in text[found[k - 1][1] : found[k][0]]:
+            quote = ""  # only backticks go on over line ends
         if s[0] == "." and t in "'\"`":
             quote = "" if quote == t else quote or t
         if s == "scheme":
@@ -489,36 +491,96 @@ def trained(lines: int = TRAINING_LINES) -> Field:
 
 # --- over texts --------------------------------------------------------------------------
 
-_HINTS = ("password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "-----begin", "://")
-_SKIP_AFTER = {"token": ("iz",), "auth": ("or",), "pass": ("word", "wd", "phrase")}
+_HINTS = ("password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "dsn", "-----begin", "://")
+_SKIP_AFTER = {"token": re.compile("iz"), "auth": re.compile("or(?!iz)"), "pass": re.compile("word|wd|phrase")}
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _BASE64_LINE = re.compile(r"[ \t\"'+,]*[A-Za-z0-9+/=]{16,}[\\nr\"'+,; \t]*$")
 _USERINFO = re.compile(r"[^\s/'\"`@]*:[^\s/'\"`]*@")
+_COMMENT = re.compile(r"[ \t]*(//+|#+|--|\*(?!/)|;+)?[ \t]*")
+_STRING = r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\\n])*`"
+_BRACKETS = re.compile(_STRING + r"|(?P<rest>[ \t](?://|#[ \t]).*)|(?P<open>[(\[])|(?P<close>[)\]])")
+_OPEN_END = re.compile(r"(?:[+.\\(\[]|\|\||\?\?|\?:)$")  # an expression surely goes on
+_VALUE_END = re.compile(r"(?:[:=?]|=>)$")  # the next line is the value if it is but a literal
+_BLOCK_END = re.compile(r":[ \t]*[|>][-+]?\d?$")  # the more indented lines are the value
+_GOES_ON = re.compile(r"(?:\+|\.[ \t]*['\"]|\|\||\?\?|\?:|[?:][ \t]|=(?!=)|[ \t]*->)")
+_LITERAL = re.compile(rf"(?:{_STRING}|[^\s:'\"`(){{}}\[\]]+)[ \t]*[,;]?$")
+
+
+def _statement_end(text: str, start: int, end: int) -> int:
+    """Where the statement ends whose first line is given: behind the lines that hold the rest of its expression.
+
+    Lines go on while a round or square bracket of the statement is open, while one
+    ends or the next begins with an operator that joins, and over a literal alone
+    after a name. Commented-out lines go on in comments of the same kind. Empty and
+    comment lines are passed over in brackets and end it elsewhere, as do a brace and
+    a semicolon. A key block is a unit of its own.
+    """
+    depth, indent, prefix, block = 0, 0, None, False
+    while True:
+        line = text[start:end]
+        head = _COMMENT.match(line)
+        if prefix is None:
+            prefix, indent = head.group(1), len(line) - len(line.lstrip())
+        code, cut = line[head.end() :].rstrip(), None
+        for m in _BRACKETS.finditer(code):
+            if m.lastgroup == "rest":
+                cut = m.start()
+            elif m.lastgroup:
+                depth = max(depth + (1 if m.lastgroup == "open" else -1), 0)
+        code = code[:cut].rstrip()
+        if end >= len(text) or not block and code.endswith(("{", "}", ";")):
+            return end
+        stop = text.find("\n", end + 1)
+        stop = len(text) if stop < 0 else stop
+        line = text[end + 1 : stop]
+        head = _COMMENT.match(line)
+        body = line[head.end() :].rstrip()
+        while depth and stop < len(text) and (not body or head.group(1) and not prefix):
+            end, stop = stop, text.find("\n", stop + 1)
+            stop = len(text) if stop < 0 else stop
+            line = text[end + 1 : stop]
+            head = _COMMENT.match(line)
+            body = line[head.end() :].rstrip()
+        if not body or head.group(1) != prefix or "-----BEGIN" in body:
+            return end
+        block = block or bool(_BLOCK_END.search(code))
+        if block:
+            goes_on = len(line) - len(line.lstrip()) > indent
+        else:
+            goes_on = depth or _OPEN_END.search(code) or _GOES_ON.match(body) or _VALUE_END.search(code) and _LITERAL.match(body)
+        if not goes_on:
+            return end
+        start, end = end + 1, stop
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
-    """(line number, start, end) of the lines worth labelling; a key block is one unit from its first line.
+    """(line number, start, end) of the statements worth labelling; a key block is one unit from its first line.
 
     A line is worth it when it holds a telling word beside a possible value, a URL
-    with a password, a key block or a run that looks random. All other lines have
-    no token the field could begin a secret at.
+    with a password, a key block or a run that looks random. One with a telling
+    word takes the lines along on which its expression goes on, as a value may
+    stand below its name. What the field would mark elsewhere has no name, prefix
+    or form that tells a secret.
     """
     low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     starts: set[int] = set()
+    named: set[int] = set()
     for hint in _HINTS:
         at = low.find(hint)
         while at >= 0:
             after = at + len(hint)
-            if hint == "key" and not (at and (low[at - 1].isalnum() or low[at - 1] in "_- ")):
+            if hint == "key" and not (at and low[at - 1] not in "\r\n\t'\"(){}[],;:="):
                 pass
             elif hint == "://" and not _USERINFO.match(text, after):
                 pass
-            elif hint in _SKIP_AFTER and low.startswith(_SKIP_AFTER[hint], after):
+            elif hint in _SKIP_AFTER and _SKIP_AFTER[hint].match(low, after):
                 pass
             else:
                 starts.add(text.rfind("\n", 0, at) + 1)
+                if hint not in ("-----begin", "://"):
+                    named.add(text.rfind("\n", 0, at) + 1)
                 after = text.find("\n", at)
                 if after < 0:
                     break
@@ -547,6 +609,8 @@ def units(text: str) -> list[tuple[int, int, int]]:
                 if not _BASE64_LINE.match(row):
                     break
                 end = stop
+        elif begin < 0 and start in named:
+            end = _statement_end(text, start, end)
         done = end
         out.append((number, start, end))
     return out
@@ -558,11 +622,14 @@ def spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     for number, start, end in units(text):
         unit = text[start:end]
         line = analyse(unit)
-        last = None
+        last, block, at = None, "-----BEGIN" in unit, start
         for (a, b), y in zip(line.spans, field.viterbi(line.features), strict=True):
             if y == 2 and last is not None and last[2] == start + a:
                 last[2] = start + b
             elif y:
+                if not block:
+                    number += text.count("\n", at, start + a)
+                    at = start + a
                 last = [number, start + a, start + b]
                 out.append(last)
                 continue
@@ -590,7 +657,7 @@ def found_secrets(parsed: DataFrame, findings: DataFrame) -> DataFrame:
     """(record_kind, record_key, line) of every line that holds a secret, doubled rows counting once.
 
     Lines are split at line feeds and counted from 1; a key block counts at its
-    first line. Empty texts hold nothing; very long lines are labelled whole.
+    first line, the pieces of another secret each at their own. Empty texts hold nothing; very long lines are labelled whole.
     """
     field = trained()
 

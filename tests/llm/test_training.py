@@ -208,6 +208,26 @@ def test_secrets(spark):
     assert values(credentials.found_secrets(parsed.limit(0), other.limit(0))) == []
 
 
+@pytest.mark.parametrize(
+    ("source", "lines"),
+    [
+        ("const h = {\n  'Authorization': 'Winter-stone42',\n};\n", {2}),
+        ("const password =\n  'Winter-stone42';\n", {2}),
+        ("const password\n  = 'Winter-stone42';\n", {2}),
+        ("define('DB_PASSWORD',\n  'Winter-stone42');\n", {2}),
+        ("const apiKey = [\n  'sk_live_4eC3',\n  '9HqLyjWDarjt',\n].join('');\n", {2, 3}),
+        ("const apiKey = [\n  'sk_live_4eC3',\n\n  // second half\n  '9HqLyjWDarjt',\n].join('');\n", {2, 5}),
+        ("$apiKey = 'sk4eC39HqLyj'\n  . 'WDarjtT1zdp7';\n", {1, 2}),
+        ("// const password =\n//   'Winter-stone42';\n", {2}),
+        ("db:\n  password: >-\n    winter-stone42\n  host: stone42\n", {3}),
+        ("function f(password) {\n  return hash('sha256');\n}\n", set()),
+        ("const o = {\n  password: process.env.DB_PASSWORD,\n  'host-9': 'stone-42',\n};\n", set()),
+    ],
+)
+def test_secrets_over_lines(source, lines):
+    assert {s[0] for s in credentials.spans(source, credentials.trained())} == lines
+
+
 # --- 7 ---------------------------------------------------------------------------
 
 PATH = f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE}"
