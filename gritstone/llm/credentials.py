@@ -125,9 +125,36 @@ def shape(t: str) -> str:
     return "mixed" if digit or re.search(r"[!%^&*?#~+]", t) else "words"
 
 
+# What stands around the rows of a key: comment prefixes, quotes and joints of strings.
+_ROW = re.compile(r"(?:[ \t\"'`+.,>]|//|#|\*|--|;|<!--)*(?P<row>.*?)(?:\\[nr]|[\"'`+.,;) \t\r\\])*$")
+_KEY_ROW = re.compile(r"[A-Za-z0-9+/]{1,200}={0,2}")
+_KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[ \t].*")  # Proc-Type, DEK-Info, Comment
+_SEGMENT = re.compile(r"\\[nr]|(?P<row>(?:[^\n\\]|\\(?![nr]))+)")
+
+
 VALUES = frozenset("provider jwt uuid hex random random-long base64 mixed words word name number stand-in".split())
 
 
+def _key_shapes(text: str, found: list[tuple[int, int]], shapes: list[str]) -> None:
+    """In private keys, read short rows as rows and headers as no values; both depend on the row they stand in."""
+    for k, s in enumerate(shapes):
+        if s != "pem-private":
+            continue
+        stop = next((j for j in range(k + 1, len(found)) if shapes[j] == "pem-end"), len(found))
+        to = found[stop - 1][1]
+        j = k + 1
+        for m in _SEGMENT.finditer(text, found[k][1], to):
+            if m["row"] is None:
+                continue
+            row = _ROW.match(m.group())
+            body, at, until = row["row"], m.start() + row.start("row"), m.start() + row.end("row")
+            kind = "stand-in" if _KEY_HEADER.fullmatch(body) else "random-long" if len(body) < 16 and _KEY_ROW.fullmatch(body) else ""
+            while j < stop and found[j][0] < until:
+                if kind and found[j][1] > at:
+                    shapes[j] = kind
+                j += 1
+
+
 @dataclass
 class Line:
     """Tokens of a unit with the features of each."""
@@ -140,6 +167,8 @@ def analyse(text: str) -> Line:
     found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in found]
     shapes = [shape(t) for t in tokens]
+    if "pem-private" in shapes:
+        _key_shapes(text, found, shapes)
     n = len(tokens)
     features: list[list[str]] = []
     quote, name, owner, url, scheme_word, pem, env, last = "", "n", "n", "", "", "", "", "^"
@@ -494,7 +523,6 @@ def trained(lines: int = TRAINING_LINES) -> Field:
 _HINTS = ("password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "dsn", "-----begin", "://")
 _SKIP_AFTER = {"token": re.compile("iz"), "auth": re.compile("or(?!iz)"), "pass": re.compile("word|wd|phrase")}
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_BASE64_LINE = re.compile(r"[ \t\"'+,]*[A-Za-z0-9+/=]{16,}[\\nr\"'+,; \t]*$")
 _USERINFO = re.compile(r"[^\s/'\"`@]*:[^\s/'\"`]*@")
 _COMMENT = re.compile(r"[ \t]*(//+|#+|--|\*(?!/)|;+)?[ \t]*")
 _STRING = r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\\n])*`"
@@ -506,6 +534,35 @@ _GOES_ON = re.compile(r"(?:\+|\.[ \t]*['\"]|\|\||\?\?|\?:|[?:][ \t]|=(?!=)|[ \t]
 _LITERAL = re.compile(rf"(?:{_STRING}|[^\s:'\"`(){{}}\[\]]+)[ \t]*[,;]?$")
 
 
+def _key_end(text: str, begin: int, end: int) -> int:
+    """Where the key block ends that begins on a line ending at ``end``.
+
+    At its END marker, unless most of what stands between is no key at all, as where
+    code names both markers. Where that is missing, behind the last row that looks like text of a
+    key once what stands around rows, headers and blank rows are taken off.
+    """
+    marker = text.find("-----END", begin)
+    other = text.find("-----BEGIN", begin + 1)
+    if marker >= 0 and (other < 0 or marker < other):
+        rows = [r for x in text[end + 1 : max(marker, end + 1)].split("\n") if (r := _ROW.match(x)["row"])]
+        if sum(bool(_KEY_ROW.fullmatch(r) or _KEY_HEADER.fullmatch(r)) for r in rows) * 2 >= len(rows):
+            stop = text.find("\n", marker)
+            return len(text) if stop < 0 else stop
+    last, full = end, False
+    while end < len(text):
+        stop = text.find("\n", end + 1)
+        stop = len(text) if stop < 0 else stop
+        row = _ROW.match(text[end + 1 : stop])["row"]
+        if _KEY_ROW.fullmatch(row) and (len(row) >= 16 or row.endswith("=") or full and len(row) % 4 == 0 and re.search(r"[0-9+/]", row)):
+            last, full = stop, len(row) >= 16
+        elif row and not _KEY_HEADER.fullmatch(row):
+            break
+        else:
+            full = False
+        end = stop
+    return last
+
+
 def _statement_end(text: str, start: int, end: int) -> int:
     """Where the statement ends whose first line is given: behind the lines that hold the rest of its expression.
 
@@ -599,16 +656,7 @@ def units(text: str) -> list[tuple[int, int, int]]:
         end = len(text) if end < 0 else end
         begin = text.find("-----BEGIN", start, end)
         if begin >= 0 and text.find("-----END", begin, end) < 0:
-            while end < len(text):
-                stop = text.find("\n", end + 1)
-                stop = len(text) if stop < 0 else stop
-                row = text[end + 1 : stop]
-                if "-----END" in row:
-                    end = stop
-                    break
-                if not _BASE64_LINE.match(row):
-                    break
-                end = stop
+            end = _key_end(text, begin, end)
         elif begin < 0 and start in named:
             end = _statement_end(text, start, end)
         done = end
