@@ -28,7 +28,6 @@ COMPATIBLE = [[0.9, 0.025, 0.025, 0.025, 0.025]] + [[0.3 if y == 0 else 0.6 if y
 STRONG, WEAK = 9.0, 1.5
 PLAIN = 4.0  # that a file without any mark is handwritten
 WRAPPED = 8.0  # a wrapper or version of its own: by a little more than PLAIN and a handwritten folder together
-ANCHORS = 8  # line pairs of lowest hash that stand for a file among other repositories
 COMMON = 3  # repositories that hold a line pair before it counts as passed around
 ROWS, CHARACTERS = 60, 1000  # a literal this large is data
 
@@ -127,7 +126,7 @@ def is_minified(lines: list[str]) -> bool:
 
 
 def text_evidence(rel: str, text: str) -> tuple[list[float], list[int]]:
-    """Log evidence for each label, and the hashes of the anchors of the text."""
+    """Log evidence for each label, and the hashes of all distinct line pairs of the text."""
     phi = [PLAIN, 0.0, 0.0, 0.0, 0.0]
     if not text.strip("﻿ \t\r\n"):
         return [STRONG, 0.0, 0.0, 0.0, 0.0], []
@@ -153,38 +152,38 @@ def text_evidence(rel: str, text: str) -> tuple[list[float], list[int]]:
             phi[label] += WEAK
     code = [x for x in lines if len(x) > 12 and not _COMMENT_LINE.match(x)]
     pairs = {xxhash.xxh64_intdigest(a + "\n" + b) >> 1 for a, b in zip(code, code[1:]) if len(a) + len(b) >= 50 and not a.startswith(("import ", "use ", "from "))}
-    return phi, sorted(pairs)[:ANCHORS]
+    return phi, sorted(pairs)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rels, phis, anchors = [], [], []
+        rels, phis, hashes = [], [], []
         for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if CODE_ENDING.search(rel):
                 phi, pairs = text_evidence(rel, text)
                 rels.append(rel)
                 phis.append(phi)
-                anchors.append(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(phis, pa.list_(pa.float64())), pa.array(anchors, pa.list_(pa.int64()))], ["rel", "phi", "anchors"])
+                hashes.append(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(phis, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64()))], ["rel", "phi", "pairs"])
 
 
 def evidence(parsed: DataFrame) -> DataFrame:
     """(rel, phi) of every source file, one row per path.
 
     A path with several texts takes the sum of their evidence; equal rows count
-    once. Shared line pairs are counted by four extreme repository hashes of each
-    pair, which partial aggregation keeps to one row per pair and task.
+    once. Each text is compared by all its line pairs. The repositories of a pair are
+    kept in two bitmaps, which partial aggregation keeps to one row per pair and task.
     """
-    rows = spread(parsed.select("rel", "source").dropna()).mapInArrow(_evidence, "rel string, phi array<double>, anchors array<long>")
-    rows = checkpointed(rows.distinct())
+    rows = spread(parsed.select("rel", "source").dropna()).mapInArrow(_evidence, "rel string, phi array<double>, pairs array<long>")
+    rows = checkpointed(rows.distinct().withColumn("n", F.monotonically_increasing_id()))
     repo = F.substring_index("rel", "/", 1)
     bit = lambda h: F.expr(f"shiftleft(1L, cast(pmod({h}, 63) as int))")
-    pairs = rows.withColumns({"r": F.xxhash64(repo), "q": F.hash(repo)}).select("rel", bit("r").alias("r"), bit("q").alias("q"), F.explode("anchors").alias("pair"))
-    known = pairs.groupBy("pair").agg(F.bit_or("r").alias("r"), F.bit_or("q").alias("q"))
+    known = rows.withColumns({"r": F.xxhash64(repo), "q": F.hash(repo)}).select(bit("r").alias("r"), bit("q").alias("q"), F.explode("pairs").alias("pair"))
+    known = known.groupBy("pair").agg(F.bit_or("r").alias("r"), F.bit_or("q").alias("q"))
     known = known.filter(F.greatest(F.bit_count("r"), F.bit_count("q")) >= COMMON).select("pair")
-    shared = pairs.join(known, "pair").groupBy("rel").agg(F.count("*").alias("shared"))
-    rows = rows.join(shared, "rel", "left")
-    share = F.coalesce("shared", F.lit(0)) / F.greatest(F.size("anchors"), F.lit(5))
+    shared = rows.select("n", F.explode("pairs").alias("pair")).join(known, "pair").groupBy("n").agg(F.count("*").alias("shared"))
+    rows = rows.select("n", "rel", "phi", F.size("pairs").alias("size")).join(shared, "n", "left")
+    share = F.coalesce("shared", F.lit(0)) / F.greatest("size", F.lit(5))
     sums = [F.sum(F.col("phi")[k] + (F.when(share >= 0.85, STRONG).when(share >= 0.7, 3.0).otherwise(0.0) if k == VENDORED else F.lit(0.0))).alias(f"f{k}") for k in range(5)]
     return rows.groupBy("rel").agg(*sums)
 

@@ -149,6 +149,22 @@ def test_copies_are_seen_whichever_repositories_hold_them(spark):
         assert provenance.foreign_files(rows).count() == 4
 
 
+def edited_copies(repositories):
+    """A long file in each repository, with a fifteenth of its lines changed there."""
+    rng = random.Random(8)
+    lines = [f"export const part{k} = (value) => helper{k * 7}(value.items[{rng.randint(0, 99)}], 'kind{k}');" for k in range(300)]
+    copies = []
+    for r in range(repositories):
+        own = {k: f"export const local{r}x{k} = (value) => patched{k}(value.items);" for k in rng.sample(range(300), 20)}
+        copies.append((f"repo-{r}/lib/copy.js", "\n".join(own.get(k, x) for k, x in enumerate(lines)) + "\n"))
+    return copies
+
+
+def test_edited_copies_are_compared_by_all_their_lines(spark):
+    rows = spark.createDataFrame(edited_copies(12), "rel string, source string")
+    assert provenance.evidence(rows).filter(F.col("f3") >= provenance.STRONG).count() == 12
+
+
 # --- 5 ---------------------------------------------------------------------------
 
 VALID = [
