@@ -44,8 +44,8 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signature similarity of stored pairs whose functions still exist, made again."""
-    pairs = table(spark, sf_dir, "candidate_pairs").select("a_id", "b_id").filter("a_id < b_id").distinct()
+    """The signature similarity of stored pairs whose functions still exist, made again; a_id < b_id, however stored."""
+    pairs = table(spark, sf_dir, "candidate_pairs").filter("a_id <> b_id").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
     f = _functions(spark, sf_dir).select("id", "callees", "param_count", "returns_value", "is_async")
     rows = pairs.join(f.alias("a"), F.col("a_id") == F.col("a.id")).join(f.alias("b"), F.col("b_id") == F.col("b.id"))
     return rows.select("a_id", "b_id", F.round(E.signature_similarity("a", "b"), 6).alias("score"))

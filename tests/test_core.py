@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import scalar, versions
 from gritstone.operators import advisories, evaluation, imports, orphans, sequences, verdict
+from gritstone.plans import similarity
 from gritstone.sources import lockfiles, repository
 from gritstone.streaming import incremental
 
@@ -261,3 +262,12 @@ def test_entry_is_complete(spark):
     q = e.queries()
     assert set(e.oracle_sql()) <= set(q)
     assert "p4_found" in q and e.entry(spark).count() == 1
+
+
+def test_signature_scores_of_pairs_stored_turned_round(spark, tmp_path):
+    functions = [(i, ["f"], 1, True, False) for i in "abc"]
+    spark.createDataFrame(functions, "id string, callees array<string>, param_count int, returns_value boolean, is_async boolean").write.parquet(str(tmp_path / "function_records.parquet"))
+    stored = [("b", "a"), ("a", "c"), ("c", "a"), ("c", "c"), ("c", None), ("z", "b")]
+    spark.createDataFrame(stored, "a_id string, b_id string").write.parquet(str(tmp_path / "candidate_pairs.parquet"))
+    got = sorted(tuple(r) for r in similarity.signature_scores(spark, str(tmp_path)).collect())
+    assert got == [("a", "b", 1.0), ("a", "c", 1.0)]
