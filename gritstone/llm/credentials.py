@@ -1,42 +1,60 @@
 """Credentials embedded in source code.
 
-A linear-chain conditional random field labels the lexical tokens of a line as
-outside, beginning or inside a secret, from their shape and their context. Viterbi
-spans say exactly which characters are redacted. The field is fitted here on lines
-made from templates, labelled by construction; their number is a parameter.
+A linear-chain conditional random field labels the lexical tokens of whole texts as
+outside, beginning or inside a secret, from their shape and their context; no line
+is left out beforehand. Viterbi spans say exactly which characters are redacted. The
+field is fitted on lines made from templates, labelled by construction, and on real
+code without secrets; their number is a parameter.
+
+Texts are labelled many at a time: tokens become small integers, features become
+rows of weight tables, and only value tokens can carry a label, so chains are the
+runs of value tokens between punctuation.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritstone.llm.credential_lines import Templates, plain_code
 from gritstone.session import spread
 
-TRAINING_LINES = 2400
-EPOCHS = 4
+TRAINING_LINES = 20000  # lines from templates; as many lines of code without secrets at most
+EPOCHS = 12
+BATCHES = 80
+RATE = 0.3
+PENALTY = 2e-5
+RARITY = 0.5  # log odds against a secret, which is rarer in code than in the lines the field is fitted on
 SEED = 17
 MASK = "REDACTED"
+CHUNK = 1_000_000  # characters of texts labelled at once; a longer text is a chunk of its own
+KNOWN_TOKENS = 400_000  # distinct tokens remembered by a task
 
 # --- lexical tokens ----------------------------------------------------------------
 
 _TOKEN = re.compile(
-    r"-----(?:BEGIN|END)[A-Z0-9 ]*-----"
+    r"\s*(?:-----(?:BEGIN|END)[A-Z0-9 ]*-----"
     r"|[A-Za-z][A-Za-z0-9+.-]*://"
     r"|\$\{[^}\s]*\}|<[\w -]+>"
     r"|\\[nrt]"
-    r"|[A-Za-z0-9_./+~!%^&*?#$-]+(?:={1,2}(?=[\"'`\s,;)}@\\]|$))?"
-    r"|\S"
+    r"|[A-Za-z]{2,}'(?:s|t|re|ve|ll|d|m)\b(?!['\"])"
+    # A quoted text without blanks and joints is one token, whatever marks it holds.
+    r"|(?<=['\"`])(?:[^\s'\"`\\=:/&.$]|\$(?!\{)){6,200}(?=['\"`])"
+    r"|(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{8,}={1,2}(?=[\"'`\s,;)}@\\]|$)"
+    r"|[A-Za-z0-9_./+~!%^&*?#$-]+"
+    r"|\S)"
 )
+# The password of a URL is one token whatever it holds; its last @ ends it.
+_URL_PASSWORD = re.compile(r"://[^\s/:@'\"`]*:([^\s/'\"`]+)@")
+_URL_MARK = "\x01"
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEX = re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -56,15 +74,19 @@ _STAND_IN = re.compile(
 _SECRET_WORDS = frozenset("password passwd passphrase pwd pass secret token apikey credential credentials creds bearer authorization auth dsn".split())
 _KEY_OWNERS = frozenset("api private signing access secret encryption tls ssl ssh master auth service client deploy account rsa hmac".split())
 _OTHER_WORDS = frozenset(
-    "public integrity etag hash sha digest checksum md5 crc commit revision rev tree trace request uuid guid tenant build label file path name ttl header hint help title message placeholder field prompt url link docs doc length size count policy id type regex pattern version expires expiry".split()
+    "public integrity etag hash sha digest checksum md5 crc commit revision rev tree trace request uuid guid tenant build label file path name ttl header hint help title message placeholder field prompt url link docs doc length size count policy id type regex pattern version expires expiry fingerprint blob object".split()
 )
 _SCHEME_WORDS = frozenset(("bearer", "basic"))
 
 
+_ENDS_SECRET = re.compile(r"(?<=[a-z])(?:password|passwd|pwd|secret)$|^[a-z]{2,4}(?<!by)(?<!com)(?<!sur)(?<!tres)pass$")
+
+
 def name_class(name: str) -> str:
     """s: a name that holds a secret, o: one that holds something else, n: neither."""
     parts = [p.lower() for p in _PARTS.findall(name)]
-    held = frozenset(parts)
+    held = frozenset("password" if _ENDS_SECRET.search(p) else p for p in parts)
+    parts = ["password" if _ENDS_SECRET.search(p) else p for p in parts]
     secret = bool(held & _SECRET_WORDS) or any(b == "key" and a in _KEY_OWNERS for a, b in zip(parts, parts[1:]))
     if held & _OTHER_WORDS and not (secret and not held & _OTHER_WORDS - {"id", "url", "request", "build", "tenant", "trace", "policy", "header", "revision", "version", "digest", "tree", "label", "hash", "message"}):
         # The first telling word decides between the two, unless the other one is not a plain noun.
@@ -74,7 +96,7 @@ def name_class(name: str) -> str:
             return "o"
     return "s" if secret else "o" if held & _OTHER_WORDS else "n"
 
-
+_CALL_WORDS = frozenset("connect login logon signin authenticate auth bind password".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{5,}|[^A-Za-z0-9]")
 
 
@@ -87,16 +109,36 @@ def looks_random(text: str) -> bool:
     return loose * 2 >= len(text) and sum(c.isdigit() for c in rest) * 10 < len(text) * 8
 
 
+# Shapes that may carry a label, shapes that may not, and punctuation, each by its number.
+VALUES = "word name const words mixed number stand-in provider jwt uuid hex random random-long base64 integrity path env".split()
+OTHERS = "scheme pem-private pem-public pem-end escape comment op other".split()
+MARKS = list("'\"`(){}[],;:@=<>|\\.")
+SHAPE = {s: k for k, s in enumerate([*VALUES, *OTHERS, *MARKS])}
+N_SHAPES, N_VALUES = len(SHAPE), len(VALUES)
+_SPECIFIC = ("provider", "jwt", "uuid", "hex", "random", "base64")
+_LABELLED_TEXT = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]")
+_COMMENT = re.compile(r"//+!?|#+|--|/\*+|\*+|;+")
+_PATH = re.compile(r"(?:\.{1,2}/|/|@|~/).*|(?:[\w.@-]*[a-z]{3,}[\w.-]*/)+[\w.*-]*")
+_MIXED_CASE = re.compile(r"\d[A-Za-z]+\d|[A-Z]\d|\d[A-Z]|[a-z][A-Z][a-z][A-Z]")
+_NUMERAL = re.compile(r"[-+]?(?:0[xX][0-9a-fA-F_]+|[\d._]+(?:[eE][-+]?\d+)?[a-zA-Z%]{0,3})")
+_CONSTANT = re.compile(r"(?=[A-Z0-9_]*_)[A-Z][A-Z0-9]*(?:_+[A-Z0-9]+)*")
+_INSERTED = re.compile(r"[$#%]?\{.*\}|%\(?\w*\)?[sd]?|<.*>|\$\w+")
+
+
 def shape(t: str) -> str:
     """The class of a token's form."""
-    if len(t) == 1 or t[0] == "\\":
-        return "." + t
+    if len(t) == 1 and t in SHAPE:
+        return t
+    if t[0] == "\\" and len(t) == 2:
+        return "escape"
     if t.endswith("://"):
         return "scheme"
-    if t.startswith("-----"):
-        return "pem-end" if t.startswith("-----END") else "pem-private" if "PRIVATE" in t else "pem-public"
-    if _STAND_IN.fullmatch(t) or _MASKED.fullmatch(t):
+    if t.startswith("-----") and t.endswith("-----"):
+        return "pem-end" if t.startswith("-----END") else "pem-private" if "PRIVATE" in t else "pem-public" if "BEGIN" in t else "op"
+    if _STAND_IN.fullmatch(t) or _MASKED.fullmatch(t) or _INSERTED.fullmatch(t):
         return "stand-in"
+    if not _LABELLED_TEXT.search(t):
+        return "comment" if _COMMENT.fullmatch(t) else "op"
     if _PROVIDER.fullmatch(t):
         return "provider"
     if _JWT.fullmatch(t):
@@ -107,11 +149,11 @@ def shape(t: str) -> str:
         return "hex"
     if t.startswith(("sha256-", "sha384-", "sha512-")):
         return "integrity"
-    if "/" in t and not t.endswith("=") and not looks_random(t):
-        return "path"
+    if "/" in t and not t.endswith("=") and (_PATH.fullmatch(t) or not looks_random(t)):
+        return "path" if _PATH.fullmatch(t) or len(t) < 12 or not _MIXED_CASE.search(t) else "random"
     if t.startswith(("process.env", "os.environ", "$_ENV", "import.meta")) or t in ("getenv", "env"):
         return "env"
-    if t.replace(".", "").isdigit():
+    if _NUMERAL.fullmatch(t):
         return "number"
     if looks_random(t):
         return "random" if len(t) < 64 else "random-long"
@@ -119,10 +161,63 @@ def shape(t: str) -> str:
         return "base64"
     if t.isalpha():
         return "word" if len(_PARTS.findall(t)) == 1 else "name"
+    if _CONSTANT.fullmatch(t):
+        return "const"
     digit = any(c.isdigit() for c in t)
     if _IDENT.fullmatch(t) and not (digit and not re.search(r"[_$A-Z]", t)):
         return "name"
-    return "mixed" if digit or re.search(r"[!%^&*?#~+]", t) else "words"
+    return "mixed" if digit or re.search(r"[!%^&*?#~+@()\[\]{}]", t) else "words"
+
+
+# Bits of a token's code: shape, kind of name, flags, make-up and size, and the white space before it.
+_KIND, _NAMES, _SCHEME_WORD, _CALL, _JOINS, _GOES_ON, _URL, _MAKE, _SIZE, _LEAD, _NEWLINES, _ODD = 6, 8, 10, 12, 13, 14, 15, 16, 19, 22, 42, 62
+_KINDS = {"n": 0, "s": 1, "o": 2}
+# An expression surely goes on behind a line that ends so, or before one that begins so.
+_JOIN_ENDS, _CONTINUES = frozenset("+.,\\([=:|?&>-"), frozenset("+.|?:=-&)]>")
+
+
+def _code(token: str) -> int:
+    bare = token.lstrip()
+    lead = len(token) - len(bare)
+    url = bare[:1] == _URL_MARK
+    t = bare[1:] if url else bare
+    if not t:
+        return SHAPE["other"] | min(lead, 2**20 - 1) << _LEAD
+    s = shape(t)
+    kind, names, low = 0, 0, t.lower()
+    if s in ("word", "name", "const") or low in _SECRET_WORDS:
+        kind, names = _KINDS[name_class(t)], 1
+    elif s in ("words", "mixed"):
+        kind, names = _KINDS[name_class(t)], 2
+    upper, digit = any(c.isupper() for c in t), any(c.isdigit() for c in t)
+    mark = any(not c.isalnum() for c in t)
+    parts = {p.lower() for p in _PARTS.findall(t)} if names == 1 else ()
+    return (
+        SHAPE[s]
+        | kind << _KIND
+        | names << _NAMES
+        | {"bearer": 1, "basic": 2}.get(low, 0) << _SCHEME_WORD
+        | bool(parts and parts & _CALL_WORDS) << _CALL
+        | (SHAPE[s] >= N_VALUES and t[-1] in _JOIN_ENDS) << _JOINS
+        | (SHAPE[s] >= N_VALUES and t[0] in _CONTINUES) << _GOES_ON
+        | url << _URL
+        | (upper | digit << 1 | mark << 2) << _MAKE
+        | sum(len(t) >= n for n in (5, 8, 12, 16, 28, 64, 160)) << _SIZE
+        | min(lead, 2**20 - 1) << _LEAD
+        | (len(t) > 5 and 5 * len(_PARTS.findall(t)) > 2 * sum(c.isalnum() for c in t)) << _ODD  # letters and digits change as in no word
+        | min(bare is not token and token.count("\n", 0, lead), 2**20 - 1) << _NEWLINES
+    )
+
+
+class _Codes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > KNOWN_TOKENS:
+            self.clear()
+        code = self[token] = _code(token)
+        return code
+
+
+_codes = _Codes()
 
 
 # What stands around the rows of a key: comment prefixes, quotes and joints of strings.
@@ -132,408 +227,6 @@ _KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[ \t].*")  # Proc-Type, DEK-Inf
 _SEGMENT = re.compile(r"\\[nr]|(?P<row>(?:[^\n\\]|\\(?![nr]))+)")
 
 
-VALUES = frozenset("provider jwt uuid hex random random-long base64 mixed words word name number stand-in".split())
-
-
-def _key_shapes(text: str, found: list[tuple[int, int]], shapes: list[str]) -> None:
-    """In private keys, read short rows as rows and headers as no values; both depend on the row they stand in."""
-    for k, s in enumerate(shapes):
-        if s != "pem-private":
-            continue
-        stop = next((j for j in range(k + 1, len(found)) if shapes[j] == "pem-end"), len(found))
-        to = found[stop - 1][1]
-        j = k + 1
-        for m in _SEGMENT.finditer(text, found[k][1], to):
-            if m["row"] is None:
-                continue
-            row = _ROW.match(m.group())
-            body, at, until = row["row"], m.start() + row.start("row"), m.start() + row.end("row")
-            kind = "stand-in" if _KEY_HEADER.fullmatch(body) else "random-long" if len(body) < 16 and _KEY_ROW.fullmatch(body) else ""
-            while j < stop and found[j][0] < until:
-                if kind and found[j][1] > at:
-                    shapes[j] = kind
-                j += 1
-
-
-@dataclass
-class Line:
-    """Tokens of a unit with the features of each."""
-
-    spans: list[tuple[int, int]]
-    features: list[list[str]]
-
-
-def analyse(text: str) -> Line:
-    found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    tokens = [text[a:b] for a, b in found]
-    shapes = [shape(t) for t in tokens]
-    if "pem-private" in shapes:
-        _key_shapes(text, found, shapes)
-    n = len(tokens)
-    features: list[list[str]] = []
-    quote, name, owner, url, scheme_word, pem, env, last = "", "n", "n", "", "", "", "", "^"
-    for k in range(n):
-        t, s = tokens[k], shapes[k]
-        following = shapes[k + 1] if k + 1 < n else "$"
-        if quote in ("'", '"') and "\n" in text[found[k - 1][1] : found[k][0]]:
-            quote = ""  # only backticks go on over line ends
-        if s[0] == "." and t in "'\"`":
-            quote = "" if quote == t else quote or t
-        if s == "scheme":
-            url = "u"
-        elif url and (t in "'\"` ,;)" or t[0] == "/" ):
-            url = ""
-        elif url == "u" and t == ":":
-            url = "p"
-        elif t == "@":
-            url = "h" if url else ""
-        if s in ("pem-private", "pem-public"):
-            pem = s[4:7]
-        elif s == "pem-end":
-            pem = ""
-        if s == "env":
-            env = "e"
-        place = "q" if quote else "-"
-        core = "value" if s in ("provider", "jwt", "hex", "uuid", "random", "base64") else s
-        has_at = "@" if url == "p" and any(x == "@" for x in tokens[k + 1 : k + 9]) else ""
-        features.append(
-            [
-                f"s:{s}",
-                f"so:{s}|{owner}|{place}",
-                f"co:{core}|{owner}|{scheme_word}|{url and 'u'}",
-                f"u:{core if url else ''}|{url}|{has_at}|{s if url == 'p' else ''}",
-                f"p:{core}|{last}",
-                f"n:{core}|{following}|{place}",
-                f"pem:{pem}|{core if pem else ''}",
-                f"a:{scheme_word}|{s if scheme_word else ''}",
-                f"e:{env}|{core if env else ''}|{place}",
-                f"one:{s if n < 3 else ''}|{owner}",
-            ]
-        )
-        last = s
-        if s in ("word", "name") or t.lower() in _SECRET_WORDS:
-            kind = name_class(t)
-            if t.lower() in _SCHEME_WORDS:
-                scheme_word = t.lower()
-            elif kind != "n" or following[1:] in ("=", ":"):
-                name = kind
-                # A name owns what follows it; in prose and calls a telling word is enough.
-                owner = name
-        elif s == "words" or s == "mixed":
-            kind = name_class(t)
-            if kind != "n" and following[1:] in (":", "=", "'", '"'):
-                owner = kind
-        if scheme_word and s in VALUES and s not in ("word", "name"):
-            scheme_word = ""
-    return Line(found, features)
-
-
-# --- the field ------------------------------------------------------------------------
-
-LABELS = "OBI"
-_FORBIDDEN = -1e9
-
-
-@dataclass
-class Field:
-    weights: dict[str, list[float]]
-    moves: list[list[float]]  # moves[a][b]: from label a to b
-
-    def scores(self, features: list[list[str]]) -> list[list[float]]:
-        out, get = [], self.weights.get
-        for fs in features:
-            o = b = i = 0.0
-            for f in fs:
-                w = get(f)
-                if w is not None:
-                    o += w[0]
-                    b += w[1]
-                    i += w[2]
-            out.append([o, b, i])
-        return out
-
-    def viterbi(self, features: list[list[str]]) -> list[int]:
-        scores, m = self.scores(features), self.moves
-        if not scores:
-            return []
-        best = [scores[0][0], scores[0][1], _FORBIDDEN]
-        back = []
-        for s in scores[1:]:
-            step, source = [], []
-            for y in range(3):
-                a = max(range(3), key=lambda x: best[x] + m[x][y])
-                step.append(best[a] + m[a][y] + s[y])
-                source.append(a)
-            best = step
-            back.append(source)
-        y = max(range(3), key=best.__getitem__)
-        path = [y]
-        for source in reversed(back):
-            y = source[y]
-            path.append(y)
-        return path[::-1]
-
-    def marginals(self, features: list[list[str]]) -> tuple[list[list[float]], list[list[float]]]:
-        """Label probabilities of each token, and expected counts of moves."""
-        scores, m = self.scores(features), self.moves
-        n = len(scores)
-        lse = lambda xs: (t := max(xs)) + math.log(sum(math.exp(x - t) for x in xs))
-        ahead = [[scores[0][0], scores[0][1], _FORBIDDEN]]
-        for s in scores[1:]:
-            p = ahead[-1]
-            ahead.append([lse([p[x] + m[x][y] for x in range(3)]) + s[y] for y in range(3)])
-        after = [[0.0] * 3 for _ in range(n)]
-        for k in range(n - 2, -1, -1):
-            s = scores[k + 1]
-            after[k] = [lse([m[x][y] + s[y] + after[k + 1][y] for y in range(3)]) for x in range(3)]
-        z = lse(ahead[-1])
-        each = [[math.exp(min(0.0, ahead[k][y] + after[k][y] - z)) for y in range(3)] for k in range(n)]
-        pairs = [[0.0] * 3 for _ in range(3)]
-        for k in range(n - 1):
-            for x in range(3):
-                for y in range(3):
-                    pairs[x][y] += math.exp(min(0.0, ahead[k][x] + m[x][y] + scores[k + 1][y] + after[k + 1][y] - z))
-        return each, pairs
-
-
-def fit(lines: list[tuple[Line, list[int]]], epochs: int = EPOCHS, seed: int = SEED) -> Field:
-    """Gradient ascent on the log likelihood, line by line with steps by the inverse root of past squares."""
-    field = Field({}, [[0.0] * 3, [0.0] * 3, [0.0] * 3])
-    field.moves[0][2] = _FORBIDDEN  # inside never follows outside
-    squares: dict[str, float] = Counter()
-    order, rng = list(range(len(lines))), random.Random(seed)
-    move_squares = 1.0
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for k in order:
-            line, labels = lines[k]
-            each, pairs = field.marginals(line.features)
-            for fs, p, y in zip(line.features, each, labels, strict=True):
-                g = [-p[0], -p[1], -p[2]]
-                g[y] += 1
-                size = g[0] * g[0] + g[1] * g[1] + g[2] * g[2]
-                if size < 1e-8:
-                    continue
-                for f in fs:
-                    w = field.weights.setdefault(f, [0.0] * 3)
-                    squares[f] += size
-                    rate = 0.5 / math.sqrt(squares[f] + 1e-2)
-                    w[0] += rate * g[0]
-                    w[1] += rate * g[1]
-                    w[2] += rate * g[2]
-            seen = Counter(zip(labels, labels[1:]))
-            for x in range(3):
-                for y in range(3):
-                    if (x, y) != (0, 2):
-                        g = seen[x, y] - pairs[x][y]
-                        move_squares += g * g
-                        field.moves[x][y] += 0.5 * g / math.sqrt(move_squares)
-    return field
-
-
-# --- training lines --------------------------------------------------------------------
-
-_NOUNS = "river stone cloud field meadow garden copper silver amber forest pilot rocket candle window harvest letter basket turtle wagon planet market bridge castle engine".split()
-_AN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-
-
-class Templates:
-    """Random lines; secrets stand between the marks « and »."""
-
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-
-    def chars(self, n: int, of: str = _AN) -> str:
-        return "".join(self.r.choice(of) for _ in range(n))
-
-    def noun(self) -> str:
-        return self.r.choice(_NOUNS)
-
-    def uuid(self) -> str:
-        return "-".join(self.chars(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))
-
-    def password(self) -> str:
-        a, b, c = self.noun(), self.noun(), self.noun()
-        leet = str.maketrans("aeio", "4310")
-        return self.r.choice(
-            [
-                f"{a.title()}-{b}{self.r.randint(1, 999)}",
-                f"{a.title()}!{b}{self.r.randint(1, 999)}",
-                f"{a}-{b}-{c}{self.r.randint(1, 99)}",
-                (a + b).translate(leet) + str(self.r.randint(1, 99)),
-                self.chars(self.r.randint(9, 16)) + self.r.choice("!+.?%*&"),
-                self.chars(self.r.randint(10, 15)),
-                f"{a}{self.r.randint(1, 9999)}",
-            ]
-        )
-
-    def token(self) -> str:
-        r = self.r
-        return r.choice(
-            [
-                lambda: r.choice(["ghp_", "glpat-", "sk_live_", "npm_", "hf_"]) + self.chars(r.randint(20, 38)),
-                lambda: "AKIA" + self.chars(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-                lambda: f"xoxb-{self.chars(12, '0123456789')}-{self.chars(24)}",
-                lambda: f"{self.chars(3, 'abcdefghij')}_prod_{self.chars(28)}",
-                lambda: self.chars(32),
-                lambda: self.chars(43, _AN + "+/") + "=",
-                lambda: self.chars(40, "0123456789abcdef"),
-                lambda: self.uuid(),
-                lambda: "eyJ" + self.chars(30) + "." + self.chars(50) + "." + self.chars(43, _AN + "-_"),
-            ]
-        )()
-
-    def secret_name(self) -> str:
-        base = self.r.choice(
-            "password passwd db_pass admin_pwd dbPassword secret clientSecret client_secret webhookSecret API_KEY apiKey api_key token authToken auth_token access_token accessToken service_token signingKey signing_key private_key tls_key TOKEN CLIENT_SECRET SIGNING_KEY".split()
-        )
-        return self.tail(base)
-
-    def other_name(self) -> str:
-        return self.tail(self.r.choice("integrity etag contentHash treeId commit revision checksum image_digest requestId request_id traceUuid tenantId tenant_id buildSha build_sha publicKey sha256 commitSha file_hash".split()))
-
-    def plain_name(self) -> str:
-        return self.tail(self.r.choice([*_NOUNS, "conf", "cfg", "options", "value", "docs"]))
-
-    def tail(self, base: str) -> str:
-        return base + self.r.choice(["", "", f"_{self.chars(3, 'abcxyz')}", f"_{self.noun()}_{self.noun()}", self.noun().title() + self.noun().title(), "_v2"])
-
-    def url(self, middle: str) -> str:
-        return f"{self.r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'mongodb'])}://{middle}{self.noun()}-{self.noun()}.{self.r.choice(['example', 'internal.invalid', 'invalid'])}{self.r.choice(['', ':5432'])}/{self.noun()}"
-
-    def assign(self, name: str, value: str) -> str:
-        q = self.r.choice("'\"")
-        return self.r.choice(
-            [
-                f"const {name} = {q}{value}{q};",
-                f"${name} = {q}{value}{q};",
-                f"{name} = {q}{value}{q}",
-                f'  "{name}": "{value}",',
-                f"{name}: {value}",
-                f'{name}: "{value}"',
-                f"{name}={value}",
-                f"export {name.upper()}={q}{value}{q}",
-                f"// {name} = {q}{value}{q}",
-                f"const options = {{ user: {q}{self.noun()}{q}, {name}: {q}{value}{q} }};",
-                f"{self.plain_name()}({q}{name}{q}, {q}{value}{q});",
-            ]
-        )
-
-    def pem(self, kind: str, mark: bool) -> str:
-        a, b = ("«", "»") if mark else ("", "")
-        gap = self.r.choice(["\\n", "\n"])
-        rows = gap.join(f"{a}{self.chars(64, _AN + '+/')}{b}" for _ in range(self.r.randint(1, 4)))
-        return f"{self.r.choice(['const key = `', 'tls = ', ''])}-----BEGIN {kind}-----{gap}{rows}{gap}-----END {kind}-----"
-
-    def positive(self) -> str:
-        r = self.r
-        t, p = f"«{self.token()}»", f"«{self.password()}»"
-        half = self.chars(16)
-        return r.choice(
-            [
-                lambda: self.assign(self.secret_name(), t),
-                lambda: self.assign(self.secret_name(), t),
-                lambda: self.assign(self.secret_name(), p),
-                lambda: self.assign(self.secret_name(), p),
-                lambda: self.assign(self.plain_name(), self.url(f"{self.noun()}:{p}@")),
-                lambda: self.assign(r.choice(["database_url", "dsn", "DATABASE_URL", "broker"]), self.url(f"{self.noun()}:{p}@")),
-                lambda: f"const {self.plain_name()} = process.env.{self.noun().upper()}_{r.choice(['PASSWORD', 'TOKEN', 'KEY'])} || '{r.choice([t, p])}';",
-                lambda: f"${self.plain_name()} = getenv('{self.noun().upper()}_TOKEN') ?: '{t}';",
-                lambda: f"{self.plain_name()} = os.environ.get('{self.noun().upper()}_TOKEN', '{t}')",
-                lambda: f"const {self.plain_name()} = {{ Authorization: 'Bearer {t}' }};",
-                lambda: f"const {self.plain_name()} = {{ Authorization: 'Basic «{self.chars(r.randint(18, 34))}{r.choice(['', '=', '=='])}»' }};",
-                lambda: f"{r.choice(['//', '#'])} {r.choice(['old key', 'rotate me:', 'works on staging:', 'TODO drop token', 'temporary password is', 'old password:'])} {t}",
-                lambda: f"{r.choice(['//', '#'])} {r.choice(['temporary password is', 'old password:', 'password:', 'pwd'])} {p}",
-                lambda: f"const {self.secret_name()} = '«{half}»' + '«{self.chars(16)}»';",
-                lambda: f"{self.secret_name()} = '«{half}»' . '«{self.chars(16)}»';",
-                lambda: f"const {self.secret_name()} = ['«{self.chars(12)}»', '«{self.chars(12)}»'].join('');",
-                lambda: f"exec(`curl -H '{r.choice(['x-token', 'Authorization', 'x-api-key'])}: {t}' {self.url('')}`)",
-                lambda: f'console.log("{r.choice(["token", "secret", "x-api-key"])}", "{t}");',
-                lambda: f'md5("secret" + "{t}") used to hash',
-                lambda: self.pem(r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"]), True),
-            ]
-        )()
-
-    def negative(self) -> str:
-        r = self.r
-        stand = r.choice(["TODO", "REPLACE_ME", "changeme", "your-api-key-here", "example-token", "********", "xxxxxxxxxxxx", "<TOKEN>", "${SECRET}", "", "<your-key>", "password", "CHANGE_ME", "dummy"])
-        ident = r.choice([self.chars(40, "0123456789abcdef"), self.chars(40, "0123456789abcdef"), self.uuid(), "sha512-" + self.chars(80, _AN + "+/") + "=="])
-        return r.choice(
-            [
-                lambda: self.assign(self.secret_name(), stand),
-                lambda: self.assign(self.secret_name(), stand),
-                lambda: self.assign(self.other_name(), ident),
-                lambda: self.assign(self.other_name(), ident),
-                lambda: self.assign(self.plain_name(), self.url("")),
-                lambda: self.assign(self.plain_name(), self.url(f"{self.noun()}@")),
-                lambda: self.assign(self.plain_name(), self.url(r.choice(["USER:PASSWORD@", "<user>:<password>@", "${USER}:${PASSWORD}@", "user:password@", "user:****@"]))),
-                lambda: f"const {self.secret_name()} = process.env.{self.noun().upper()}_TOKEN;",
-                lambda: f"{self.secret_name()} = os.environ['{self.noun().upper()}_TOKEN']",
-                lambda: f"${self.secret_name()} = getenv('{self.noun().upper()}_TOKEN');",
-                lambda: self.assign(self.tail("password_file"), f"/run/{self.noun()}/{self.noun()}"),
-                lambda: self.assign(self.tail(r.choice(["token_ttl", "secret_name", "auth_token_header", "password_file"])), r.choice([str(r.randint(1, 99999)), f"X-{self.noun().title()}", f"/run/{self.noun()}/{self.noun()}", "${STORE}"])),
-                lambda: self.assign(self.tail("passwordLabel"), r.choice(["Password:", "Enter your password", "Forgot password?", "password"])),
-                lambda: f"// never put the {r.choice(['password', 'token', 'api key'])} in here, read it from the vault",
-                lambda: f"Math.random() generates {r.choice(['sessionToken', 'password'])}",
-                lambda: f"{r.choice(['sha1', 'md5'])} used to hash {r.choice(['password', 'secretKey', 'token'])}",
-                lambda: f"{r.choice(['Bearer', 'GitHub', 'Generic'])} credential: {self.chars(4)}...({r.randint(20, 50)} chars)",
-                lambda: f"const {self.noun()} = tokenize{self.noun().title()}({self.noun()}, {r.randint(2, 900)});",
-                lambda: f"const {self.noun()} = require('../../{self.noun()}/{self.noun()}{self.noun().title()}-{self.chars(3)}.js');",
-                lambda: f"export const op{self.noun().title()}{r.randint(0, 40)} = (q: {self.noun().title()}Req{r.randint(0, 40)}) => call('/v1/{self.noun()}/{r.randint(0, 40)}', q);",
-                lambda: f"import {{ tokenize{self.noun().title()}, {self.noun()} }} from '../{self.noun()}/{self.noun()}-{self.chars(3)}';",
-                lambda: f"  {self.noun()}.{self.noun()} = tokenize{self.noun().title()}({self.noun()}.{self.noun()});",
-                lambda: f"'{self.noun()} {self.noun()} was skipped in {self.noun()}' and {self.chars(3)}",
-                lambda: f"`{self.noun()}{self.noun().title()}` is imported from \"./{self.noun()}\" but never used",
-                lambda: f"const {self.plain_name()} = '{r.choice([self.noun(), self.noun() + '-' + self.noun(), str(r.randint(1, 9999))])}';",
-                lambda: self.pem("PUBLIC KEY", False),
-                lambda: f"const {self.plain_name()} = '{self.pem('CERTIFICATE', False)}';",
-            ]
-        )()
-
-
-def labelled(text: str) -> tuple[Line, list[int]]:
-    """Split marked text into tokens and their labels."""
-    clean, inside = [], []
-    on = False
-    for c in text:
-        if c in "«»":
-            on = c == "«"
-        else:
-            clean.append(c)
-            inside.append(on)
-    line = analyse("".join(clean))
-    labels, before = [], False
-    for a, b in line.spans:
-        now = inside[a]
-        labels.append((2 if before and all(inside[x] for x in range(max(a - 1, 0), b)) else 1) if now else 0)
-        before = now
-    return line, labels
-
-
-@cache
-def trained(lines: int = TRAINING_LINES) -> Field:
-    """The field fitted on so many template lines, half of them with a secret."""
-    made = Templates(SEED)
-    texts = [made.positive() if k % 2 else made.negative() for k in range(lines)]
-    return fit([labelled(t) for t in texts])
-
-
-# --- over texts --------------------------------------------------------------------------
-
-_HINTS = ("password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "dsn", "-----begin", "://")
-_SKIP_AFTER = {"token": re.compile("iz"), "auth": re.compile("or(?!iz)"), "pass": re.compile("word|wd|phrase")}
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_USERINFO = re.compile(r"[^\s/'\"`@]*:[^\s/'\"`]*@")
-_COMMENT = re.compile(r"[ \t]*(//+|#+|--|\*(?!/)|;+)?[ \t]*")
-_STRING = r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\\n])*`"
-_BRACKETS = re.compile(_STRING + r"|(?P<rest>[ \t](?://|#[ \t]).*)|(?P<open>[(\[])|(?P<close>[)\]])")
-_OPEN_END = re.compile(r"(?:[+.\\(\[]|\|\||\?\?|\?:)$")  # an expression surely goes on
-_VALUE_END = re.compile(r"(?:[:=?]|=>)$")  # the next line is the value if it is but a literal
-_BLOCK_END = re.compile(r":[ \t]*[|>][-+]?\d?$")  # the more indented lines are the value
-_GOES_ON = re.compile(r"(?:\+|\.[ \t]*['\"]|\|\||\?\?|\?:|[?:][ \t]|=(?!=)|[ \t]*->)")
-_LITERAL = re.compile(rf"(?:{_STRING}|[^\s:'\"`(){{}}\[\]]+)[ \t]*[,;]?$")
-
-
 def _key_end(text: str, begin: int, end: int) -> int:
     """Where the key block ends that begins on a line ending at ``end``.
 
@@ -562,133 +255,451 @@ def _key_end(text: str, begin: int, end: int) -> int:
         end = stop
     return last
 
+def key_blocks(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, private) of the key blocks of a text, from the begin marker on."""
+    out, at = [], text.find("-----BEGIN")
+    while at >= 0:
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if text.find("-----END", at, end) < 0:
+            end = _key_end(text, at, end)
+        out.append((at, end, "PRIVATE" in text[at : text.find("-----", at + 10)]))
+        at = text.find("-----BEGIN", end)
+    return out
 
-def _statement_end(text: str, start: int, end: int) -> int:
-    """Where the statement ends whose first line is given: behind the lines that hold the rest of its expression.
 
-    Lines go on while a round or square bracket of the statement is open, while one
-    ends or the next begins with an operator that joins, and over a literal alone
-    after a name. Commented-out lines go on in comments of the same kind. Empty and
-    comment lines are passed over in brackets and end it elsewhere, as do a brace and
-    a semicolon. A key block is a unit of its own.
-    """
-    depth, indent, prefix, block = 0, 0, None, False
-    while True:
-        line = text[start:end]
-        head = _COMMENT.match(line)
-        if prefix is None:
-            prefix, indent = head.group(1), len(line) - len(line.lstrip())
-        code, cut = line[head.end() :].rstrip(), None
-        for m in _BRACKETS.finditer(code):
-            if m.lastgroup == "rest":
-                cut = m.start()
-            elif m.lastgroup:
-                depth = max(depth + (1 if m.lastgroup == "open" else -1), 0)
-        code = code[:cut].rstrip()
-        if end >= len(text) or not block and code.endswith(("{", "}", ";")):
-            return end
-        stop = text.find("\n", end + 1)
-        stop = len(text) if stop < 0 else stop
-        line = text[end + 1 : stop]
-        head = _COMMENT.match(line)
-        body = line[head.end() :].rstrip()
-        while depth and stop < len(text) and (not body or head.group(1) and not prefix):
-            end, stop = stop, text.find("\n", stop + 1)
-            stop = len(text) if stop < 0 else stop
-            line = text[end + 1 : stop]
-            head = _COMMENT.match(line)
-            body = line[head.end() :].rstrip()
-        if not body or head.group(1) != prefix or "-----BEGIN" in body:
-            return end
-        block = block or bool(_BLOCK_END.search(code))
-        if block:
-            goes_on = len(line) - len(line.lstrip()) > indent
+def _key_tokens(text: str, start: int, stop: int, found: list[tuple[int, int]], shapes: np.ndarray, first: int) -> None:
+    """In a private key, read short rows as rows and headers as no values; both depend on the row they stand in."""
+    marks = [k for k, (a, _) in enumerate(found) if shapes[first + k] == SHAPE["pem-end"]]
+    to = found[marks[0]][0] if marks else stop
+    j = 1
+    for m in _SEGMENT.finditer(text, found[0][1], to):
+        if m["row"] is None:
+            continue
+        row = _ROW.match(m.group())
+        body, at, until = row["row"], m.start() + row.start("row"), m.start() + row.end("row")
+        kind = "stand-in" if _KEY_HEADER.fullmatch(body) else "random-long" if len(body) < 16 and _KEY_ROW.fullmatch(body) else ""
+        while j < len(found) and found[j][0] < until:
+            if kind and found[j][1] > at and shapes[first + j] < N_VALUES:
+                shapes[first + j] = SHAPE[kind]
+            j += 1
+
+
+@dataclass
+class Tokens:
+    """Tokens of several texts, in reading order: code first and comments behind it within a text."""
+
+    text: np.ndarray  # number of the text
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray  # from 0
+    shape: np.ndarray
+    block: np.ndarray  # the line on which the key block begins, or -1
+    quote: np.ndarray  # number of the quoted stretch, or -1
+    value: np.ndarray  # positions of value tokens
+    chain: np.ndarray  # whether a value token directly follows another one, aligned with value
+    features: np.ndarray  # rows of the weight table, one line per value token
+    rows: int  # of the weight table
+
+
+def _last(mask: np.ndarray) -> np.ndarray:
+    """The position of the last marked element strictly before each one, or -1."""
+    at = np.where(mask, np.arange(len(mask)), -1)
+    out = np.full(len(mask), -1)
+    if len(mask) > 1:
+        out[1:] = np.maximum.accumulate(at)[:-1]
+    return out
+
+
+def _quoted(shapes: np.ndarray, row: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The number of the quoted stretch each token stands in, or -1; only backticks go on over line ends."""
+    n = len(shapes)
+    kinds = [SHAPE[q] for q in "'\"`"]
+    at = np.flatnonzero((shapes >= kinds[0]) & (shapes <= kinds[2]))
+    edge = np.zeros(n + 1, np.int32)
+    number = np.zeros(n + 1, np.int32)
+    opened, since, where, inside = -1, -1, -1, -1
+    count = 0
+    for k, q, r, x in zip(at.tolist(), shapes[at].tolist(), row[at].tolist(), text[at].tolist(), strict=True):
+        if opened >= 0 and (x != inside or opened != kinds[2] and r != where):
+            opened = -1
+        if opened < 0:
+            opened, since, where, inside = q, k, r, x
+        elif q == opened:
+            count += 1
+            edge[since + 1] += 1
+            edge[k] -= 1
+            number[since + 1] = count
+            opened = -1
+    held = np.cumsum(edge[:n]) > 0
+    return np.where(held, np.maximum.accumulate(number[:n]), -1)
+
+
+class Features:
+    """Numbers features: each is a mix of small codes with a stretch of the weight table of its own."""
+
+    def __init__(self) -> None:
+        self.size, self.columns = 0, []
+
+    def add(self, *codes: tuple[np.ndarray, int]) -> None:
+        row = np.zeros(len(codes[0][0]), np.int64)
+        width = 1
+        for code, n in codes:
+            row = row * n + code
+            width *= n
+        self.columns.append(row + self.size)
+        self.size += width
+
+
+_CORE = np.array([VALUES.index("random") if s in _SPECIFIC else k for k, s in enumerate(VALUES)])
+
+
+def analyse(texts: list[str]) -> Tokens:
+    """Tokens, context and features of whole texts."""
+    found: list[str] = []
+    counts = []
+    blocks: list[list[tuple[int, int, bool]]] = []
+    for text in texts:
+        before = len(found)
+        if "://" in text and "@" in text:
+            at = 0
+            for m in _URL_PASSWORD.finditer(text):
+                found += _TOKEN.findall(text[at : m.start(1)])
+                found.append(_URL_MARK + m.group(1))
+                at = m.end(1)
+            found += _TOKEN.findall(text[at:])
         else:
-            goes_on = depth or _OPEN_END.search(code) or _GOES_ON.match(body) or _VALUE_END.search(code) and _LITERAL.match(body)
-        if not goes_on:
-            return end
-        start, end = end + 1, stop
+            found += _TOKEN.findall(text)
+        counts.append(len(found) - before)
+        blocks.append(key_blocks(text) if "-----BEGIN" in text else [])
+    n = len(found)
+    codes = np.fromiter(map(_codes.__getitem__, found), np.int64, n)
+    url = (codes >> _URL & 1).astype(bool)
+    lengths = np.fromiter(map(len, found), np.int64, n) - url
+    lead = codes >> _LEAD & 2**20 - 1
+    newlines = codes >> _NEWLINES & 2**20 - 1
+    shapes = (codes & 63).astype(np.int16)
+    text = np.repeat(np.arange(len(texts)), counts)
+    heads = np.cumsum([0, *counts])[:-1]
+    ends, lines = np.cumsum(lengths), np.cumsum(newlines)
+    bases = np.append(0, ends)[heads] if n else heads
+    ends = ends - np.repeat(bases, counts)
+    starts = ends - lengths + lead
+    lines = lines - np.repeat(np.append(0, lines)[heads], counts) if n else lines
+    block, pem = np.full(n, -1), np.zeros(n, np.int8)
+    for x, found_blocks in enumerate(blocks):
+        for a, b, private in found_blocks:
+            i, j = heads[x] + np.searchsorted(starts[heads[x] : heads[x] + counts[x]], [a, b])
+            pem[i:j] = 2 - private
+            if private and j > i:
+                block[i:j] = lines[i]
+                _key_tokens(texts[x], a, b, list(zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)), shapes, i)
+    # Comments are read behind the code, so what stands in them does not part a statement.
+    first = np.ones(n, bool)
+    first[1:] = (lines[1:] != lines[:-1]) | (text[1:] != text[:-1])
+    mark = (shapes == SHAPE["comment"]) & (first | (lead > 0)) & (block < 0) | (shapes == SHAPE[";"]) & first
+    line_first = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, int)
+    comment = (np.maximum.accumulate(np.where(mark, np.arange(n), -1)) >= line_first) if n else np.zeros(0, bool)
+    comment &= block < 0
+    # A comment behind code that names a secret tells of the code before it.
+    told = comment & ((codes >> _KIND & 3) == 1) & (codes >> _NAMES & 3 > 0)
+    row = np.cumsum(first) - 1
+    named_row = np.zeros(row[-1] + 1 if n else 0, bool)
+    named_row[row[told]] = True
+    noted = named_row[row] & ~comment
+    order = np.flatnonzero(~mark)
+    order = order[np.lexsort((comment[order], text[order]))]
+    take = lambda a: a[order]
+    text, starts, ends, lines, shapes, block, lead, codes, url, comment, noted, pem = map(take, (text, starts, ends, lines, shapes, block, lead, codes, url, comment, noted, pem))
+    n = len(order)
+    every = np.arange(n)
+    part = text * 2 + comment
+    row = np.ones(n, bool)
+    row[1:] = (lines[1:] != lines[:-1]) | (part[1:] != part[:-1])
+    turn = np.ones(n, bool)
+    turn[1:] = part[1:] != part[:-1]
+    joins, goes_on = codes >> _JOINS & 1, codes >> _GOES_ON & 1
+    fresh = turn.copy()
+    fresh[1:] |= row[1:] & (joins[:-1] == 0) & (goes_on[1:] == 0)
+    statement = np.maximum.accumulate(np.where(fresh, every, 0)) if n else every
+    quote = _quoted(shapes, np.cumsum(row), part)
+    is_quote = (shapes >= SHAPE["'"]) & (shapes <= SHAPE["`"])
+
+    def beside(values: np.ndarray, by: int, none: int) -> np.ndarray:
+        """Of the token so many places on; ``none`` beyond the text and its part."""
+        out = np.full(n, none, values.dtype)
+        if abs(by) < n:
+            i, j = (slice(None, n - by), slice(by, None)) if by > 0 else (slice(-by, None), slice(None, n + by))
+            out[i] = np.where(part[i] == part[j], values[j], none)
+        return out
 
+    none = N_SHAPES
+    before, before2 = beside(shapes, -1, none), beside(shapes, -2, none)
+    after, after2 = beside(shapes, 1, none), beside(shapes, 2, none)
+    same_row = beside(np.cumsum(row), 1, -1) == np.cumsum(row)
+    past = np.where((after >= SHAPE["'"]) & (after <= SHAPE["`"]), after2, after)  # what follows behind a quote
+    sets = np.isin(past, (SHAPE["="], SHAPE[":"])) & same_row
+    kind, names = codes >> _KIND & 3, codes >> _NAMES & 3
+    sets &= ~((before == SHAPE[":"]) & (past == SHAPE["="]) & (quote < 0))  # a type between a name and its value
+    owns = (names == 1) & ((kind != 0) | sets) | (names == 2) & (kind != 0) & np.isin(after, [SHAPE[c] for c in "=:'\"("])
+    owns |= (shapes < N_VALUES) & sets & (quote >= 0)
+    at = _last(owns)
+    known = at >= statement
+    # Names by kind, and calls named like a secret.
+    owner = np.where(known, kind[at] + 2 * ((kind[at] == 1) & (after[at] == SHAPE["("])), 0) if n else kind
+    gap = every - at
+    far = np.where(known, (gap > 3).astype(int) + (gap > 6) + (gap > 12), 4)
+    value_like = (shapes < N_VALUES) & (shapes > VALUES.index("const"))
+    word = codes >> _SCHEME_WORD & 3
+    at = _last(word > 0)
+    bearer = np.where((at >= statement) & (_last(value_like) < at), word[at], 0) if n else word
+    env = (_last(shapes == SHAPE["env"]) >= statement).astype(int)
+    broken = (lead > 0) | is_quote
+    broken_at = np.maximum.accumulate(np.where(broken, every, -1)) if n else every
+    in_url = (_last(shapes == SHAPE["scheme"]) >= broken_at).astype(int) & (_last(shapes == SHAPE["scheme"]) >= statement)
+    call = (codes >> _CALL & 1 > 0) & (after == SHAPE["("])
+    called = _last(call)
+    calls = ((called >= statement) & (called > _last(shapes == SHAPE[")"]))).astype(int)
+    commas = np.cumsum(shapes == SHAPE[","])
+    calls = np.where(calls > 0, 1 + np.minimum(commas - commas[called], 2), 0) if n else calls
+    v = np.flatnonzero(shapes < N_VALUES)
+    pick = lambda a, size: (a[v].astype(np.int64), size)
+    s = pick(shapes, N_VALUES)
+    core = (_CORE[shapes[v]] if len(v) else s[0], N_VALUES)
+    own, far, bear, url_code = pick(owner, 4), pick(far, 5), pick(bearer, 3), pick(url.astype(int) + (in_url > 0), 3)
+    placed = pick(quote >= 0, 2)
+    around = pick(((before >= SHAPE["'"]) & (before <= SHAPE["`"])).astype(int) * 2 + ((after >= SHAPE["'"]) & (after <= SHAPE["`"])), 4)
+    make, size = pick((codes >> _MAKE & 7) + 8 * (codes >> _ODD), 16), pick(codes >> _SIZE & 7, 8)
+    wide = N_SHAPES + 1
+    f = Features()
+    f.add(s)
+    f.add(s, own, around)
+    f.add(s, own, far)
+    f.add(core, own, placed, bear)
+    f.add(s, url_code)
+    f.add(core, pick(before, wide), own)
+    f.add(core, pick(before, wide), pick(before2, wide))
+    f.add(core, pick(after, wide), placed)
+    f.add(core, pick(past, wide), own)
+    f.add(core, pick(pem, 3))
+    f.add(s, bear)
+    f.add(core, pick(env, 2), own, placed)
+    f.add(core, pick(comment, 2), own)
+    f.add(core, make, size)
+    f.add(make, size, own, around)
+    f.add(core, pick(calls, 4), around, make)
+    f.add(s, pick(kind, 4), own)
+    f.add(pick(kind, 4), around, pick(past, wide))
+    f.add(core, pick((every - statement < 3), 2), own)
+    f.add(core, pick(noted, 2), around)
+    stand = pick(np.isin(shapes, [SHAPE[x] for x in ("stand-in", "env", "path", "const")]), 2)
+    f.add(stand, url_code)
+    f.add(stand, own, around, pick(codes >> _ODD, 2))
+    f.add(stand, pick(noted, 2), own, around)
+    chain = np.zeros(len(v), bool)
+    chain[1:] = (v[1:] == v[:-1] + 1) & ~turn[v[1:]] & (block[v[1:]] == block[v[:-1]])
+    return Tokens(text, starts, ends, lines, shapes, block, quote, v, chain, np.stack(f.columns, 1).astype(np.int32), f.size)
 
-def units(text: str) -> list[tuple[int, int, int]]:
-    """(line number, start, end) of the statements worth labelling; a key block is one unit from its first line.
 
-    A line is worth it when it holds a telling word beside a possible value, a URL
-    with a password, a key block or a run that looks random. One with a telling
-    word takes the lines along on which its expression goes on, as a value may
-    stand below its name. What the field would mark elsewhere has no name, prefix
-    or form that tells a secret.
-    """
-    low = text.lower()
-    if len(low) != len(text):  # letters whose lower case is longer
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    starts: set[int] = set()
-    named: set[int] = set()
-    for hint in _HINTS:
-        at = low.find(hint)
-        while at >= 0:
-            after = at + len(hint)
-            if hint == "key" and not (at and low[at - 1] not in "\r\n\t'\"(){}[],;:="):
-                pass
-            elif hint == "://" and not _USERINFO.match(text, after):
-                pass
-            elif hint in _SKIP_AFTER and _SKIP_AFTER[hint].match(low, after):
-                pass
+
+# --- the field ------------------------------------------------------------------------
+
+OUT, BEGIN, INSIDE = range(3)
+_FORBIDDEN = -1e9
+
+
+@dataclass
+class Field:
+    """Weights of features and moves[a][b] from label a to b; inside never follows outside."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        out = np.zeros((len(tokens.value), 3), np.float32)
+        for k in range(tokens.features.shape[1]):
+            out += self.weights[tokens.features[:, k]]
+        return out
+
+    def viterbi(self, tokens: Tokens) -> np.ndarray:
+        """The best label of every value token.
+
+        A token whose score for outside exceeds the others by more than moves could
+        ever make up for is outside on every best path; it parts the chain there, so
+        what is left to walk are short stretches, all of them at once.
+        """
+        s = self.scores(tokens).astype(np.float64)
+        s[:, OUT] += RARITY
+        n, m = len(s), self.moves
+        labels = np.zeros(n, np.int8)
+        if not n:
+            return labels
+        allowed = m[m > _FORBIDDEN / 2]
+        slack = np.full(n, 3 * (allowed.max() - allowed.min()))
+        linked = np.append(tokens.chain[1:], False)  # whether the next one is chained to this one
+        slack[:-1] += np.where(linked[:-1], np.maximum(s[1:, INSIDE] - s[1:, BEGIN], 0), 0)
+        sure = s[:, OUT] - s[:, 1:].max(1) > slack
+        left = np.flatnonzero(~sure)
+        if not len(left):
+            return labels
+        behind = tokens.chain & np.append(False, sure[:-1])
+        ahead = linked & np.append(sure[1:], False)
+        goes = tokens.chain & ~behind
+        step = np.zeros(n, np.int64)
+        position = np.arange(n) - np.maximum.accumulate(np.where(goes, 0, np.arange(n)))
+        step[left] = position[left]
+        order = left[np.argsort(step[left], kind="stable")]
+        bounds = np.searchsorted(step[order], np.arange(step[order[-1]] + 2))
+        best, source = np.zeros((n, 3)), np.zeros((n, 3), np.int8)
+        last = ahead[:, None] * m[:, OUT]
+        for p in range(len(bounds) - 1):
+            at = order[bounds[p] : bounds[p + 1]]
+            if p:
+                ways = best[at - 1][:, :, None] + m
+                source[at] = ways.argmax(1)
+                best[at] = ways.max(1) + s[at]
             else:
-                starts.add(text.rfind("\n", 0, at) + 1)
-                if hint not in ("-----begin", "://"):
-                    named.add(text.rfind("\n", 0, at) + 1)
-                after = text.find("\n", at)
-                if after < 0:
-                    break
-            at = low.find(hint, after)
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if looks_random(run) or _HEX.fullmatch(run) or _PROVIDER.fullmatch(run):
-            starts.add(text.rfind("\n", 0, m.start()) + 1)
-    out, counted, number, done = [], 0, 1, -1
-    for start in sorted(starts):
-        if start < done:
-            continue
-        number += text.count("\n", counted, start)
-        counted = start
-        end = text.find("\n", start)
-        end = len(text) if end < 0 else end
-        begin = text.find("-----BEGIN", start, end)
-        if begin >= 0 and text.find("-----END", begin, end) < 0:
-            end = _key_end(text, begin, end)
-        elif begin < 0 and start in named:
-            end = _statement_end(text, start, end)
-        done = end
-        out.append((number, start, end))
-    return out
+                best[at] = s[at] + behind[at][:, None] * m[OUT]
+                best[at, INSIDE] = _FORBIDDEN
+        ends = order[~goes[np.minimum(order + 1, n - 1)] | (order == n - 1) | sure[np.minimum(order + 1, n - 1)]]
+        labels[ends] = (best[ends] + last[ends]).argmax(1)
+        for p in range(len(bounds) - 2, 0, -1):
+            at = order[bounds[p] : bounds[p + 1]]
+            labels[at - 1] = source[at, labels[at]]
+        return labels
+
+
+def _slice(tokens: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of value tokens a to b, and those of them that are chained to the one before."""
+    moved = np.flatnonzero(tokens.chain[a:b])
+    return tokens.features[a:b], moved[moved > 0]
+
+
+def fit(tokens: Tokens, labels: np.ndarray, epochs: int = EPOCHS, batches: int = BATCHES, rate: float = RATE, penalty: float = PENALTY) -> Field:
+    """Gradient ascent on the log likelihood, a batch of texts at a time, with steps by the inverse root of past squares."""
+    weights, moves = np.zeros((tokens.rows, 3), np.float32), np.zeros((3, 3))
+    moves[OUT, INSIDE] = _FORBIDDEN
+    squares, move_squares = np.full(weights.shape, 1e-2, np.float32), np.full((3, 3), 1.0)
+    heads = np.flatnonzero(~tokens.chain)
+    cuts = [*heads[np.linspace(0, len(heads) - 1, batches + 1).astype(int)[:-1]], len(labels)]
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        features, moved = _slice(tokens, a, b)
+        goes = np.zeros(b - a, bool)
+        goes[moved] = True
+        position = np.arange(b - a) - np.maximum.accumulate(np.where(goes, 0, np.arange(b - a)))
+        order = np.argsort(position, kind="stable")
+        bounds = np.searchsorted(position[order], np.arange(position.max() + 2))
+        seen = np.zeros((3, 3))
+        np.add.at(seen, (labels[a:b][moved - 1], labels[a:b][moved]), 1)
+        parts.append((features, moved, [order[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], np.eye(3)[labels[a:b]], seen))
+    for _ in range(epochs):
+        for features, moved, steps, target, seen in parts:
+            n = len(target)
+            s = np.zeros((n, 3), np.float32)
+            for k in range(features.shape[1]):
+                s += weights[features[:, k]]
+            ahead, after = np.zeros((n, 3)), np.zeros((n, 3))
+            for p, at in enumerate(steps):
+                if p:
+                    ahead[at] = np.logaddexp.reduce(ahead[at - 1][:, :, None] + moves, axis=1) + s[at]
+                else:
+                    ahead[at] = s[at]
+                    ahead[at, INSIDE] = _FORBIDDEN
+            for at in reversed(steps[1:]):
+                after[at - 1] = np.logaddexp.reduce(moves + (s[at] + after[at])[:, None, :], axis=2)
+            each = ahead + after
+            z = np.logaddexp.reduce(each, axis=1)
+            slope = target - np.exp(each - z[:, None])
+            pairs = np.exp(ahead[moved - 1][:, :, None] + moves + (s[moved] + after[moved])[:, None, :] - z[moved][:, None, None]).sum(0)
+            rows = np.flatnonzero(np.abs(slope).max(1) > 1e-3)
+            at = features[rows].ravel()
+            used, where = np.unique(at, return_inverse=True)
+            grad = np.stack([np.bincount(where, np.repeat(slope[rows, y], features.shape[1]), len(used)) for y in range(3)], 1).astype(np.float32)
+            grad -= penalty * n * weights[used]
+            squares[used] += grad * grad
+            weights[used] += rate * grad / np.sqrt(squares[used])
+            g = np.where(moves > _FORBIDDEN / 2, seen - pairs, 0)
+            move_squares += g * g
+            moves = moves + rate * g / np.sqrt(move_squares)
+    return Field(weights, moves)
+
+
+def labelled(texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """Tokens of texts whose secrets stand between the marks « and », and the label of each value token."""
+    clean, marked = [], []
+    for text in texts:
+        pieces = re.split("[«»]", text)
+        clean.append("".join(pieces))
+        inside = np.zeros(len(clean[-1]) + 1, bool)
+        at = 0
+        for k, piece in enumerate(pieces):
+            inside[at : at + len(piece)] = k % 2
+            at += len(piece)
+        marked.append(inside)
+    tokens = analyse(clean)
+    v = tokens.value
+    held = np.array([marked[x][a] for x, a in zip(tokens.text[v].tolist(), tokens.start[v].tolist(), strict=True)], bool)
+    touches = np.append(False, (tokens.end[v][:-1] == tokens.start[v][1:])) & tokens.chain
+    return tokens, np.where(held, np.where(touches & np.append(False, held[:-1]), INSIDE, BEGIN), OUT).astype(np.int8)
+
+
+@cache
+def trained(lines: int = TRAINING_LINES) -> Field:
+    """The field fitted on so many template lines, half of them with a secret, and as much code without any."""
+    made = Templates(SEED)
+    texts = [made.positive() if k % 2 else made.negative() for k in range(lines)]
+    texts += plain_code(lines)
+    random.Random(SEED).shuffle(texts)
+    return fit(*labelled(texts))
+
+
+# --- over texts --------------------------------------------------------------------------
+
 
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of stretches of bounded size; a long text is never cut."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > at and size + len(text) > CHUNK:
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, texts[at:]
 
-def spans(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """(line, start, end) of every run of secret characters in the text."""
-    out = []
-    for number, start, end in units(text):
-        unit = text[start:end]
-        line = analyse(unit)
-        last, block, at = None, "-----BEGIN" in unit, start
-        for (a, b), y in zip(line.spans, field.viterbi(line.features), strict=True):
-            if y == 2 and last is not None and last[2] == start + a:
-                last[2] = start + b
-            elif y:
-                if not block:
-                    number += text.count("\n", at, start + a)
-                    at = start + a
-                last = [number, start + a, start + b]
-                out.append(last)
-                continue
-            if not y:
-                last = None
-    return [tuple(x) for x in out]
+
+def spans(texts: list[str], field: Field) -> Iterator[tuple[int, int, int, int]]:
+    """(text, line, start, end) of every run of secret characters, in the order of texts and characters.
+
+    Pieces of one quoted text with nothing but marks between them are one run. All
+    pieces of a key block count at its first line.
+    """
+    for base, chunk in _chunks(texts):
+        t = analyse(chunk)
+        hits = t.value[np.flatnonzero(field.viterbi(t))]
+        if not len(hits):
+            continue
+        hits = hits[np.lexsort((t.start[hits], t.text[hits]))]
+        columns = (t.text[hits], t.line[hits], t.start[hits], t.end[hits], t.block[hits], t.quote[hits])
+        last: list[int] | None = None
+        for x, line, start, end, block, quote in zip(*(c.tolist() for c in columns), strict=True):
+            line = block if block >= 0 else line
+            if last is not None and x == last[0]:
+                between = chunk[x][last[3] : start]
+                if line == last[1] and quote == last[5] and (not between or quote >= 0 and block < 0 and not re.search(r"[\s\w'\"`\\]", between)):
+                    last[3] = end
+                    continue
+            if last is not None:
+                yield base + last[0], last[1] + 1, last[2], last[3]
+            last = [x, line, start, end, block, quote]
+        if last is not None:
+            yield base + last[0], last[1] + 1, last[2], last[3]
 
 
 def redact(text: str, field: Field) -> str:
     pieces, at = [], 0
-    for _, a, b in spans(text, field):
+    for _, _, a, b in spans([text], field):
         pieces += [text[at:a], MASK]
         at = b
     return "".join([*pieces, text[at:]])
@@ -705,19 +716,17 @@ def found_secrets(parsed: DataFrame, findings: DataFrame) -> DataFrame:
     """(record_kind, record_key, line) of every line that holds a secret, doubled rows counting once.
 
     Lines are split at line feeds and counted from 1; a key block counts at its
-    first line, the pieces of another secret each at their own. Empty texts hold nothing; very long lines are labelled whole.
+    first line, the pieces of another secret each at their own. Every line of every
+    text is labelled, very long ones whole. Empty texts hold nothing.
     """
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lines = [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                for number in sorted({s[0] for s in spans(text, field)}):
-                    rows.append(k)
-                    lines.append(number)
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.int32())], ["record_kind", "record_key", "line"])
+            hits = dict.fromkeys((x, line) for x, line, _, _ in spans(batch.column(2).to_pylist(), field))
+            at = pa.array([x for x, _ in hits], pa.int32())
+            lines = pa.array([line for _, line in hits], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lines], ["record_kind", "record_key", "line"])
 
     return spread(_texts(parsed, findings)).mapInArrow(run, "record_kind string, record_key string, line int").distinct()
 
@@ -728,13 +737,14 @@ def redacted_texts(parsed: DataFrame, findings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                clean = redact(text, field)
-                if clean != text:
-                    rows.append(k)
-                    texts.append(clean)
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(texts, pa.string())], ["record_kind", "record_key", "text"])
+            texts = batch.column(2).to_pylist()
+            clean: dict[int, list[str]] = {}
+            done: dict[int, int] = {}
+            for x, _, a, b in spans(texts, field):
+                clean.setdefault(x, []).extend((texts[x][done.get(x, 0) : a], MASK))
+                done[x] = b
+            at = pa.array(list(clean), pa.int32())
+            out = pa.array(["".join([*pieces, texts[x][done[x] :]]) for x, pieces in clean.items()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), out], ["record_kind", "record_key", "text"])
 
     return spread(_texts(parsed, findings)).mapInArrow(run, "record_kind string, record_key string, text string").distinct()
