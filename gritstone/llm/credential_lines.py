@@ -76,8 +76,7 @@ class Templates:
                 lambda: self.chars(43, _AN + "+/") + "=",
                 lambda: self.chars(22, _AN + "+/"),
                 lambda: self.chars(r.choice([32, 40, 40, 64]), _HEX),
-                lambda: self.uuid(),
-                lambda: self.uuid(),
+                *[lambda: self.uuid()] * 3,
                 lambda: "eyJ" + self.chars(30) + ".eyJ" + self.chars(50) + "." + self.chars(43, _AN + "-_"),
             ]
         )()
@@ -134,7 +133,7 @@ class Templates:
 
     def pem(self, kind: str, mark: bool) -> str:
         a, b = ("«", "»") if mark else ("", "")
-        gap, start, end = self.r.choice([("\\n", "const key = `", "`;"), ("\n", "", ""), ("\n", "tls = ", ""), ("\n", "const key = `", "`"), ("\\n'\n  . '", "$key = '", "';"), ('\\n" +\n  "', 'key = "', '"'), ("\n  ", "key: |\n  ", "")])
+        gap, start, end = self.r.choice([("\\n", "const key = `", "`;"), ("\\n", 'key = "', '";'), ("\\n", "  key: '", "',"), ("\n", "", ""), ("\n", "tls = ", ""), ("\n", "const key = `", "`"), ("\\n'\n  . '", "$key = '", "';"), ('\\n" +\n  "', 'key = "', '"'), ("\n  ", "key: |\n  ", "")])
         rows = [64] * self.r.randint(1, 4) + self.one([], [self.r.randint(3, 60)])
         body = gap.join(f"{a}{self.chars(n, _AN + '+/')}{b}{self.one('', '=', '==')}" for n in rows)
         return f"{start}-----BEGIN {kind}-----{gap}{body}{gap}-----END {kind}-----{end}"
@@ -187,7 +186,8 @@ class Templates:
                 lambda: f'{self.one("console.log", "print", "logger.info")}("{self.one("token", "secret", "x-api-key")}", "{t}");',
                 lambda: f'{self.one("md5", "sha1", "hmac")}("{self.one("secret", "token", "api-key")}" + "{t}"){self.one("", ";", " is weak")}',
                 lambda: f"if ({self.secret_name()} === '{r.choice([t, p])}') {{",
-                lambda: self.pem(self.one("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"), True),
+                *[lambda: self.pem(self.one("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"), True)] * 2,
+                lambda: f"{self.noun()}:\n  {self.secret_name()}: {self.one('>-', '|', '>')}\n    {p}\n  {self.setting(': ').strip()}",
             ]
         )()
 

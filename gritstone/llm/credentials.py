@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from gritstone.llm.credential_lines import Templates, plain_code
 from gritstone.session import spread
 
-TRAINING_LINES = 20000  # lines from templates; as many lines of code without secrets at most
+TRAINING_LINES = 30000  # lines from templates; as many lines of code without secrets at most
 EPOCHS = 12
-BATCHES = 80
+BATCHES = 120
 RATE = 0.3
 PENALTY = 2e-5
 RARITY = 0.5  # log odds against a secret, which is rarer in code than in the lines the field is fitted on
@@ -41,15 +42,18 @@ KNOWN_TOKENS = 400_000  # distinct tokens remembered by a task
 # --- lexical tokens ----------------------------------------------------------------
 
 _TOKEN = re.compile(
-    r"\s*(?:-----(?:BEGIN|END)[A-Z0-9 ]*-----"
-    r"|[A-Za-z][A-Za-z0-9+.-]*://"
+    # What most code consists of comes first: names and marks without a special meaning of their own.
+    r"\s*+(?:(?<!['\"`])[A-Za-z_][A-Za-z0-9_]*+(?![./+~!%^&*?#$'=-]|://)"
+    r"|(?<!['\"`])[\"'`(){}\[\],;:@=>|]"
+    r"|-----(?:BEGIN|END)[A-Z0-9 ]*-----"
+    r"|[A-Za-z][A-Za-z0-9+.-]*+://"
     r"|\$\{[^}\s]*\}|<[\w -]+>"
     r"|\\[nrt]"
-    r"|[A-Za-z]{2,}'(?:s|t|re|ve|ll|d|m)\b(?!['\"])"
+    r"|[A-Za-z]{2,}+'(?:s|t|re|ve|ll|d|m)\b(?!['\"])"
     # A quoted text without blanks and joints is one token, whatever marks it holds.
-    r"|(?<=['\"`])(?:[^\s'\"`\\=:/&.$]|\$(?!\{)){6,200}(?=['\"`])"
-    r"|(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{8,}={1,2}(?=[\"'`\s,;)}@\\]|$)"
-    r"|[A-Za-z0-9_./+~!%^&*?#$-]+"
+    r"|(?<=['\"`])(?:[^\s'\"`\\=:/&.$]++|\$(?!\{)){1,200}+(?<=[^'\"`]{6})(?=['\"`])"
+    r"|(?=[A-Za-z+/]*+\d)[A-Za-z0-9+/]{8,}+={1,2}(?=[\"'`\s,;)}@\\]|$)"
+    r"|[A-Za-z0-9_./+~!%^&*?#$-]++"
     r"|\S)"
 )
 # The password of a URL is one token whatever it holds; its last @ ends it.
@@ -76,25 +80,33 @@ _KEY_OWNERS = frozenset("api private signing access secret encryption tls ssl ss
 _OTHER_WORDS = frozenset(
     "public integrity etag hash sha digest checksum md5 crc commit revision rev tree trace request uuid guid tenant build label file path name ttl header hint help title message placeholder field prompt url link docs doc length size count policy id type regex pattern version expires expiry fingerprint blob object".split()
 )
-_SCHEME_WORDS = frozenset(("bearer", "basic"))
+_SCHEME_WORDS = {"bearer": 1, "basic": 2}
 
 
 _ENDS_SECRET = re.compile(r"(?<=[a-z])(?:password|passwd|pwd|secret)$|^[a-z]{2,4}(?<!by)(?<!com)(?<!sur)(?<!tres)pass$")
-
-
-def name_class(name: str) -> str:
-    """s: a name that holds a secret, o: one that holds something else, n: neither."""
-    parts = [p.lower() for p in _PARTS.findall(name)]
-    held = frozenset("password" if _ENDS_SECRET.search(p) else p for p in parts)
-    parts = ["password" if _ENDS_SECRET.search(p) else p for p in parts]
+_TELLING = _SECRET_WORDS | _OTHER_WORDS | {"key"}
+# A telling word that rather describes the secret beside it, and one that turns a secret's name into another's.
+_BESIDE = frozenset("id url request build tenant trace policy header revision version digest tree label hash message".split())
+_TURNING = frozenset("label file name ttl header hint length field placeholder type expires expiry path policy id".split())
+
+
+def name_class(parts: list[str], low: str) -> str:
+    """s: a name that holds a secret, o: one that holds something else, n: neither; from the lower-case words of a name."""
+    if "pass" in low or "pwd" in low or "secret" in low:
+        parts = ["password" if _ENDS_SECRET.search(p) else p for p in parts]
+    if _TELLING.isdisjoint(parts):
+        return "n"
+    held = frozenset(parts)
+    other = held & _OTHER_WORDS
     secret = bool(held & _SECRET_WORDS) or any(b == "key" and a in _KEY_OWNERS for a, b in zip(parts, parts[1:]))
-    if held & _OTHER_WORDS and not (secret and not held & _OTHER_WORDS - {"id", "url", "request", "build", "tenant", "trace", "policy", "header", "revision", "version", "digest", "tree", "label", "hash", "message"}):
+    if other and not (secret and other <= _BESIDE):
         # The first telling word decides between the two, unless the other one is not a plain noun.
         first = next(i for i, p in enumerate(parts) if p in _OTHER_WORDS)
         own = next((i for i, p in enumerate(parts) if p in _SECRET_WORDS or p == "key"), 99)
-        if not secret or first < own or first == own + 1 and parts[first] in ("label", "file", "name", "ttl", "header", "hint", "length", "field", "placeholder", "type", "expires", "expiry", "path", "policy", "id"):
+        if not secret or first < own or first == own + 1 and parts[first] in _TURNING:
             return "o"
-    return "s" if secret else "o" if held & _OTHER_WORDS else "n"
+    return "s" if secret else "o" if other else "n"
+
 
 _CALL_WORDS = frozenset("connect login logon signin authenticate auth bind password".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{5,}|[^A-Za-z0-9]")
@@ -116,104 +128,119 @@ MARKS = list("'\"`(){}[],;:@=<>|\\.")
 SHAPE = {s: k for k, s in enumerate([*VALUES, *OTHERS, *MARKS])}
 N_SHAPES, N_VALUES = len(SHAPE), len(VALUES)
 _SPECIFIC = ("provider", "jwt", "uuid", "hex", "random", "base64")
+_DIGIT, _UPPER, _NAME_MARK, _ODD_MARK = (re.compile(x) for x in (r"\d", r"[A-Z]", r"[_$A-Z]", r"[!%^&*?#~+@()\[\]{}]"))
 _LABELLED_TEXT = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]")
 _COMMENT = re.compile(r"//+!?|#+|--|/\*+|\*+|;+")
-_PATH = re.compile(r"(?:\.{1,2}/|/|@|~/).*|(?:[\w.@-]*[a-z]{3,}[\w.-]*/)+[\w.*-]*")
+_PATH = re.compile(r"(?:\.{1,2}/|/|@|~/).*|[\w.@/-]+\.[a-z][a-z0-9]{0,4}|(?:[\w.@-]*[a-z]{3,}[\w.-]*/)+[\w.*-]*")
 _MIXED_CASE = re.compile(r"\d[A-Za-z]+\d|[A-Z]\d|\d[A-Z]|[a-z][A-Z][a-z][A-Z]")
 _NUMERAL = re.compile(r"[-+]?(?:0[xX][0-9a-fA-F_]+|[\d._]+(?:[eE][-+]?\d+)?[a-zA-Z%]{0,3})")
 _CONSTANT = re.compile(r"(?=[A-Z0-9_]*_)[A-Z][A-Z0-9]*(?:_+[A-Z0-9]+)*")
+_NO_WORD = re.compile(r"(.)\1{3,}$|[$#%]?\{.*\}$|<.*>$|%\(?\w*\)?[sd]?$|\$\w+$")
 _INSERTED = re.compile(r"[$#%]?\{.*\}|%\(?\w*\)?[sd]?|<.*>|\$\w+")
 
 
-def shape(t: str) -> str:
-    """The class of a token's form."""
-    if len(t) == 1 and t in SHAPE:
+def shape(t: str, parts: int) -> str:
+    """The class of a token's form; ``parts`` is its number of words and numbers."""
+    size = len(t)
+    if size == 1 and t in SHAPE:
         return t
-    if t[0] == "\\" and len(t) == 2:
+    if t[0] == "\\" and size == 2:
         return "escape"
-    if t.endswith("://"):
+    if t[-1] == "/" and t.endswith("://"):
         return "scheme"
-    if t.startswith("-----") and t.endswith("-----"):
+    if t[0] == "-" and t.startswith("-----") and t.endswith("-----"):
         return "pem-end" if t.startswith("-----END") else "pem-private" if "PRIVATE" in t else "pem-public" if "BEGIN" in t else "op"
-    if _STAND_IN.fullmatch(t) or _MASKED.fullmatch(t) or _INSERTED.fullmatch(t):
-        return "stand-in"
     if not _LABELLED_TEXT.search(t):
-        return "comment" if _COMMENT.fullmatch(t) else "op"
-    if _PROVIDER.fullmatch(t):
-        return "provider"
-    if _JWT.fullmatch(t):
-        return "jwt"
-    if _UUID.fullmatch(t):
-        return "uuid"
-    if _HEX.fullmatch(t):
-        return "hex"
-    if t.startswith(("sha256-", "sha384-", "sha512-")):
-        return "integrity"
-    if "/" in t and not t.endswith("=") and (_PATH.fullmatch(t) or not looks_random(t)):
-        return "path" if _PATH.fullmatch(t) or len(t) < 12 or not _MIXED_CASE.search(t) else "random"
-    if t.startswith(("process.env", "os.environ", "$_ENV", "import.meta")) or t in ("getenv", "env"):
+        return "stand-in" if _MASKED.fullmatch(t) or _INSERTED.fullmatch(t) else "comment" if _COMMENT.fullmatch(t) else "op"
+    if _NO_WORD.match(t) or _STAND_IN.fullmatch(t):
+        return "stand-in"
+    digit = _DIGIT.search(t) is not None
+    if size >= 16:
+        if _PROVIDER.fullmatch(t):
+            return "provider"
+        if digit:
+            if t.startswith("eyJ") and _JWT.fullmatch(t):
+                return "jwt"
+            if size == 36 and _UUID.fullmatch(t):
+                return "uuid"
+            if size >= 32 and _HEX.fullmatch(t):
+                return "hex"
+            if t.startswith(("sha256-", "sha384-", "sha512-")):
+                return "integrity"
+    if "/" in t and t[-1] != "=" and (_PATH.fullmatch(t) or not looks_random(t)):
+        return "path" if size < 12 or _PATH.fullmatch(t) or not _MIXED_CASE.search(t) else "random"
+    if t in ("getenv", "env") or t.startswith(("process.env", "os.environ", "$_ENV", "import.meta")):
         return "env"
-    if _NUMERAL.fullmatch(t):
-        return "number"
-    if looks_random(t):
-        return "random" if len(t) < 64 else "random-long"
-    if t.endswith("=") and len(t) >= 12 and t.count("/") < 4:
+    if digit:
+        if _NUMERAL.fullmatch(t):
+            return "number"
+        if looks_random(t):
+            return "random" if size < 64 else "random-long"
+    if t[-1] == "=" and size >= 12 and t.count("/") < 4:
         return "base64"
     if t.isalpha():
-        return "word" if len(_PARTS.findall(t)) == 1 else "name"
+        return "word" if parts == 1 else "name"
     if _CONSTANT.fullmatch(t):
         return "const"
-    digit = any(c.isdigit() for c in t)
-    if _IDENT.fullmatch(t) and not (digit and not re.search(r"[_$A-Z]", t)):
+    if _IDENT.fullmatch(t) and (not digit or _NAME_MARK.search(t)):
         return "name"
-    return "mixed" if digit or re.search(r"[!%^&*?#~+@()\[\]{}]", t) else "words"
+    return "mixed" if digit or _ODD_MARK.search(t) else "words"
 
 
 # Bits of a token's code: shape, kind of name, flags, make-up and size, and the white space before it.
 _KIND, _NAMES, _SCHEME_WORD, _CALL, _JOINS, _GOES_ON, _URL, _MAKE, _SIZE, _LEAD, _NEWLINES, _ODD = 6, 8, 10, 12, 13, 14, 15, 16, 19, 22, 42, 62
 _KINDS = {"n": 0, "s": 1, "o": 2}
+_PLAIN_NAMES, _NAMING = frozenset(("word", "name", "const")), frozenset(("word", "name", "const", "words", "mixed"))
+_SIZES = (5, 8, 12, 16, 28, 64, 160)
 # An expression surely goes on behind a line that ends so, or before one that begins so.
 _JOIN_ENDS, _CONTINUES = frozenset("+.,\\([=:|?&>-"), frozenset("+.|?:=-&)]>")
 
 
 def _code(token: str) -> int:
-    bare = token.lstrip()
-    lead = len(token) - len(bare)
-    url = bare[:1] == _URL_MARK
-    t = bare[1:] if url else bare
+    """The code of a token without white space before it."""
+    url = token[:1] == _URL_MARK
+    t = token[1:] if url else token
     if not t:
-        return SHAPE["other"] | min(lead, 2**20 - 1) << _LEAD
-    s = shape(t)
-    kind, names, low = 0, 0, t.lower()
-    if s in ("word", "name", "const") or low in _SECRET_WORDS:
-        kind, names = _KINDS[name_class(t)], 1
-    elif s in ("words", "mixed"):
-        kind, names = _KINDS[name_class(t)], 2
-    upper, digit = any(c.isupper() for c in t), any(c.isdigit() for c in t)
-    mark = any(not c.isalnum() for c in t)
-    parts = {p.lower() for p in _PARTS.findall(t)} if names == 1 else ()
+        return SHAPE["other"]
+    parts, low = _PARTS.findall(t), t.lower()
+    s = shape(t, len(parts))
+    kind, names, called = 0, 0, False
+    if s in _NAMING or low in _SECRET_WORDS:
+        words = [p.lower() for p in parts]
+        kind, names = _KINDS[name_class(words, low)], 1 if s in _PLAIN_NAMES or low in _SECRET_WORDS else 2
+        called = names == 1 and not _CALL_WORDS.isdisjoint(words)
+    place, size = SHAPE[s], len(t)
+    mark = place >= N_VALUES
+    odd = size > 5 and 5 * len(parts) > 2 * sum(map(len, parts))  # letters and digits change as in no word
+    make = (low != t and _UPPER.search(t) is not None) | (_DIGIT.search(t) is not None) << 1 | (not t.isalnum()) << 2
     return (
-        SHAPE[s]
+        place
         | kind << _KIND
         | names << _NAMES
-        | {"bearer": 1, "basic": 2}.get(low, 0) << _SCHEME_WORD
-        | bool(parts and parts & _CALL_WORDS) << _CALL
-        | (SHAPE[s] >= N_VALUES and t[-1] in _JOIN_ENDS) << _JOINS
-        | (SHAPE[s] >= N_VALUES and t[0] in _CONTINUES) << _GOES_ON
+        | _SCHEME_WORDS.get(low, 0) << _SCHEME_WORD
+        | called << _CALL
+        | (mark and t[-1] in _JOIN_ENDS) << _JOINS
+        | (mark and t[0] in _CONTINUES) << _GOES_ON
         | url << _URL
-        | (upper | digit << 1 | mark << 2) << _MAKE
-        | sum(len(t) >= n for n in (5, 8, 12, 16, 28, 64, 160)) << _SIZE
-        | min(lead, 2**20 - 1) << _LEAD
-        | (len(t) > 5 and 5 * len(_PARTS.findall(t)) > 2 * sum(c.isalnum() for c in t)) << _ODD  # letters and digits change as in no word
-        | min(bare is not token and token.count("\n", 0, lead), 2**20 - 1) << _NEWLINES
+        | make << _MAKE
+        | bisect(_SIZES, size) << _SIZE
+        | odd << _ODD
     )
 
 
 class _Codes(dict):
+    """Codes of tokens as they stand in the text, white space before them included."""
+
     def __missing__(self, token: str) -> int:
         if len(self) > KNOWN_TOKENS:
             self.clear()
-        code = self[token] = _code(token)
+        bare = token.lstrip()
+        lead = len(token) - len(bare)
+        if lead:
+            code = self[bare] | min(lead, 2**20 - 1) << _LEAD | min(token.count("\n", 0, lead), 2**20 - 1) << _NEWLINES
+        else:
+            code = _code(token)
+        self[token] = code
         return code
 
 
@@ -494,6 +521,7 @@ def analyse(texts: list[str]) -> Tokens:
     f.add(core, pick(noted, 2), around)
     stand = pick(np.isin(shapes, [SHAPE[x] for x in ("stand-in", "env", "path", "const")]), 2)
     f.add(stand, url_code)
+    f.add(stand, pick(pem, 3), (size[0] > 1, 2))
     f.add(stand, own, around, pick(codes >> _ODD, 2))
     f.add(stand, pick(noted, 2), own, around)
     chain = np.zeros(len(v), bool)
