@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalar import matches_any
-from gritstone.operators.orphans import joined_path, normal_path, specifiers_of
+from gritstone.operators.orphans import joined_path, normal_path
+
+
+# Endings an import may leave out in the order they are tried, and output endings with the source each may stand for.
+SOURCE_ENDINGS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
+OUTPUT_TO_SOURCE = (("js", "ts"), ("js", "tsx"), ("jsx", "tsx"), ("mjs", "mts"), ("cjs", "cts"))
+DECLARATION = r"\.d\.[mc]?ts$"
 
 
 def one_per_edge(edges: DataFrame) -> DataFrame:
-    """The first delivery of each edge, with paths in one spelling."""
-    first = Window.partitionBy("edge_id").orderBy("loaded_at", "seen_at")
-    kept = edges.filter("edge_id is not null").withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
+    """The first delivery of each edge, with paths in one spelling; of equal times the smallest row."""
+    order = ["loaded_at", "seen_at", *[c for c in edges.columns if c not in ("edge_id", "loaded_at", "seen_at")]]
+    first = F.min(F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(c) for c in order]))
+    kept = edges.filter("edge_id is not null").groupBy("edge_id").agg(first.alias("v"))
+    kept = kept.select("edge_id", *[F.col(f"v.{c}.value").alias(c) for c in edges.columns if c != "edge_id"])
     return kept.withColumns({c: normal_path(F.col(c)) for c in ("from_rel", "to_rel")})
 
 
@@ -21,32 +29,66 @@ def current_files(files: DataFrame) -> DataFrame:
     return files.filter("rel is not null").groupBy("rel").agg(F.max(F.struct("indexed_at", "content_hash", "language", "parse_status", "size", "mtime", "repo")).alias("v")).select("rel", "v.*")
 
 
-def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(edge_id, target): the first candidate of a relative specifier that is indexed.
+def joined_inside(base: Column, relative: Column) -> Column:
+    """``relative`` joined to the folder of ``base``; null where it steps above the root."""
+    path = joined_path(base, relative)
+    return F.when(~path.rlike(r"^\.\.(/|$)"), path)
+
 
-    A file lists the few specifiers that lead to it, ranked by how the candidate
-    is made, so edges are joined once and never multiplied by their candidates.
-    Edges that lead nowhere have a null target.
+def answered(path: Column) -> Column:
+    """What a file at ``path`` can be imported as: an array of (wanted, rank), the lower rank tried first.
+
+    The path itself, then a source behind an output ending, then the path with an
+    ending added, then an index file of a folder.
     """
-    near = edges.filter(F.col("specifier").rlike(r"^\.\.?/") & F.col("from_rel").isNotNull())
-    near = near.select("edge_id", joined_path(F.col("from_rel"), F.col("specifier")).alias("wanted"))
-    return near.join(_answers(files), "wanted", "left").select("edge_id", F.col("best.rel").alias("target"))
+    ending = F.regexp_extract(path, r"\.([^./]+)$", 1)
+    stem = F.regexp_replace(path, r"\.[^./]+$", "")
+    folder = F.when(stem.rlike("/index$"), F.regexp_replace(stem, "/index$", ""))
+    place = F.array_position(F.array(*map(F.lit, SOURCE_ENDINGS)), ending).cast("int")
+    pair = lambda wanted, rank: F.when(wanted.isNotNull(), F.struct(wanted.alias("wanted"), rank.cast("int").alias("rank")))
+    ways = [pair(path, F.lit(0))]
+    ways += [pair(F.when(ending == source, F.concat(stem, F.lit(f".{output}"))), F.lit(k + 1)) for k, (output, source) in enumerate(OUTPUT_TO_SOURCE)]
+    ways += [pair(F.when(place > 0, stem), place + 10), pair(F.when(place > 0, folder), place + 20)]
+    return F.array_compact(F.array(*ways))
 
 
 def _answers(files: DataFrame) -> DataFrame:
-    """(wanted, best): the file that each path without or with ending leads to."""
-    answers = files.select("rel").distinct().select("rel", F.explode(specifiers_of(F.col("rel"))).alias("wanted"))
-    # The path itself, then other endings, then an index file of a folder; of equal ranks the smallest path.
-    kind = F.when(F.col("wanted") == F.col("rel"), 0).when(F.col("rel").startswith(F.concat("wanted", F.lit("/"))), 2).otherwise(1)
-    return answers.groupBy("wanted").agg(F.min(F.struct(kind.alias("kind"), "rel")).alias("best"))
+    """(wanted, target): the file that each importable path leads to; declarations of types are no modules."""
+    rels = files.select("rel").filter(~F.col("rel").rlike(DECLARATION)).distinct()
+    ways = rels.select("rel", F.explode(answered(F.col("rel"))).alias("w"))
+    return ways.groupBy("w.wanted").agg(F.min_by("rel", "w.rank").alias("target"))
+
+
+def _looked_up(wanted: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
+    """``wanted`` (keys, wanted) with the target each path leads to.
+
+    Paths are looked up once each, so a path that a third of all edges want is one
+    row of the join; the answers go back to the edges by a join that streams them.
+    """
+    asked = wanted.select("wanted").filter("wanted is not null").distinct()
+    found = asked.join(_answers(files), "wanted")
+    return wanted.join(found, "wanted", "left").select(*keys, "target")
+
+
+def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(edge_id, target): the first candidate of a relative specifier that is indexed.
+
+    A file lists the few specifiers that lead to it, ranked in the order candidates
+    are tried, so edges are joined once and never multiplied by their candidates.
+    Edges that lead nowhere or above the root have a null target.
+    """
+    near = edges.filter(F.col("specifier").startswith(".") & F.col("from_rel").isNotNull())
+    near = near.select("edge_id", joined_inside(F.col("from_rel"), F.col("specifier")).alias("wanted"))
+    return _looked_up(near, files, "edge_id")
 
 
 def resolved_by_alias(edges: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]]) -> DataFrame:
     """(edge_id, target) of edges whose specifier an alias (pattern with at most one star, targets) covers.
 
-    The pattern with the longest text before its star counts alone; its targets are
-    tried in order, each as in ``resolved``. None indexed gives a null target.
-    Aliases come from the configuration, so an edge has a few literal candidates.
+    Patterns are tried by the length of the text before their star, longest first,
+    the targets of each in order, each as in ``resolved``. None indexed gives a
+    null target. Relative and absolute specifiers are no aliases. Aliases come from
+    the configuration, so an edge has a few literal candidates.
     """
     spec = F.col("specifier")
     choices = []
@@ -55,12 +97,29 @@ def resolved_by_alias(edges: DataFrame, files: DataFrame, aliases: list[tuple[st
         fits = spec.startswith(head) & spec.endswith(tail) & (F.length(spec) >= len(head) + len(tail)) if star else spec == pattern
         held = F.substring(spec, F.lit(len(head) + 1), F.length(spec) - len(head) - len(tail))
         put = lambda t: F.concat(F.lit(t.partition("*")[0]), held, F.lit(t.partition("*")[2])) if "*" in t else F.lit(t)  # noqa: B023, E731
-        choices.append(F.when(fits, F.array(*map(put, targets))))
+        choices.append(F.when(fits, F.array(*map(put, targets))).otherwise(F.array().cast("array<string>")))
     if not choices:
         return edges.select("edge_id", F.lit(None).cast("string").alias("target")).limit(0)
-    tried = edges.select("edge_id", F.posexplode(F.coalesce(*choices)).alias("pos", "wanted"))
-    found = tried.join(_answers(files), "wanted", "left")
-    return found.groupBy("edge_id").agg(F.min_by("best.rel", F.when(F.col("best.rel").isNotNull(), F.col("pos"))).alias("target"))
+    tried = edges.filter(~spec.rlike("^[./]")).select("edge_id", F.posexplode(F.concat(*choices)).alias("pos", "path"))
+    tried = tried.select("edge_id", "pos", joined_inside(F.lit(""), F.col("path")).alias("wanted"))
+    found = _looked_up(tried, files, "edge_id", "pos")
+    return found.groupBy("edge_id").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("pos"))).alias("target"))
+
+
+def resolved_by_package(edges: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(edge_id, target) of edges whose specifier is a workspace package (name, dir, main) or a path inside one.
+
+    The package itself leads to its main file, index where it names none. A name is
+    the first part of a specifier, or the first two behind an at sign. Of packages
+    of one name the first by folder counts.
+    """
+    name = F.regexp_extract("specifier", r"^(@[^/]+/[^/]+|[^@./][^/]*)", 1)
+    rest = F.regexp_replace("specifier", r"^(@[^/]+/[^/]+|[^@./][^/]*)/?", "")
+    known = packages.filter("name is not null and dir is not null").groupBy("name").agg(F.min(F.struct("dir", "main")).alias("p"))
+    near = edges.filter("specifier is not null").select("edge_id", name.alias("name"), rest.alias("rest")).filter("name <> ''").join(known, "name")
+    inside = F.when(F.col("rest") == "", F.coalesce("p.main", F.lit("index"))).otherwise(F.col("rest"))
+    near = near.select("edge_id", joined_inside(F.concat("p.dir", F.lit("/")), inside).alias("wanted"))
+    return _looked_up(near, files, "edge_id")
 
 
 def dead_files(files: DataFrame, edges: DataFrame, entry_globs: list[str]) -> DataFrame:

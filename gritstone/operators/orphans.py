@@ -186,7 +186,7 @@ def dangling(refs: DataFrame, changes: DataFrame) -> DataFrame:
     copies = copies.select("k1", "k2", F.col("salt").cast("long"), "t_from", "t_to", "code")
     coded = salted.join(copies, ["k1", "k2", "salt"]).filter("t >= t_from and t < t_to")
     coded = checkpointed(coded.select("edge_id", "side", "code", F.unix_date(period).alias("period"), "t"))
-    in_range = [F.floor(F.col("code") / RANGE_BITS).alias("range"), F.pmod("code", F.lit(RANGE_BITS)).alias("at")]
+    in_range = [F.expr(f"code div {RANGE_BITS}").alias("range"), F.pmod("code", F.lit(RANGE_BITS)).alias("at")]
     packed = "range long, bits binary"
     refs_map = coded.select("period", "code").distinct().select("period", *in_range).groupBy("period", "range").agg(F.bitmap_construct_agg("at").alias("bits"))
     refs_map = refs_map.mapInArrow(_compressed, f"period int, {packed}")

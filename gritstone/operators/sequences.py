@@ -16,18 +16,19 @@ def runs(rows: DataFrame, key: str, order: list[str], value: str, least: int) ->
 
 
 def counted_with_reset(rows: DataFrame, key: str, order: list[str], up: Column, reset: Column, cap: int) -> DataFrame:
-    """A counter per key after each row: +1 on ``up``, 0 on ``reset``, silent beyond ``cap``."""
+    """A counter per key after each row: +1 on ``up``, 0 on ``reset``; beyond ``cap`` the key is silent for good."""
     w = Window.partitionBy(key).orderBy(*order)
     marked = rows.withColumn("epoch", F.sum(F.when(reset, 1).otherwise(0)).over(w))
     e = Window.partitionBy(key, "epoch").orderBy(*order)
     n = F.sum(F.when(up, 1).otherwise(0)).over(e)
-    return marked.withColumn("round", F.least(n, F.lit(cap))).withColumn("silent", n > cap).drop("epoch")
+    counted = marked.withColumn("round", F.least(n, F.lit(cap))).withColumn("over", n > cap)
+    return counted.withColumn("silent", F.max("over").over(w)).drop("epoch", "over")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key; ``order`` must tell rows apart."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """The last row of each key; ``order`` must tell rows apart. A partially aggregated maximum, so a hot key is no sort."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_v")).select(*[c if c in keys else F.col(f"_v.{c}").alias(c) for c in rows.columns])
 
 
 def newly(current: DataFrame, previous: DataFrame, key: str, item: str) -> DataFrame:

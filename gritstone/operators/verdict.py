@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalar import CONFIDENCES, SEVERITIES, finding_id, rank, trimmed
+from gritstone.session import checkpointed, shuffle_partitions
 
 
 def one_per_id(findings: DataFrame) -> DataFrame:
@@ -43,15 +44,34 @@ def without_allowed(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     return findings.join(allowed.select("rel", "line").distinct(), on, "left_anti")
 
 
-def overridden(findings: DataFrame, severities: dict[str, str], locked: tuple[str, ...] = ()) -> DataFrame:
-    """Severities per rule from a configuration; locked rules keep their own."""
+def overridden(findings: DataFrame, severities: dict[str, str], locked: dict[str, str] | None = None) -> DataFrame:
+    """Severities per rule from a configuration; locked rules have the severity named with them, whatever is stored."""
     new = F.col("severity")
-    for rule, severity in severities.items():
-        if rule not in locked:
-            new = F.when(F.col("rule") == rule, severity).otherwise(new)
+    for rule, severity in {**severities, **(locked or {})}.items():
+        new = F.when(F.col("rule") == rule, severity).otherwise(new)
     return findings.withColumn("severity", new)
 
 
+def ranked(findings: DataFrame, within: str) -> DataFrame:
+    """``findings`` with their place, from 1, in the total order of each value of ``within``.
+
+    Rows are cut into ranges of (value, order), so a value with a third of all rows
+    is many tasks. A task numbers its own rows; what comes before them is a sum over
+    one row per range and value.
+    """
+    order = total_order()
+    keys = [f"_o{k}" for k in range(len(order))]
+    rows = findings.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    cut = rows.repartitionByRange(shuffle_partitions(findings.sparkSession), within, *keys).withColumn("_part", F.spark_partition_id())
+    cut = checkpointed(cut)
+    own = F.row_number().over(Window.partitionBy("_part", within).orderBy(*keys))
+    sizes = cut.groupBy(within, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(F.col(within).alias("_w"), F.col("_part").alias("_p"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    out = cut.withColumn("_own", own).join(before, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("place", (F.col("_own") + F.col("_before")).cast("long")).drop(*keys, "_part", "_own", "_w", "_p", "_before")
+
+
 def in_scope(findings: DataFrame, scope: DataFrame) -> DataFrame:
     """Findings of files in ``scope`` (rel)."""
     return findings.join(scope.select(F.col("rel").alias("file")).distinct(), "file", "left_semi")

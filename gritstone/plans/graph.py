@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from gritstone.operators import imports as I
 from gritstone.operators import sequences as Q
+from gritstone.plans.resolution import resolver_sql
 from gritstone.session import table
 
 ENTRIES = ["app/**", "**/app/**", "index.*", "**/index.*", "**/*.test.*", "**/tests/**", "**/*.config.*", "**/scripts/**", "**/bin/**"]
 BOUNDARIES = [("server-from-lib", "*/lib/**", ["*/server/**"]), ("vendor-from-src", "*/src/**", ["*/vendor/**", "*/src/vendor/**"])]
-RULES = ["secret-exposed", "dead-export"]
+RULES = ["leftover-debug"]
 CAP = 3
 SINCE = "2024-01-03"
 
@@ -37,8 +38,9 @@ def dead_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exports = table(spark, sf_dir, "function_records").select(F.col("file").alias("rel"), "name").dropna().distinct()
-    return I.dead_exports(exports, _edges(spark, sf_dir))
+    from gritstone.plans.text import exported_names
+
+    return I.dead_exports(exported_names(spark, sf_dir), _edges(spark, sf_dir))
 
 
 def boundary_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +99,11 @@ def surely_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose stored findings cover every rule asked for, at their present content."""
-    files = _files(spark, sf_dir)
+    """Files whose results of mid-year may still be served: of the same content, every rule with a result."""
+    files = table(spark, sf_dir, "files")
     found = table(spark, sf_dir, "findings").select(F.col("file").alias("rel"), "rule").distinct()
-    cache = found.join(files.select("rel", "content_hash"), "rel").withColumn("config_hash", F.lit("c1"))
-    return Q.served(files, cache, RULES, "c1")
+    cache = found.join(I.current_files(files.filter("indexed_at < 1751328000")).select("rel", "content_hash"), "rel").withColumn("config_hash", F.lit("c1"))
+    return Q.served(I.current_files(files), cache, RULES, "c1")
 
 
 def newly_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +155,22 @@ _F = "c AS (SELECT rel, indexed_at, content_hash, size, mtime FROM (SELECT *, ro
 _P = _F.replace("c AS", "p AS", 1).replace("WHERE rel IS NOT NULL", "WHERE rel IS NOT NULL AND indexed_at < 1751328000")
 _ENTRY = "^app/.*$|^(?:.*/)?app/.*$|^index\\..*$|^(?:.*/)?index\\..*$|^(?:.*/)?.*\\.test\\..*$|^(?:.*/)?tests/.*$|^(?:.*/)?.*\\.config\\..*$|^(?:.*/)?scripts/.*$|^(?:.*/)?bin/.*$"
 
+
+
+def _dead_sql() -> str:
+    from gritstone.plans.text import _CLEAN, _EXPORTED
+
+    # Common table expressions of both sides go by names of their own.
+    return f"{_CLEAN}, {_EXPORTED}"
+
+
 ORACLE_SQL = {
     "current_files": f"WITH {_F} SELECT rel, indexed_at, content_hash FROM c",
     "dead_file": f"WITH {_E}, {_F} SELECT rel FROM c WHERE NOT regexp_matches(rel, '{_ENTRY}') AND rel NOT IN (SELECT to_rel FROM e WHERE to_rel IS NOT NULL)",
-    "dead_export": f"WITH {_E}, x AS (SELECT DISTINCT file AS rel, name FROM function_records WHERE file IS NOT NULL AND name IS NOT NULL) SELECT rel, name FROM x WHERE EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel AND (e.name = x.name OR e.name = '*'))",
+    "dead_export": f"WITH {_E}, {_dead_sql()} SELECT rel, name FROM x WHERE EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel AND (e.name = x.name OR e.name = '*'))",
     "boundary_violation": f"WITH {_E}, b AS (SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/lib/.*$') AND regexp_matches(to_rel, '^.*/server/.*$') THEN 'server-from-lib' END AS label FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/src/.*$') AND regexp_matches(to_rel, '^.*/vendor/.*$|^.*/src/vendor/.*$') THEN 'vendor-from-src' END FROM e) SELECT DISTINCT from_rel, line, to_rel, label FROM b WHERE label IS NOT NULL AND to_rel IS NOT NULL",
     "edges_neighbours": f"WITH {_E}, s AS (SELECT DISTINCT rel FROM parsed_files WHERE has_error AND rel IS NOT NULL), p AS (SELECT DISTINCT from_rel, to_rel FROM e WHERE to_rel IS NOT NULL) SELECT rel FROM s UNION SELECT to_rel FROM p WHERE from_rel IN (SELECT rel FROM s) UNION SELECT from_rel FROM p WHERE to_rel IN (SELECT rel FROM s) AND from_rel IS NOT NULL",
+    "resolve_ranked": f"WITH {_E}, {resolver_sql('e')} SELECT edge_id, target FROM resolved",
     "departed_edges": f"WITH {_E}, g AS (SELECT DISTINCT rel FROM files WHERE rel IS NOT NULL AND rel NOT IN (SELECT rel FROM removed_files WHERE rel IS NOT NULL)), k AS (SELECT CASE WHEN to_rel IS NOT NULL AND to_rel NOT IN (SELECT rel FROM g) THEN 'unresolved' ELSE resolution END AS resolution, CASE WHEN to_rel IN (SELECT rel FROM g) THEN to_rel END AS to_rel FROM e WHERE from_rel IN (SELECT rel FROM g)) SELECT resolution, count(*) AS edges, count(to_rel) AS targets FROM k GROUP BY resolution",
     "unresolved_importers": f"WITH {_E} SELECT DISTINCT from_rel FROM e WHERE resolution = 'unresolved'",
     "fan_in": f"WITH {_E} SELECT to_rel, count(DISTINCT from_rel) AS importers, count(DISTINCT name) AS names, count(*) AS edges FROM e WHERE to_rel IS NOT NULL GROUP BY to_rel",
@@ -166,10 +178,10 @@ ORACLE_SQL = {
     "late_edges": f"WITH {_E} SELECT strftime(seen_at, '%Y-%m') AS month, count(*) AS edges, count(*) FILTER (WHERE epoch_us(loaded_at) - epoch_us(seen_at) >= 604800000000) AS late FROM e WHERE seen_at IS NOT NULL GROUP BY 1",
     "changed_files": f"WITH {_F}, {_P} SELECT coalesce(c.rel, p.rel) AS rel, CASE WHEN p.rel IS NULL THEN 'added' WHEN c.rel IS NULL THEN 'gone' ELSE 'changed' END AS change FROM c FULL JOIN p ON c.rel = p.rel WHERE p.rel IS NULL OR c.rel IS NULL OR c.content_hash IS DISTINCT FROM p.content_hash",
     "surely_unchanged": f"WITH {_F}, {_P} SELECT c.rel FROM c JOIN p ON c.rel = p.rel AND c.size = p.size AND c.mtime = p.mtime WHERE c.size > 0 AND c.mtime > 0",
-    "cache_serve": f"WITH {_F}, r AS (SELECT DISTINCT file AS rel, rule FROM findings WHERE rule IN ('secret-exposed', 'dead-export')) SELECT c.rel FROM c JOIN r ON c.rel = r.rel WHERE c.content_hash IS NOT NULL GROUP BY c.rel HAVING count(*) = 2",
+    "cache_serve": f"WITH {_F}, {_P}, r AS (SELECT DISTINCT file AS rel FROM findings WHERE rule = 'leftover-debug') SELECT c.rel FROM c JOIN p ON c.rel = p.rel AND c.content_hash = p.content_hash JOIN r ON c.rel = r.rel",
     "newly_skipped": "WITH n AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-03'), o AS (SELECT DISTINCT user_id AS user, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03') SELECT n.user AS user, n.event_type AS event_type, n.user IN (SELECT user FROM o) AS known FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user = n.user AND o.event_type = n.event_type)",
     "event_runs": "WITH i AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, min(event_id) AS first, count(*) AS length FROM i GROUP BY user_id, event_type, g HAVING count(*) >= 3",
-    "hook_rounds": "WITH m AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ep FROM events), n AS (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, ep ORDER BY ts, event_id) AS n FROM m) SELECT event_id, CAST(least(n, 3) AS BIGINT) AS round, n > 3 AS silent FROM n",
+    "hook_rounds": "WITH m AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ep FROM events), n AS (SELECT user_id, ts, event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, ep ORDER BY ts, event_id) AS n FROM m) SELECT event_id, CAST(least(n, 3) AS BIGINT) AS round, bool_or(n > 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS silent FROM n",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "route_without_cover": "SELECT event_id, user_id FROM events e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'signup' AND s.user_id = e.user_id AND s.ts < e.ts)",
     "created_unlocked": "SELECT l_partkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)",

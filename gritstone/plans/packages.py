@@ -52,6 +52,6 @@ _PK = "p AS (SELECT p_partkey AS package_id, p_brand AS name, p_size AS a, p_par
 ORACLE_SQL = {
     "vuln_ranges": f"WITH {_PK} SELECT package_id, 'ADV-1' AS advisory, '10.2.0' AS fix FROM p WHERE name = 'Brand#11' AND k < 100200 UNION ALL SELECT package_id, 'ADV-2', '30.1' FROM p WHERE name = 'Brand#12' AND k >= 200001 AND k < 300100 UNION ALL SELECT package_id, 'ADV-3', NULL FROM p WHERE name = 'Brand#13' AND k >= 50000 AND k <= 250300 UNION ALL SELECT package_id, 'ADV-4', NULL FROM p WHERE name = 'Brand#21' AND k >= 400000 UNION ALL SELECT package_id, 'ADV-5', CASE WHEN k < 30000 THEN '3.0.0' ELSE '12.0.0' END FROM p WHERE name = 'Brand#22' AND (k >= 10000 AND k < 30000 OR k >= 100000 AND k < 120000)",
     "package_set": f"WITH {_PK} SELECT name, version, min(package_id) AS package_id FROM p GROUP BY name, version",
-    "package_hash": f"WITH {_PK}, d AS (SELECT DISTINCT name, concat_ws('@', name, version) AS item FROM p) SELECT name, sha256(string_agg(item, '|' ORDER BY item)) AS hash, count(*) AS items FROM d GROUP BY name",
+    "package_hash": f"WITH {_PK}, d AS (SELECT DISTINCT name, sha256(concat_ws('@', name, version)) AS h FROM p) SELECT name, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {', '.join(f"CAST(sum(CAST('0x' || substr(h, {k}, 15) AS BIGINT)) AS VARCHAR)" for k in (1, 16, 31))})) AS hash, count(*) AS items FROM d GROUP BY name",
     "version_order": f"WITH {_PK} SELECT name, arg_max(version, k) AS highest, arg_min(version, k) AS lowest FROM p GROUP BY name",
 }

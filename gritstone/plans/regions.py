@@ -9,6 +9,7 @@ from gritstone.functions import scalar as S
 from gritstone.operators import evaluation, imports, regions, sequences
 from gritstone.plans.findings import _LINES
 from gritstone.plans.graph import _E, _F, _P
+from gritstone.plans.resolution import candidates_sql, modules_sql
 from gritstone.plans.similarity import _pairs
 from gritstone.plans.text import language, source_lines
 from gritstone.session import table
@@ -20,12 +21,13 @@ QUOTA = 20
 LEAST = 5  # findings of a rule before its share is given
 ENDS = r"^\s*(?:return\b.*;|throw\b.*;|break;|continue;|return\b[^({\[]*|raise\b.*|break|continue)\s*$"
 EXEMPT = r"^\s*(?:[})\]]|case\b|default\b|else\b|elif\b|except\b|finally\b|//|#|/\*|\*|<\?|\?>)"
+PLANT = r"(?m)^([ \t]+)(return [\w.]+;|throw .*;|break;|continue;)$"
 TOKEN = r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,})"
 ADDRESS = r"\b([a-z][a-z0-9+.-]*)://([^\s:/@'\"]+):([^\s@'\"]+)@([A-Za-z0-9.-]+)"
 
-# Hosts of one's own machine and passwords of development.
-LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0")
-DEVELOPMENT = ("postgres", "password", "root", "admin", "secret", "test", "example", "changeme")
+# Passwords of development setups, and hosts of one's own machine.
+DEVELOPMENT = ("password", "postgres", "root", "admin", "secret", "test", "guest", "user", "mysql", "redis", "dev", "local")
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "host.docker.internal", "db")
 
 
 def finding_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +58,15 @@ def label_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unreachable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that follow the end of their block's flow."""
-    return regions.after_end(source_lines(spark, sf_dir), ENDS, EXEMPT)
+    """Lines that follow the end of their block's flow: in the present files, and in functions with a statement planted there.
+
+    The second half tells whether the rule finds what it should: behind the first
+    line of each function that ends its flow a line of the same indentation is put.
+    """
+    planted = F.regexp_replace("source", PLANT, "$1$2\n$1plantedCall(1);")
+    functions = table(spark, sf_dir, "function_records").filter("id is not null and source is not null").select(F.col("id").alias("rel"), planted.alias("source")).distinct()
+    lines = functions.select("rel", F.posexplode(S.lines(F.col("source"))).alias("pos", "text")).select("rel", (F.col("pos") + 1).cast("long").alias("line"), "text")
+    return regions.after_end(source_lines(spark, sf_dir).distinct().union(lines), ENDS, EXEMPT)
 
 
 def alias_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,18 +74,25 @@ def alias_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.resolved_by_alias(edges, table(spark, sf_dir, "files").filter("rel is not null"), ALIASES)
 
 
+def workspace_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges into packages of the workspace: each repository is one, named in its owner's scope, with its sources in src."""
+    edges = imports.one_per_edge(table(spark, sf_dir, "edges"))
+    packages = table(spark, sf_dir, "repos").select(F.regexp_replace("repo", "^([^-]+)-", "@$1/").alias("name"), F.concat("repo", F.lit("/src")).alias("dir"), F.lit(None).cast("string").alias("main"))
+    return imports.resolved_by_package(edges, table(spark, sf_dir, "files").filter("rel is not null"), packages)
+
+
 def token_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rel, line, role, expires) of the signed web tokens in the text; the token itself is not given."""
-    rows = source_lines(spark, sf_dir).withColumn("token", F.regexp_extract("text", TOKEN, 1)).filter("token <> ''")
+    """(rel, line, role, expires) of the signed web tokens in the text, each of several on a line; the token itself is not given."""
+    rows = source_lines(spark, sf_dir).select("rel", "line", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 1)).alias("token")).distinct()
     body = rows.withColumn("body", S.token_payload(F.col("token")))
     return body.select("rel", "line", F.get_json_object("body", "$.role").alias("role"), F.get_json_object("body", "$.exp").cast("long").alias("expires"))
 
 
 def address_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rel, line, scheme, weak) of addresses with a password; weak are those of development, which no rule reports."""
-    rows = source_lines(spark, sf_dir).filter(F.col("text").rlike(ADDRESS))
-    scheme, user, word, host = (F.regexp_extract("text", ADDRESS, k) for k in (1, 2, 3, 4))
-    weak = host.isin(*LOCAL_HOSTS) | (user == word) | F.lower(word).isin(*DEVELOPMENT)
+    """(rel, line, scheme, weak) of addresses with a password, each of several on a line; weak are those of development, which no rule reports."""
+    rows = source_lines(spark, sf_dir).select("rel", "line", F.explode(F.regexp_extract_all("text", F.lit(ADDRESS), 0)).alias("address")).distinct()
+    scheme, user, word, host = (F.regexp_extract("address", ADDRESS, k) for k in (1, 2, 3, 4))
+    weak = host.isin(*LOCAL_HOSTS) | (F.lower(user) == F.lower(word)) | F.lower(word).isin(*DEVELOPMENT)
     return rows.select("rel", "line", scheme.alias("scheme"), weak.alias("weak"))
 
 
@@ -104,12 +120,11 @@ def changed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finding_owner, line_owners, related_families, label_sample, unreachable_lines, alias_targets, token_roles, address_strength, rule_scores, cache_rows, changed_scope)
+    for f in (finding_owner, line_owners, related_families, label_sample, unreachable_lines, alias_targets, workspace_targets, token_roles, address_strength, rule_scores, cache_rows, changed_scope)
 }
 
 _NARROW = "row_number() OVER (PARTITION BY {0} ORDER BY f.end_line - f.start_line, f.start_line DESC, f.id)"
 _FN = "f AS (SELECT DISTINCT id, file, start_line, end_line FROM function_records WHERE id IS NOT NULL)"
-_EXT = r"\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$"
 _A = ADDRESS.replace("'", "''")
 _PAIRS = "p AS (SELECT concat_ws('|', least(a_id, b_id), greatest(a_id, b_id)) AS pair, bool_or(structural_match) AS sm, max(jaccard) AS j FROM candidate_pairs WHERE a_id IS NOT NULL AND b_id IS NOT NULL AND a_id <> b_id GROUP BY 1)"
 
@@ -118,10 +133,11 @@ ORACLE_SQL = {
     "line_owners": f"WITH {_LINES}, {_FN}, o AS (SELECT rel, line, f.id AS owner, {_NARROW.format('rel, line')} AS k FROM lines JOIN f ON f.file = rel AND line BETWEEN f.start_line AND f.end_line) SELECT rel, owner, count(*) AS lines FROM o WHERE k = 1 GROUP BY rel, owner",
     "related_families": r"WITH RECURSIVE x AS (SELECT DISTINCT file AS a, unnest(related) AS b FROM findings WHERE file IS NOT NULL), l AS (SELECT a, b FROM x WHERE a <> b UNION SELECT b, a FROM x WHERE a <> b), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS rel, substr(min(CASE WHEN regexp_matches(b, '(^|/)index\.') THEN '0' ELSE '1' END || b), 2) AS family FROM r GROUP BY a",
     "label_sample": f"WITH {_PAIRS}, b AS (SELECT pair, CASE WHEN sm THEN 'structural' WHEN j >= 0.6 THEN 'high' WHEN j >= 0.3 THEN 'low' ELSE 'below' END AS bucket FROM p) SELECT pair, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256(pair)) AS k FROM b) WHERE k <= {QUOTA}",
-    "unreachable_lines": rf"WITH {_LINES}, n AS (SELECT rel, line, text, lag(text) OVER (PARTITION BY rel ORDER BY line) AS before FROM lines WHERE regexp_matches(text, '\S')) SELECT rel, line FROM n WHERE regexp_matches(before, '{ENDS}') AND NOT regexp_matches(text, '{EXEMPT}') AND regexp_extract(before, '^(\s*)', 1) = regexp_extract(text, '^(\s*)', 1)",
-    "alias_targets": rf"WITH {_E}, t AS (SELECT edge_id, substr(specifier, 8) AS s, specifier FROM e), c AS (SELECT edge_id, 0 AS pos, 'umbra-kit/lib' AS wanted FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 1, 'umbra-kit/src' FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 0, 'umbra-' || s || '/src' FROM t WHERE starts_with(specifier, '@umbra/') AND specifier <> '@umbra/kit' UNION ALL SELECT edge_id, 1, 'umbra-mono/packages/' || s FROM t WHERE starts_with(specifier, '@umbra/') AND specifier <> '@umbra/kit' UNION ALL SELECT edge_id, 0, 'packages/' || substr(specifier, 2) FROM t WHERE starts_with(specifier, '@') AND NOT starts_with(specifier, '@umbra/')), r AS (SELECT DISTINCT rel FROM files WHERE rel IS NOT NULL), w AS (SELECT rel, rel AS wanted, 0 AS kind FROM r UNION ALL SELECT rel, regexp_replace(rel, '{_EXT}', ''), 1 FROM r WHERE regexp_matches(rel, '{_EXT}') UNION ALL SELECT rel, regexp_replace(rel, '/index{_EXT}', ''), 2 FROM r WHERE regexp_matches(rel, '/index{_EXT}')), m AS (SELECT edge_id, rel, row_number() OVER (PARTITION BY edge_id ORDER BY rel IS NULL, pos, kind, rel) AS k FROM c LEFT JOIN w ON c.wanted = w.wanted) SELECT edge_id, rel AS target FROM m WHERE k = 1",
-    "token_roles": rf"WITH {_LINES}, t AS (SELECT rel, line, translate(split_part(regexp_extract(text, '{TOKEN}', 1), '.', 2), '-_', '+/') AS p FROM lines WHERE regexp_matches(text, '{TOKEN}')), d AS (SELECT rel, line, try(decode(from_base64(p || repeat('=', CAST((4 - length(p) % 4) % 4 AS INT))))) AS body FROM t) SELECT rel, line, json_extract_string(body, '$.role') AS role, CAST(json_extract_string(body, '$.exp') AS BIGINT) AS expires FROM d",
-    "address_strength": rf"WITH {_LINES}, a AS (SELECT rel, line, regexp_extract(text, '{_A}', ['scheme', 'u', 'w', 'h']) AS x FROM lines WHERE regexp_matches(text, '{_A}')) SELECT rel, line, x.scheme AS scheme, x.h IN {LOCAL_HOSTS} OR x.u = x.w OR lower(x.w) IN {DEVELOPMENT} AS weak FROM a",
+    "unreachable_lines": rf"WITH {_LINES}, pf AS (SELECT DISTINCT id AS rel, regexp_replace(source, '{PLANT}', '\1\2' || chr(10) || '\1plantedCall(1);', 'g') AS source FROM function_records WHERE id IS NOT NULL AND source IS NOT NULL), pl AS (SELECT rel, i AS line, parts[i] AS text FROM (SELECT rel, string_split_regex(regexp_replace(source, '\r?\n$', ''), '\r?\n') AS parts FROM pf) p, LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)), al AS (SELECT DISTINCT rel, line, text FROM lines UNION ALL SELECT rel, line, text FROM pl), n AS (SELECT rel, line, text, lag(text) OVER (PARTITION BY rel ORDER BY line) AS before FROM al WHERE regexp_matches(text, '\S')) SELECT rel, line FROM n WHERE regexp_matches(before, '{ENDS}') AND NOT regexp_matches(text, '{EXEMPT}') AND regexp_extract(before, '^(\s*)', 1) = regexp_extract(text, '^(\s*)', 1)",
+    "alias_targets": f"WITH {_E}, t AS (SELECT edge_id, substr(specifier, 9) AS s, specifier FROM e WHERE NOT regexp_matches(specifier, '^[./]')), aw AS (SELECT edge_id, 0 AS pos, 'umbra-kit/lib' AS wanted FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 1, 'umbra-kit/src' FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 2, 'umbra-' || substr(specifier, 8) || '/src' FROM t WHERE starts_with(specifier, '@umbra/') UNION ALL SELECT edge_id, 3, 'umbra-mono/packages/' || substr(specifier, 8) FROM t WHERE starts_with(specifier, '@umbra/') UNION ALL SELECT edge_id, 4, 'packages/' || substr(specifier, 2) FROM t WHERE starts_with(specifier, '@')), ac AS ({candidates_sql('aw', 'edge_id, pos')}), am AS ({modules_sql()}), ab AS (SELECT edge_id, arg_min(rel, pos * 100 + k) AS target FROM ac JOIN am ON ac.path = am.rel GROUP BY edge_id) SELECT DISTINCT aw.edge_id AS edge_id, ab.target AS target FROM aw LEFT JOIN ab ON aw.edge_id = ab.edge_id",
+    "workspace_targets": rf"WITH {_E}, k AS (SELECT DISTINCT regexp_replace(repo, '^([^-]+)-', '@\1/') AS name, repo || '/src' AS dir FROM repos WHERE repo IS NOT NULL), pw AS (SELECT edge_id, CASE WHEN specifier = k.name THEN dir || '/index' ELSE dir || substr(specifier, length(k.name) + 1) END AS wanted FROM e JOIN k ON specifier = k.name OR starts_with(specifier, k.name || '/')), pc AS ({candidates_sql('pw', 'edge_id')}), pm AS ({modules_sql()}), pb AS (SELECT edge_id, arg_min(rel, k) AS target FROM pc JOIN pm ON pc.path = pm.rel GROUP BY edge_id) SELECT pw.edge_id AS edge_id, pb.target AS target FROM pw LEFT JOIN pb ON pw.edge_id = pb.edge_id",
+    "token_roles": rf"WITH {_LINES}, u AS (SELECT DISTINCT rel, line, unnest(regexp_extract_all(text, '{TOKEN}', 1)) AS token FROM lines), t AS (SELECT rel, line, translate(split_part(token, '.', 2), '-_', '+/') AS p FROM u), d AS (SELECT rel, line, try(decode(from_base64(p || repeat('=', CAST((4 - length(p) % 4) % 4 AS INT))))) AS body FROM t) SELECT rel, line, json_extract_string(body, '$.role') AS role, CAST(json_extract_string(body, '$.exp') AS BIGINT) AS expires FROM d",
+    "address_strength": rf"WITH {_LINES}, m AS (SELECT DISTINCT rel, line, unnest(regexp_extract_all(text, '{_A}', 0)) AS address FROM lines), a AS (SELECT rel, line, regexp_extract(address, '{_A}', ['scheme', 'u', 'w', 'h']) AS x FROM m) SELECT rel, line, x.scheme AS scheme, x.h IN {LOCAL_HOSTS} OR lower(x.u) = lower(x.w) OR lower(x.w) IN {DEVELOPMENT} AS weak FROM a",
     "cache_rows": f"WITH {_F}, g AS (SELECT file AS rel, rule, count(DISTINCT id) AS n FROM findings WHERE rule IN {tuple(CHECKED)} GROUP BY 1, 2), k AS (SELECT rel, content_hash, unnest({CHECKED}) AS rule FROM c) SELECT k.rel, k.rule, k.content_hash, coalesce(n, 0) AS findings FROM k LEFT JOIN g ON k.rel = g.rel AND k.rule = g.rule",
     "changed_scope": f"WITH {_E}, {_F}, {_P}, s AS (SELECT coalesce(c.rel, p.rel) AS rel FROM c FULL JOIN p ON c.rel = p.rel WHERE p.rel IS NULL OR c.rel IS NULL OR c.content_hash IS DISTINCT FROM p.content_hash) SELECT rel FROM s UNION SELECT to_rel FROM e WHERE to_rel IS NOT NULL AND from_rel IN (SELECT rel FROM s) UNION SELECT from_rel FROM e WHERE from_rel IS NOT NULL AND to_rel IN (SELECT rel FROM s)",
 }

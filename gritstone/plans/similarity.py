@@ -98,7 +98,7 @@ ORACLE_SQL = {
     "structure_hash": f"WITH {_FN} SELECT id, sha256(array_to_string(toks, chr(31))) AS hash, CAST(len(toks) AS BIGINT) AS tokens FROM f WHERE toks IS NOT NULL",
     "pair_buckets": f"WITH {_P} SELECT {_B} AS bucket, count(*) AS pairs FROM p GROUP BY 1",
     "duplicate_pairs": f"WITH {_P} SELECT pair, jaccard FROM p WHERE coalesce(structural_match, false) OR (coalesce(jaccard >= 0.7, false) AND coalesce(sig_gate, false))",
-    "signature_scores": f"WITH {_FN}, q AS (SELECT DISTINCT a_id, b_id FROM candidate_pairs WHERE a_id < b_id), j AS (SELECT q.a_id, q.b_id, list_distinct(coalesce(a.callees, [])) AS ca, list_distinct(coalesce(b.callees, [])) AS cb, a.param_count AS pa, b.param_count AS pb, a.returns_value AS ra, b.returns_value AS rb, a.is_async AS aa, b.is_async AS ab FROM q JOIN f a ON q.a_id = a.id JOIN f b ON q.b_id = b.id) SELECT a_id, b_id, round(0.6 * CASE WHEN len(ca) + len(cb) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ca, cb)) AS DOUBLE) / (len(ca) + len(cb) - len(list_intersect(ca, cb))) END + CASE WHEN pa = pb THEN 0.2 ELSE 0.0 END + CASE WHEN ra = rb THEN 0.1 ELSE 0.0 END + CASE WHEN aa = ab THEN 0.1 ELSE 0.0 END, 6) AS score FROM j",
+    "signature_scores": f"WITH {_FN}, q AS (SELECT DISTINCT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id FROM candidate_pairs WHERE a_id <> b_id), j AS (SELECT q.a_id, q.b_id, list_distinct(coalesce(a.callees, [])) AS ca, list_distinct(coalesce(b.callees, [])) AS cb, a.param_count AS pa, b.param_count AS pb, a.returns_value AS ra, b.returns_value AS rb, a.is_async AS aa, b.is_async AS ab FROM q JOIN f a ON q.a_id = a.id JOIN f b ON q.b_id = b.id) SELECT a_id, b_id, round(0.6 * CASE WHEN len(ca) + len(cb) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ca, cb)) AS DOUBLE) / (len(ca) + len(cb) - len(list_intersect(ca, cb))) END + CASE WHEN pa = pb THEN 0.2 ELSE 0.0 END + CASE WHEN ra = rb THEN 0.1 ELSE 0.0 END + CASE WHEN aa = ab THEN 0.1 ELSE 0.0 END, 6) AS score FROM j",
     "precision_recall_sweep": f"WITH {_SWEEP} SELECT threshold, predicted, hits, actual, precision, recall FROM w",
     "chosen_threshold": f"WITH {_SWEEP} SELECT max(threshold) AS threshold, arg_max(precision, threshold) AS precision FROM w WHERE recall >= 0.9",
     "weighted_precision": f"WITH {_P}, b AS (SELECT {_B} AS stratum, sig_gate FROM p), e AS (SELECT stratum, avg(CASE WHEN sig_gate THEN 1.0 ELSE 0.0 END) AS pr FROM b WHERE sig_gate IS NOT NULL GROUP BY stratum), n AS (SELECT stratum, count(*) AS n FROM b GROUP BY stratum) SELECT round(sum(pr * n) / sum(n), 6) AS precision, count(*) AS strata FROM e JOIN n USING (stratum)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared folder of ``spark.checkpoint.dir``.
 
     The rows are written to reliable storage, so a later stage survives the loss
-    of any executor. Only a session without the setting (tests) gets a local folder.
+    of any executor. A local session without the setting (tests) gets a folder of
+    its own; on a cluster that would lose data, so there it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"gritstone-{os.getuid()}"))
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the checkpoint of a frame that no later frame reads, as of a finished round."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,23 +14,24 @@ ROUNDS = "user_id long, event_id long, round long, silent boolean"
 
 
 def counted_rounds(events: DataFrame, cap: int = 3, up: str = "error", reset: str = "purchase") -> DataFrame:
-    """(user_id, event_id, round, silent): the batch counter with reset, kept as keyed state of two numbers.
+    """(user_id, event_id, round, silent): the batch counter with reset, kept as keyed state of a count and a flag.
 
     Events of one trigger are taken in order of (ts, event_id); the source must not
     deliver a user's events out of order across triggers.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        n, silent = state.get if state.exists else (0, False)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
         for event, kind in zip(rows.event_id, rows.event_type, strict=True):
             n = 0 if kind == reset else n + (kind == up)
-            out.append((key[0], event, min(n, cap), n > cap))
-        state.update((n,))
+            silent = silent or n > cap
+            out.append((key[0], event, min(n, cap), silent))
+        state.update((n, silent))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "round", "silent"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, ROUNDS, "n long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, ROUNDS, "n long, silent boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

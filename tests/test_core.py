@@ -2,11 +2,12 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar, versions
 from gritstone.operators import advisories, evaluation, imports, orphans, sequences, verdict
-from gritstone.plans import similarity
+from gritstone.plans import similarity, text
 from gritstone.sources import lockfiles, repository
 from gritstone.streaming import incremental
 
@@ -99,7 +100,7 @@ def test_verdict(spark):
     allowed = spark.createDataFrame([("b", 1)], "rel string, line int")
     assert values(verdict.without_allowed(one_each, allowed).select("id")) == [("2",)]
     assert values(verdict.overridden(one_each, {"r": "medium"}).select("severity")) == [("medium",), ("medium",)]
-    assert values(verdict.overridden(one_each, {"r": "medium"}, ("r",)).select("severity")) == [("high",), ("low",)]
+    assert values(verdict.overridden(one_each, {"r": "medium"}, {"r": "high"}).select("severity")) == [("high",), ("high",)]
     assert {r.id: r.row for r in verdict.markdown_rows(one_each).collect()}["1"] == r"| low | r | b:1 | x\|y |"
     assert json.loads({r.id: r.result for r in verdict.sarif_results(one_each).collect()}["2"])["level"] == "error"
 
@@ -136,6 +137,54 @@ def test_graph(spark):
     assert got == {0: "b.ts", 1: "b.ts", 2: "d/index.ts"}
 
 
+def test_resolution_order(spark):
+    names = ["a.js", "a.ts", "b.ts", "b.js.ts", "t.d.ts", "d/index.js", "d/index.tsx", "d.mts", "e.tsx", "f.cts", "lib/x.ts", "top.ts"]
+    files = spark.createDataFrame([(x,) for x in names], "rel string")
+    want = {"./a": "a.ts", "./a.js": "a.js", "./b.js": "b.ts", "./t": None, "./t.d.ts": None, "./d": "d.mts", "./d/": "d.mts", "./e.jsx": "e.tsx", "./e.js": "e.tsx", "./f.cjs": "f.cts", "../x": None, "./lib/../top": "top.ts", "./lib/x.js": "lib/x.ts", "react": None}
+    e = edges(spark, [("m.ts", None, s, "x") for s in want] + [(None, None, "./a", "x"), ("lib/y.ts", None, "../../top", "x"), ("lib/y.ts", None, "..", "x")])
+    got = {r.edge_id: r.target for r in imports.resolved(e, files).collect()}
+    assert got == {k: t for k, (s, t) in enumerate(want.items()) if s.startswith(".")} | {len(want) + 1: None, len(want) + 2: None}
+    aliased = edges(spark, [("m.ts", None, s, "x") for s in ("@a/x", "@a/none", "@/top", "./a", "zz")])
+    found = imports.resolved_by_alias(aliased, files, [("@a/*", ["none/*", "lib/*"]), ("@*", ["../up*", ".*"])])
+    assert {r.edge_id: r.target for r in found.collect()} == {0: "lib/x.ts", 1: None, 2: "top.ts"}
+    packages = spark.createDataFrame([("@s/p", "lib", "x.js"), ("d", ".", None), (None, "lib", None)], "name string, dir string, main string")
+    inside = edges(spark, [("m.ts", None, s, "x") for s in ("@s/p", "@s/p/x", "d/a", "d", "other", "@s")])
+    assert {r.edge_id: r.target for r in imports.resolved_by_package(inside, files, packages).collect()} == {0: "lib/x.ts", 1: "lib/x.ts", 2: "a.ts", 3: None}
+
+
+def test_made_imports(spark, tmp_path):
+    source = """import def, { a as b, type C,
+  d } from './m';
+import * as all from "../n";
+import './effects';
+export { e as f } from './o';
+export * from './p';
+const q = require('./q'), r = require('./r');
+const s = await import('./s');
+export const one = 1;
+export default function two() { return one + b; }
+export { q as three,
+  s };
+"""
+    rows = [("x.ts", source, None)] * 2 + [("y.ts", "import { z } from './z';", True), ("z.py", "import os\n", False), (None, source, False), ("n.ts", None, False), ("e.ts", "", False)]
+    spark.createDataFrame(rows, "rel string, source string, has_error boolean").write.parquet(str(tmp_path / "parsed_files.parquet"))
+    got = values(text.made_imports(spark, str(tmp_path)).select("specifier", "name", "kind"))
+    assert got == sorted(
+        [("./m", "default", "import"), ("./m", "a", "import"), ("./m", "C", "import"), ("./m", "d", "import"), ("../n", "*", "import"), ("./effects", "", "import"), ("./o", "e", "reexport"), ("./p", "*", "reexport"), ("./q", "*", "require"), ("./r", "*", "require"), ("./s", "*", "dynamic")],
+        key=repr,
+    )
+    assert values(text.exported_names(spark, str(tmp_path))) == [("x.ts", n) for n in ("default", "f", "one", "s", "three")]
+    assert values(text.unused_imports(spark, str(tmp_path))) == [("x.ts", "C"), ("x.ts", "d")]
+
+
+def test_places_within_hot_groups(spark):
+    rows = findings(spark, [(f"{k:04d}", f"r{k % 7}", "low", "high", "a/x" if k % 3 else "b/y", k % 11, "e") for k in range(500)] + [("n1", None, None, None, None, 1, None), ("n2", "r", None, None, None, 1, None)])
+    rows = rows.withColumn("repo", F.substring_index("file", "/", 1))
+    got = {r.id: r.place for r in verdict.ranked(rows, "repo").collect()}
+    w = Window.partitionBy("repo").orderBy(*verdict.total_order())
+    assert got == {r.id: r.place for r in rows.withColumn("place", F.row_number().over(w)).collect()}
+
+
 def test_orphans_small(spark):
     sec = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
     files = spark.createDataFrame([("a/x.ts", sec - 5), ("a/x.ts", sec - 5), ("a/b/index.tsx", sec - 5), ("late.ts", sec + 5), ("back.ts", sec - 9), ("back.ts", sec - 1), (None, sec), ("n.ts", None)], "rel string, indexed_at long")
@@ -189,7 +238,7 @@ def events(spark):
 def test_sequences(spark):
     ev = events(spark)
     rounds = sequences.counted_with_reset(ev, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase", 3)
-    want = [(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True), (5, 0, False), (6, 1, False), (7, 0, False)]
+    want = [(1, 1, False), (2, 2, False), (3, 3, False), (4, 3, True), (5, 0, True), (6, 1, True), (7, 0, False)]
     assert values(rounds.select("event_id", "round", "silent")) == want
     assert values(sequences.runs(ev, "user_id", ["event_id"], "event_type", 3)) == [(1, "error", 1, 4)]
     assert values(sequences.latest(ev, ["user_id"], ["ts"]).select("event_id")) == [(6,), (7,)]
