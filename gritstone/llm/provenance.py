@@ -1,9 +1,11 @@
 """Generated, minified, vendored and data files among source files.
 
-Every file gets evidence for five labels from its text, its name and the share of
-its line pairs that other repositories hold too. Sum-product belief propagation on
-the directory tree then combines it: directories carry a hidden label, parents and
-children favour equal ones, so a file that says little is read as its siblings are.
+Every file gets evidence for five labels from its text, its name, its size and the
+share of its line pairs that other repositories hold too. Sum-product belief
+propagation on the directory tree then combines it: directories carry a hidden label,
+parents and children favour equal ones. A file without marks among foreign siblings
+is read as they are, and a half mark (a licence without a version, a version of its
+own) counts alone in a folder of its own but not among hand-written siblings.
 """
 
 from __future__ import annotations
@@ -22,12 +24,17 @@ from gritstone.session import checkpointed, spread
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 HAND, GENERATED, MINIFIED, VENDORED, BLOB = range(5)
 
-# How a directory of a label (row) holds files and directories of each label.
-COMPATIBLE = [[0.9, 0.025, 0.025, 0.025, 0.025]] + [[0.3 if y == 0 else 0.6 if y == x else 0.1 / 3 for y in range(5)] for x in range(1, 5)]
-
-STRONG, WEAK = 9.0, 1.5
-PLAIN = 4.0  # that a file without any mark is handwritten
-WRAPPED = 8.0  # a wrapper or version of its own: by a little more than PLAIN and a handwritten folder together
+# How a directory of a label (row) holds files and directories of each label: a hand-written one
+# has few others among its own, a foreign one is nearly all of a kind.
+COMPATIBLE = [[0.96, 0.01, 0.01, 0.01, 0.01]] + [[0.1 if y == 0 else 0.86 if y == x else 0.04 / 3 for y in range(5)] for x in range(1, 5)]
+
+# Log odds of what a file shows of itself. A mark that hand-written files practically never
+# bear outweighs any folder. Half marks are borne by both: alone they say too little, so the tree
+# decides. What no mark says is little too, so a file without any is read as its folder is.
+STRONG, HALF, WEAK = 9.0, 3.2, 1.5
+PLAIN = 2.1  # that a file without any mark is handwritten; three foreign siblings outweigh it, or two in a folder named for them
+LARGE = 0.5  # that a file is no hand's work, for a size no hand writes
+LARGE_BYTES = 65536
 COMMON = 3  # repositories that hold a line pair before it counts as passed around
 ROWS, CHARACTERS = 60, 1000  # a literal this large is data
 
@@ -128,6 +135,7 @@ def is_minified(lines: list[str]) -> bool:
 def text_evidence(rel: str, text: str) -> tuple[list[float], list[int]]:
     """Log evidence for each label, and the hashes of all distinct line pairs of the text."""
     phi = [PLAIN, 0.0, 0.0, 0.0, 0.0]
+    blob = is_blob(text)
     if not text.strip("﻿ \t\r\n"):
         return [STRONG, 0.0, 0.0, 0.0, 0.0], []
     lines = [s for x in text.split("\n") if (s := x.strip())]
@@ -136,15 +144,17 @@ def text_evidence(rel: str, text: str) -> tuple[list[float], list[int]]:
         phi[GENERATED] += STRONG
     if _COMPILED.search(text) or len(_MODULE.findall(text)) >= 3 and "(" in lines[0]:
         phi[GENERATED] += STRONG
-    elif not is_blob(text) and runs_on([x for x in lines if not _COMMENT_LINE.match(x)]):
+    elif not blob and runs_on([x for x in lines if not _COMMENT_LINE.match(x)]):
         phi[GENERATED] += STRONG
     if is_minified(lines):
         phi[MINIFIED] += STRONG
     if _LICENCE.search(head) and _VERSION.search(head) and "internal use only" not in head.lower():
         phi[VENDORED] += STRONG
-    elif _WRAPPER.match(text, len(head)) or rel.endswith(".py") and not rel.endswith(("__init__.py", "version.py", "setup.py")) and _OWN_VERSION.search(text):
-        phi[VENDORED] += WRAPPED
-    if is_blob(text):
+    elif _WRAPPER.match(text, len(head)):
+        phi[VENDORED] += STRONG
+    elif _LICENCE.search(head) or rel.endswith(".py") and not rel.endswith(("__init__.py", "version.py", "setup.py")) and _OWN_VERSION.search(text):
+        phi[VENDORED] += HALF
+    if blob:
         phi[BLOB] += STRONG
     name = rel.rpartition("/")[2]
     for label, hint in NAME_HINTS.items():
@@ -167,12 +177,19 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rels, pa.string()), pa.array(phis, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.int64()))], ["rel", "phi", "pairs"])
 
 
-def evidence(parsed: DataFrame) -> DataFrame:
-    """(rel, phi) of every source file, one row per path.
+def _sizes(files: DataFrame) -> DataFrame:
+    """(rel, bytes): the size at the last indexing that knows one; 0 and null are unknown."""
+    known = files.filter("rel is not null and size > 0")
+    return known.groupBy("rel").agg(F.max_by("size", F.struct("indexed_at", "size")).alias("bytes"))
+
+
+def evidence(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(rel, f0..f4): log evidence of every source file, one row per path.
 
     A path with several texts takes the sum of their evidence; equal rows count
     once. Each text is compared by all its line pairs. The repositories of a pair are
     kept in two bitmaps, which partial aggregation keeps to one row per pair and task.
+    Pairs that COMMON repositories hold are passed around.
     """
     rows = spread(parsed.select("rel", "source").dropna()).mapInArrow(_evidence, "rel string, phi array<double>, pairs array<long>")
     rows = checkpointed(rows.distinct().withColumn("n", F.monotonically_increasing_id()))
@@ -180,11 +197,16 @@ def evidence(parsed: DataFrame) -> DataFrame:
     bit = lambda h: F.expr(f"shiftleft(1L, cast(pmod({h}, 63) as int))")
     known = rows.withColumns({"r": F.xxhash64(repo), "q": F.hash(repo)}).select(bit("r").alias("r"), bit("q").alias("q"), F.explode("pairs").alias("pair"))
     known = known.groupBy("pair").agg(F.bit_or("r").alias("r"), F.bit_or("q").alias("q"))
-    known = known.filter(F.greatest(F.bit_count("r"), F.bit_count("q")) >= COMMON).select("pair")
+    held = F.greatest(F.bit_count("r"), F.bit_count("q"))
+    known = known.filter(held >= COMMON).select("pair")
     shared = rows.select("n", F.explode("pairs").alias("pair")).join(known, "pair").groupBy("n").agg(F.count("*").alias("shared"))
     rows = rows.select("n", "rel", "phi", F.size("pairs").alias("size")).join(shared, "n", "left")
+    rows = rows.join(_sizes(files), "rel", "left")
     share = F.coalesce("shared", F.lit(0)) / F.greatest("size", F.lit(5))
-    sums = [F.sum(F.col("phi")[k] + (F.when(share >= 0.85, STRONG).when(share >= 0.7, 3.0).otherwise(0.0) if k == VENDORED else F.lit(0.0))).alias(f"f{k}") for k in range(5)]
+    copied = F.when(share >= 0.85, STRONG).when(share >= 0.7, HALF).otherwise(0.0)
+    large = F.when(F.col("bytes") >= LARGE_BYTES, LARGE).otherwise(0.0)
+    more = {VENDORED: copied, GENERATED: large, MINIFIED: large, BLOB: large}
+    sums = [F.sum(F.col("phi")[k] + more.get(k, F.lit(0.0))).alias(f"f{k}") for k in range(5)]
     return rows.groupBy("rel").agg(*sums)
 
 
@@ -255,11 +277,11 @@ def beliefs(files: DataFrame) -> DataFrame:
     return final.select("rel", label.alias("label"))
 
 
-def labelled_files(parsed: DataFrame) -> DataFrame:
+def labelled_files(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """(rel, label) of every path with an ending of a source language; null paths and texts are left out."""
-    return beliefs(evidence(parsed))
+    return beliefs(evidence(parsed, files))
 
 
-def foreign_files(parsed: DataFrame) -> DataFrame:
+def foreign_files(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """(rel) of the files nobody wrote by hand in their repository."""
-    return labelled_files(parsed).filter(F.col("label") != LABELS[HAND]).select("rel")
+    return labelled_files(parsed, files).filter(F.col("label") != LABELS[HAND]).select("rel")

@@ -17,11 +17,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.foreign_files(table(spark, sf_dir, "parsed_files"))
+    return provenance.foreign_files(table(spark, sf_dir, "parsed_files"), table(spark, sf_dir, "files"))
 
 
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.labelled_files(table(spark, sf_dir, "parsed_files"))
+    return provenance.labelled_files(table(spark, sf_dir, "parsed_files"), table(spark, sf_dir, "files"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

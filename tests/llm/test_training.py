@@ -127,7 +127,9 @@ def test_foreign_files(spark):
         "r1/src/long.ts": "const s = '" + "word " * 300 + "';\nfunction f(a: string) {\n  return s + a;\n}\n",
         "r1/vendors/own.py": HAND.format(2),
         "r1/src/umd.js": ";(function (root, factory) {\n  if (typeof module === 'object') module.exports = factory();\n  else root.Lib = factory();\n}(this, function () {\n  return { a: 1 };\n}));\n",
-        "r1/src/single.py": '"""lib: helpers."""\n__version__ = "1.4"\n\n' + HAND.format(3),
+        "r1/helpers/single/single.py": '"""lib: helpers."""\n__version__ = "1.4"\n\n' + HAND.format(3),
+        "r1/app/versioned.py": '"""r1: helpers."""\n__version__ = "1.5"\n\n' + HAND.format(5),
+        **{f"r1/app/own{k}.py": HAND.format(k + 20) for k in range(3)},
         "r1/src/__init__.py": '__version__ = "1.4"\n' + HAND.format(4),
         "r1/src/mentions.js": "const wrap = (body) => '(function (root, factory) {' + body + '}(this));';\nexport default wrap;\n",
         "r1/empty.ts": "",
@@ -137,18 +139,39 @@ def test_foreign_files(spark):
     texts |= {f"r{k}/lib/copy.js": copied for k in range(2, 6)}
     texts |= {f"r{k}/src/own{k}.py": HAND.format(k + 10) for k in range(2, 6)}
     rows = spark.createDataFrame(list(texts.items()) * 2 + [(None, "x"), ("x.ts", None)], "rel string, source string")
-    got = {r.rel: r.label for r in provenance.labelled_files(rows).collect()}
+    files = sized(spark, [(r, 1, 100) for r in texts] + [(None, 1, 5), ("gone.ts", None, None)])
+    got = {r.rel: r.label for r in provenance.labelled_files(rows, files).collect()}
     foreign = {k for k, v in got.items() if v != "handwritten"}
-    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js", "umd.js", "single.py")} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
+    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js", "umd.js")} | {"r1/helpers/single/single.py"} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
     assert got["r1/src/data.ts"] == "blob" and got["r1/src/min.js"] == "minified" and "r1/config.json" not in got
-    assert values(provenance.foreign_files(rows.limit(0))) == []
+    assert values(provenance.foreign_files(rows.limit(0), files.limit(0))) == []
+
+
+def sized(spark, rows):
+    return spark.createDataFrame(rows, "rel string, indexed_at long, size long")
+
+
+def test_the_tree_decides(spark):
+    """Labels that the evidence of the file alone would not give."""
+    made = "// Code generated by tool. DO NOT EDIT.\nexport const a = {0};\n"
+    licensed = "/* Released under the MIT licence. */\n"
+    texts = {f"r/out/g{k}.ts": made.format(k) for k in range(6)} | {"r/out/plain.py": HAND.format(1)}
+    texts |= {f"r/src/h{k}.py": HAND.format(k + 10) for k in range(6)} | {"r/src/licensed.ts": licensed + "export function f(a: string) { return a; }\n"}
+    texts |= {f"r/third_party/lib/l{k}.js": f"/*!\n * lib v1.2.{k}\n * the MIT licence\n */\nvar x = {k};\n" for k in range(4)} | {"r/third_party/lib/util.js": licensed + "var util = 1;\n"}
+    rows = spark.createDataFrame(list(texts.items()), "rel string, source string")
+    files = sized(spark, [("r/src/h0.py", 1, 200)])
+    alone = {r.rel: max(range(5), key=lambda k: r[f"f{k}"]) for r in provenance.evidence(rows, files).collect()}
+    got = {r.rel: r.label for r in provenance.labelled_files(rows, files).collect()}
+    turned = {rel: (provenance.LABELS[alone[rel]], got[rel]) for rel in got if provenance.LABELS[alone[rel]] != got[rel]}
+    assert turned == {"r/out/plain.py": ("handwritten", "generated"), "r/src/licensed.ts": ("vendored", "handwritten")}
+    assert got["r/third_party/lib/util.js"] == "vendored" and got["r/src/h0.py"] == "handwritten"
 
 
 def test_copies_are_seen_whichever_repositories_hold_them(spark):
     copied = "".join(f"function part{k}(value) {{\n  return helper{k}(value.items[{k % 7}]);\n}}\n" for k in "abcdefgh".encode())
     for first in range(0, 24, 4):
         rows = spark.createDataFrame([(f"repo-{k}/lib/copy.js", copied) for k in range(first, first + 4)], "rel string, source string")
-        assert provenance.foreign_files(rows).count() == 4
+        assert provenance.foreign_files(rows, sized(spark, [])).count() == 4
 
 
 def edited_copies(repositories):
@@ -164,7 +187,7 @@ def edited_copies(repositories):
 
 def test_edited_copies_are_compared_by_all_their_lines(spark):
     rows = spark.createDataFrame(edited_copies(12), "rel string, source string")
-    assert provenance.evidence(rows).filter(F.col("f3") >= provenance.STRONG).count() == 12
+    assert provenance.evidence(rows, sized(spark, [])).filter(F.col("f3") >= provenance.STRONG).count() == 12
 
 
 # --- 5 ---------------------------------------------------------------------------
