@@ -5,7 +5,7 @@ share of its line pairs that other repositories hold too. Sum-product belief
 propagation on the directory tree then combines it: directories carry a hidden label,
 parents and children favour equal ones. A file without marks among foreign siblings
 is read as they are, and a half mark (a licence without a version, a version of its
-own) counts alone in a folder of its own but not among hand-written siblings.
+own) counts among foreign files but not in a hand-written part of the tree.
 """
 
 from __future__ import annotations

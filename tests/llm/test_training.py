@@ -142,7 +142,7 @@ def test_foreign_files(spark):
     files = sized(spark, [(r, 1, 100) for r in texts] + [(None, 1, 5), ("gone.ts", None, None)])
     got = {r.rel: r.label for r in provenance.labelled_files(rows, files).collect()}
     foreign = {k for k, v in got.items() if v != "handwritten"}
-    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js", "umd.js")} | {"r1/helpers/single/single.py"} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
+    assert foreign == {f"r1/src/{n}" for n in ("gen.ts", "seq.js", "data.ts", "min.js", "lib.js", "tsc.js", "umd.js")} | {f"r{k}/lib/copy.js" for k in range(2, 6)}
     assert got["r1/src/data.ts"] == "blob" and got["r1/src/min.js"] == "minified" and "r1/config.json" not in got
     assert values(provenance.foreign_files(rows.limit(0), files.limit(0))) == []
 
@@ -157,14 +157,15 @@ def test_the_tree_decides(spark):
     licensed = "/* Released under the MIT licence. */\n"
     texts = {f"r/out/g{k}.ts": made.format(k) for k in range(6)} | {"r/out/plain.py": HAND.format(1)}
     texts |= {f"r/src/h{k}.py": HAND.format(k + 10) for k in range(6)} | {"r/src/licensed.ts": licensed + "export function f(a: string) { return a; }\n"}
+    texts |= {"r/src/single.py": '"""lib: helpers."""\n__version__ = "1.4"\n\n' + HAND.format(3), "r/third_party/lib/single.py": '"""lib: helpers."""\n__version__ = "1.4"\n\n' + HAND.format(4)}
     texts |= {f"r/third_party/lib/l{k}.js": f"/*!\n * lib v1.2.{k}\n * the MIT licence\n */\nvar x = {k};\n" for k in range(4)} | {"r/third_party/lib/util.js": licensed + "var util = 1;\n"}
     rows = spark.createDataFrame(list(texts.items()), "rel string, source string")
     files = sized(spark, [("r/src/h0.py", 1, 200)])
     alone = {r.rel: max(range(5), key=lambda k: r[f"f{k}"]) for r in provenance.evidence(rows, files).collect()}
     got = {r.rel: r.label for r in provenance.labelled_files(rows, files).collect()}
     turned = {rel: (provenance.LABELS[alone[rel]], got[rel]) for rel in got if provenance.LABELS[alone[rel]] != got[rel]}
-    assert turned == {"r/out/plain.py": ("handwritten", "generated"), "r/src/licensed.ts": ("vendored", "handwritten")}
-    assert got["r/third_party/lib/util.js"] == "vendored" and got["r/src/h0.py"] == "handwritten"
+    assert turned == {"r/out/plain.py": ("handwritten", "generated"), "r/src/licensed.ts": ("vendored", "handwritten"), "r/src/single.py": ("vendored", "handwritten")}
+    assert got["r/third_party/lib/util.js"] == got["r/third_party/lib/single.py"] == "vendored" and got["r/src/h0.py"] == "handwritten"
 
 
 def test_copies_are_seen_whichever_repositories_hold_them(spark):
