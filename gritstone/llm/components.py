@@ -1,8 +1,9 @@
 """Consolidating pairwise matches into groups.
 
-Labels start as the smallest direct neighbour and shrink by two steps a round:
-minimum-label propagation over the edges and pointer jumping (the label of one's
-label). Every round is checkpointed; the loop ends when no label changed.
+A round hooks every head to its smallest neighbour (minimum-label propagation over
+the edges) and jumps pointers until no label changes; edges then lead from head to
+head, and those inside a group are dropped, so settled groups cost nothing any more.
+Every round is written to the shared folder; the loop ends when no edge is left.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.session import checkpointed
+from gritstone.session import discard, shuffle_partitions, written
 
 MAX_ROUNDS = 200
+HOT_ROWS = 1000  # a key of fewer rows is never hot
 
 
 def linked_pairs(pairs: DataFrame) -> DataFrame:
@@ -29,41 +31,80 @@ def linked_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def mapped(rows: DataFrame, key: str, pointers: DataFrame) -> DataFrame:
+    """``rows`` with every ``key`` replaced by what ``pointers`` (key, to) say; a key without one stays.
+
+    Keys above a share of all rows, of which there are at most four times as many
+    as shuffle partitions, are spread over salts, and only their pointers are
+    repeated, so a hub is never one task's work.
+    """
+    width = shuffle_partitions(rows.sparkSession)
+    least = max(HOT_ROWS, rows.count() // (4 * width))
+    known = pointers.select(F.col("key").alias(key), F.col("to").alias("_to"))
+    hot = written(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key, F.lit(width).alias("_salts")))
+    if hot.isEmpty():
+        out = rows.join(known, key, "left")
+    else:
+        salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), "_salts")).cast("int")
+        salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
+        copies = known.join(F.broadcast(hot), key, "left").select(key, "_to", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+        out = salted.join(copies, [key, "_salt"], "left")
+    return out.withColumn(key, F.coalesce("_to", key)).select(rows.columns)
+
+
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """Pointers (key, to), written, to the ends of their paths: everybody takes the pointer of whom they point to, until none changes.
+
+    Pointers only ever fall, so their sum tells whether one did.
+    """
+    total = F.sum(F.col("to").cast("decimal(38,0)"))
+    before = pointers.agg(total).first()[0]
+    for _ in range(MAX_ROUNDS):
+        step = written(mapped(pointers, "to", pointers))
+        discard(pointers)
+        pointers, after = step, step.agg(total).first()[0]
+        if after == before:
+            return pointers
+        before = after
+    raise RuntimeError(f"pointers still change after {MAX_ROUNDS} jumps")
+
+
 def connected_groups(links: DataFrame) -> DataFrame:
     """(id, group_id) of every id in ``links`` (u, v); group_id is the smallest id linked to it.
 
-    Ids are numbered in their order first, so a round moves pairs of integers. A
-    hub (an id on a third of all links) is one key of a partially aggregated
-    minimum and the streamed side of joins with one row per id, so no task holds
-    its neighbours together. An empty table gives an empty result.
+    Ids are numbered in their order first, so a round moves pairs of integers.
+    Neighbours of a hub (an id on a third of all links) meet in a partially
+    aggregated minimum only. An empty table gives an empty result.
     """
-    links = checkpointed(links)
+    links = written(links)
     names = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
     # The order of the numbers is the order of the ids: range partitions, then positions in them.
-    names = checkpointed(names.orderBy("id").withColumn("n", F.monotonically_increasing_id()))
-    numbered = (
-        links.join(names.select(F.col("id").alias("u"), F.col("n").alias("a")), "u")
-        .join(names.select(F.col("id").alias("v"), F.col("n").alias("b")), "v")
-        .select("a", "b")
-    )
-    both = checkpointed(numbered.union(numbered.select("b", "a")).toDF("n", "m"))
-    labels = checkpointed(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("label")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("n").alias("m"), "label"), "m").groupBy("n").agg(F.min("label").alias("near"))
-        low = labels.join(near, "n").select("n", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        # The node a label names takes the lowest label of those that name it (hooking), then everybody jumps.
-        hook = low.groupBy(F.col("old").alias("n")).agg(F.min("low").alias("hook"))
-        hooked = low.join(hook, "n", "left").select("n", "old", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        jump = hooked.select(F.col("n").alias("low"), F.col("low").alias("far"))
-        step = hooked.join(jump, "low").select("n", "old", F.least("low", "far").alias("label"))
-        step = checkpointed(step)
-        labels = step.select("n", "label")
-        if step.filter("label <> old").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
-    heads = names.select(F.col("n").alias("label"), F.col("id").alias("group_id"))
-    return labels.join(names, "n").join(heads, "label").select("id", "group_id")
+    names = written(names.orderBy("id").withColumn("n", F.monotonically_increasing_id()))
+    number = names.select(F.col("id").alias("key"), F.col("n").cast("string").alias("to"))
+    half = written(mapped(links, "u", number))
+    discard(links)
+    edges = written(mapped(half, "v", number).select(F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b")))
+    discard(half)
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        if len(rounds) == MAX_ROUNDS:
+            raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
+        both = edges.select(F.col("a").alias("key"), F.col("b").alias("m")).union(edges.select("b", "a"))
+        heads = both.groupBy("key").agg(F.min("m").alias("m")).select("key", F.least("key", "m").alias("to"))
+        rounds.append(_jumped(written(heads)))
+        half = written(mapped(edges, "a", rounds[-1]))
+        discard(edges)
+        ends = mapped(half, "b", rounds[-1]).filter("a <> b")
+        edges = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(half)
+    if not rounds:
+        return names.select("id", F.col("id").alias("group_id")).limit(0)
+    labels = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        labels = written(mapped(earlier, "to", labels))
+    named = labels.join(names, F.col("key") == F.col("n")).select("id", F.col("to").cast("string").alias("group_id"))
+    heads = names.select(F.col("n").cast("string").alias("key"), F.col("id").alias("to"))
+    return mapped(written(named), "group_id", heads)
 
 
 def found_groups(pairs: DataFrame) -> DataFrame:
