@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.session import checkpointed, spread
+from gritstone.session import checkpointed, discard, shuffle_partitions, spread
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 LEAF = 4096  # characters encoded at once
+BATCH = 256  # leaves handed to the tokenizer together
+DOUBLES = 100_000  # doubled keys that may be broadcast, 16 bytes each
 # A piece is settled when the pattern that made it saw no end of text: no rule of
 # the splitting pattern looks more than three characters past the start of a piece
 # or one past its end.
@@ -109,6 +111,19 @@ class Codec:
             at = at + [base + k for k in right[2][first:]]
         return ids, starts, at
 
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; those that are a leaf as a whole need no pieces and are encoded together."""
+        out: list[list[int]] = [[]] * len(texts)
+        leaves = [k for k, t in enumerate(texts) if t and len(t) <= LEAF]
+        for at in range(0, len(leaves), BATCH):
+            some = leaves[at : at + BATCH]
+            for k, e in zip(some, self.t.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        for k, t in enumerate(texts):
+            if t and len(t) > LEAF:
+                out[k] = self.encode(t)[0]
+        return out
+
     def encode(self, text: str):
         """Halve until a leaf fits, encode, join."""
         if len(text) <= LEAF:
@@ -152,21 +167,45 @@ def _nodes(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _NODE_TYPES, strict=True)], _NODE_NAMES)
 
 
-def token_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/{BYTE_BPE}", task: int = 16 * LEAF) -> DataFrame:
-    """(doc_id, ids) of every row; null and empty texts have the empty list.
+def _without_doubles(documents: DataFrame) -> DataFrame:
+    """(doc_id, text), equal rows once. Doubled keys are found among hashes, and only their rows are moved.
 
-    Equal rows count once; rows of one id with several texts stay several rows.
-    Texts up to ``task`` characters are halved and joined inside one task; longer
-    ones are cut into segments of that size first, encoded in any task and joined
-    pairwise up a tree. Nodes of the tree carry the text they stand for.
+    The doubled keys are broadcast up to DOUBLES of them; where a corpus has more,
+    rows of one key meet in a shuffle.
     """
-    rows = documents.select("doc_id", "text").distinct()
+    rows = documents.select("doc_id", "text")
+    keys = rows.select("doc_id", F.xxhash64("text").alias("hash")).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    doubled = checkpointed(keys.filter("n > 1").select(F.col("doc_id").alias("d"), "hash"))
+    if doubled.count() > DOUBLES:
+        return rows.distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("hash"))
+    once = rows.join(F.broadcast(doubled), same, "left_anti")
+    return once.union(rows.join(F.broadcast(doubled), same, "left_semi").distinct())
+
+
+def _encoded(documents: DataFrame, path: str, task: int, counted: bool) -> DataFrame:
+    """(doc_id, ids) or, counted, (doc_id, tokens) of every row."""
+    rows = _without_doubles(documents)
+    schema = f"doc_id long, {'tokens long' if counted else 'ids array<int>'}"
+
+    def out(docs: pa.Array, ids: list) -> pa.RecordBatch:
+        values = pa.array([len(i) for i in ids], pa.int64()) if counted else pa.array(ids, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([docs, values], ["doc_id", "tokens" if counted else "ids"])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t)[0] if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield out(batch.column(0), c.ids(batch.column(1).to_pylist()))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One pass over a long text: each segment is cut where the last one ended.
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                starts = range(0, len(text), task)
+                for k in range(0, len(starts), 64):
+                    part = starts[k : k + 64]
+                    columns = [pa.array([key] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int64()), pa.array([len(starts)] * len(part), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([text[i : i + task] for i in part], pa.string())], ["doc_id", "n", "size", "text"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -188,21 +227,32 @@ def token_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/{BYTE_BPE}", task
     long = rows.filter(F.length("text") > task)
     # Two rows of one id are told apart by the hash of their text until the end.
     long = checkpointed(long.withColumn("key", F.xxhash64("doc_id", "text")))
-    out = spread(rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= task)).mapInArrow(short, "doc_id long, ids array<int>")
-    segments = F.ceil(F.length("text") / task).cast("int")
-    cut = long.withColumn("size", segments).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1)))
-    cut = cut.select(F.col("key").alias("doc_id"), "n", "size", F.substring("text", (F.col("n") * task + 1).cast("int"), F.lit(task)).alias("text"))
-    longest = long.agg(F.max(segments)).first()[0]
+    result = spread(rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= task)).mapInArrow(short, schema)
+    longest = long.agg(F.max(F.ceil(F.length("text") / task))).first()[0]
     if longest is None:
-        return out
-    level = checkpointed(spread(cut).mapInArrow(leaves, _NODE))
+        return result
+    cut = long.select("key", "text").mapInArrow(segments, "doc_id long, n long, size int, text string")
+    level = checkpointed(cut.repartition(shuffle_partitions(documents.sparkSession)).mapInArrow(leaves, _NODE))
     while longest > 1:
-        level = checkpointed(level.withColumn("pair", F.expr("n div 2")).groupBy("doc_id", "pair").applyInArrow(lambda k, g: joined(k, g.drop_columns(["pair"])), _NODE))
-        longest = (longest + 1) // 2
-    whole = level.select(F.col("doc_id").alias("key"), "ids").join(long.select("key", "doc_id"), "key").select("doc_id", "ids")
-    return out.union(whole)
+        above = checkpointed(level.withColumn("pair", F.expr("n div 2")).groupBy("doc_id", "pair").applyInArrow(lambda k, g: joined(k, g.drop_columns(["pair"])), _NODE))
+        discard(level)
+        level, longest = above, (longest + 1) // 2
+    value = F.size("ids").cast("long").alias("tokens") if counted else F.col("ids")
+    whole = level.select(F.col("doc_id").alias("key"), value).join(long.select("key", "doc_id"), "key")
+    return result.union(whole.select("doc_id", "tokens" if counted else "ids"))
+
+
+def token_ids(documents: DataFrame, path: str = f"{TOKENIZERS}/{BYTE_BPE}", task: int = 16 * LEAF) -> DataFrame:
+    """(doc_id, ids) of every row; null and empty texts have the empty list.
+
+    Equal rows count once; rows of one id with several texts stay several rows.
+    Texts up to ``task`` characters are halved and joined inside one task; longer
+    ones are cut into segments of that size first, encoded in any task and joined
+    pairwise up a tree. Nodes of the tree carry the text they stand for.
+    """
+    return _encoded(documents, path, task, counted=False)
 
 
-def token_counts(texts: DataFrame, path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
-    """(doc_id, tokens) of every row of documents."""
-    return token_ids(texts, path).select("doc_id", F.size("ids").cast("long").alias("tokens"))
+def token_counts(texts: DataFrame, path: str = f"{TOKENIZERS}/{BYTE_BPE}", task: int = 16 * LEAF) -> DataFrame:
+    """(doc_id, tokens) of every row of documents; counted where they are encoded, so no ids travel."""
+    return _encoded(texts, path, task, counted=True)
