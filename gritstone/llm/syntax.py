@@ -68,22 +68,23 @@ _LINE = re.compile(r"[^\n\r]*")
 _TAIL_WORD = re.compile(r"[\w$]+$")
 _TAG = re.compile(r"<(/?)\s*([A-Za-z_$][\w$.:-]*)?")
 _IN_TAG = re.compile(r"\s*(?:(/\s*>)|(>)|(\{)|(\"[^\"]*\"|'[^']*')|[\w$:.=-]+|/\*[\s\S]*?\*/)")
+_GENERIC = re.compile(r"\s+extends\s+[\w$\"'{\[(]|\s*,")  # parameters of a type, not a tag
 _MARKUP_TEXT = re.compile(r"[^<>{}]*")
 _BEFORE_OPERAND = frozenset("return typeof case in of do else void delete throw new instanceof yield await default extends".split())
 
 # Words that may stand before an operand, and between two, on one line.
 _JS_PREFIX = frozenset(
-    "const let var return typeof new delete void throw case in of instanceof import export from as function async await yield class extends else do default static get set break continue".split()
+    "const let var using return typeof new delete void throw case in of instanceof import export from as function async await yield class extends else do default static get set break continue".split()
 )
 _TS_PREFIX = _JS_PREFIX | frozenset(
     "type interface declare namespace abstract readonly enum keyof infer public private protected override satisfies is asserts unique module global implements accessor out require".split()
 )
-_JS_INFIX = frozenset("in of instanceof as from extends while else catch finally with assert".split())
+_JS_INFIX = frozenset("in of instanceof as from extends while else catch finally with assert await".split())
 _TS_INFIX = _JS_INFIX | frozenset("is implements satisfies keyof if".split())
 _LEFT = re.compile(r"[\w$.#@\"\]]+\Z")
 _RIGHT = re.compile(r"[\w$\"]+")
 _SYMBOLS = re.compile(
-    r"[-<?:;.=+*,(\[$\"](?:(?<=[^-]-)>|(?<=<)\?|(?<=\?)>|(?<=:):|(?<=;);;|(?<=\.)\.\.\.|(?<==)\s*[)\];,}]|(?<=[=+*,\[])\s*;|(?<=\()\s*,"
+    r"[-<?:.=+*,(\[$\"](?:(?<=[^-]-)>|(?<=<)\?|(?<=\?)>|(?<=:):|(?<=\.)\.\.\.|(?<==)\s*[)\];,}]|(?<==)\s+=(?!>)|(?<=[=+*,\[])\s*;|(?<=\()\s*,"
     r"|(?<=,)\s*,(?![^\[\]]*\])|(?<=\$)\{|(?<=\")\"[\w$\"])"
 )
 
@@ -93,7 +94,8 @@ def _out_of_place(code: str, typed: bool) -> bool:
     prefix, infix = (_TS_PREFIX, _TS_INFIX) if typed else (_JS_PREFIX, _JS_INFIX)
     for line in code.split("\n"):
         parts = line.split()
-        if parts and (parts[0] in _FOREIGN or parts[0][0] == "#" and not parts[0][1:2].isalpha() and parts[0][1:2] not in ("_", "$", "!")):
+        # A word that starts statements elsewhere is a name here, unless an operand follows it.
+        if parts and (parts[0] in _FOREIGN and len(parts) > 1 and (parts[1][0].isalnum() or parts[1][0] in '_$"') or parts[0][0] == "#" and not parts[0][1:2].isalpha() and parts[0][1:2] not in ("_", "$", "!")):
             return True
         if len(parts) > 1 and parts[-1][-1] == ":" and parts[0] in ("if", "while", "for") and parts[1][0] != "(":
             return True
@@ -102,7 +104,53 @@ def _out_of_place(code: str, typed: bool) -> bool:
                 left = _LEFT.search(a).group()
                 if left not in prefix and left[0] not in "@#" and _RIGHT.match(b).group() not in infix:
                     return True
-    return _SYMBOLS.search(code) is not None
+    return _SYMBOLS.search(code) is not None or any(r.search(code) for r in _KEYWORDS) or _FIRST_WORD.match(code) is not None or _BAD_NUMBER.search(code) is not None or _behind_parenthesis(code, infix)
+
+
+_NUMBER = r"(?:0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?[\d_]+)?n?)"
+_BAD_NUMBER = re.compile(rf"(?<![\w$.])(?=\d)(?!{_NUMBER}(?:\.?\.[A-Za-z_$]|(?![\w$])))")
+# Words of statements where none can stand, and declarations without what they declare.
+_KEYWORDS = (
+    re.compile(r"[rtdvi](?<![\w$.].)(?:(?:eturn|hrow|ypeof|elete|oid)[ \t]+(?:(?:return|if|for|while|const|var|switch|throw|break|continue)\b(?![ \t]*[:=.(,;)\]}]))|mport[ \t]+from[ \t]+\"\")"),
+    re.compile(r"[;}]\s*(?:function[ \t]*\*?[ \t]*\(|class[ \t]*\{)"),
+    re.compile(r"\breturn[ \t]+return\b"),
+)
+_FIRST_WORD = re.compile(r"\s*(?:(?:else|finally|case)\b(?!\s*[:=.(,;])|catch\s*[({]|(?:const|var)\s*=|function[ \t]*\*?[ \t]*\(|class[ \t]*\{)")
+_BEHIND = re.compile(r"\)[ \t]+([A-Za-z_$][\w$]*|[\d\"])")
+_HEAD = re.compile(r"(?<![\w$.])(?:if|while|for|with|await)\s*\Z|@[\w$.]+\s*\Z")
+
+
+def _opening(code: str, at: int) -> int:
+    """Where the parenthesis opens that closes at a place, or -1."""
+    depth = 0
+    while at >= 0:
+        close, open_ = code.rfind(")", 0, at + 1), code.rfind("(", 0, at + 1)
+        if open_ < 0:
+            return -1
+        if close > open_:
+            depth += 1
+            at = close - 1
+        else:
+            depth -= 1
+            if not depth:
+                return open_
+            at = open_ - 1
+    return -1
+
+
+def _behind_parenthesis(code: str, infix: frozenset[str]) -> bool:
+    """Whether an operand stands behind a parenthesis that is no head of a statement and no decorator's."""
+    for m in _BEHIND.finditer(code):
+        if m.group(1) not in infix and not _HEAD.search(code, max(0, (at := _opening(code, m.start())) - 80), max(at, 0)):
+            return True
+    return False
+
+
+_ELSE, _IF = re.compile(r"(?<![\w$.>:\\])else\b(?!\s*[:=.(,)])"), re.compile(r"(?<![\w$.>\\])(?:else)?if\b")
+
+
+def _else_without_if(code: str) -> bool:
+    return "else" in code and len(_ELSE.findall(code)) > len(_IF.findall(code))
 
 
 _JS_ONLY = re.compile(r"\(\s*[A-Za-z_$][\w$]*\s*\??:\s*[A-Za-z_$\[{(\"]|(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*:|\)\s*:\s*[\w$<>\[\]|. ]+\s*(?:=>|\{)|\bas\s+(?:const|[A-Z]|string|number|any|unknown)")
@@ -117,7 +165,11 @@ def _operand_next(out: list[str]) -> bool:
         piece = piece.rstrip()
         if not piece:
             continue
-        if piece[-1] in ")]\"}`":
+        if piece[-1] == ")":
+            code = "".join(out).rstrip()
+            at = _opening(code, len(code) - 1)
+            return _HEAD.search(code, max(0, at - 80), max(at, 0)) is not None
+        if piece[-1] in "]\"}`":
             return piece[-1] == "}"
         word = _TAIL_WORD.search(piece)
         return word is None or word.group() in _BEFORE_OPERAND
@@ -254,6 +306,10 @@ def js_skeleton(src: str, markup: bool) -> str:
         elif c == "<":
             m = _TAG.match(src, i)
             if not m.group(1) and (m.group(2) or src[m.end() : m.end() + 1] == ">") and src[i : i + 2] != "<<" and _operand_next(out):
+                if markup and _GENERIC.match(src, m.end()):
+                    out.append("<")
+                    last = pos = i + 1
+                    continue
                 if not markup and re.compile(r"[^<>;]*(?:/>|</|>[^\n]*</|=\s*[{\"'])").match(src, m.end()):
                     raise Broken("markup in a file without it")
                 if markup:
@@ -285,7 +341,7 @@ def check_js(src: str, language: str) -> None:
         raise Broken("data, not code")
     if _PREMATURE.search(code.rstrip()[-40:]):
         raise Broken("premature end")
-    if _out_of_place(code, language != "javascript"):
+    if _out_of_place(code, language != "javascript") or _else_without_if(code):
         raise Broken("token out of place")
     if language == "javascript" and _JS_ONLY.search(code):
         raise Broken("type annotation in JavaScript")
@@ -307,6 +363,7 @@ _PHP_ORDER = re.compile(
     r"|\$\w+[ \t]+(?!(?:as|and|or|xor|instanceof|while)\b)[A-Za-z_$\"\d]"
     r"|\"\"[ \t]*(?!(?:as|and|or|xor|instanceof)\b)[A-Za-z_$\"\d]|\][ \t]+(?!(?:as|and|or|xor|instanceof|use)\b)[A-Za-z_$\"\d]"
     r"|[=+*/,(\[]\s*;|\(\s*,|,\s*,|(?<![=!<>])===?\s*[)\];]|\$(?![\w${])|->\s*[;)]"
+    r"|(?<![\w$.])\d[\w.]*[ \t]+(?!(?:as|and|or|xor|instanceof)\b)[A-Za-z_$\"\d]"
     # A statement must end before a line starts with a variable or a statement word.
     r"|[\w\])\"][ \t]*\n\s*(?:\$\w+(?:\s*(?:[-+.*/]?=(?!=)|\(|\[|->))|return\b|foreach\b|throw\b|try\b|echo\b)"
 )
@@ -380,6 +437,8 @@ def check_php(src: str) -> None:
         raise Broken("premature end")
     if (m := _PHP_ORDER.search(code)) and not _BLOCK_HEAD.match(code, m.start()):
         raise Broken("token out of place")
+    if _else_without_if(code):
+        raise Broken("token out of place")
 
 
 # --- Python ----------------------------------------------------------------------

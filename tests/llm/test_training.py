@@ -199,12 +199,77 @@ VALID = [
     ("a.cjs", "#!/usr/bin/env node\nclass A { #p = 1; get x() { return this.#p; } }\n"), ("a.ts", "// <<<<<<< no\nconst s = '>>>>>>> x';\n/* ======= */\n"),
     ("a.php", "plain <b>html</b> it's ("), ("a.phtml", "<?php\n$a = \"x{$b['k']}\"; // it's ?>\n<p>'</p>\n<?= $x ?>"), ("a.php", "<?php\n$t = <<<EOT\n it's ( {\nEOT;\nif ($a) {\n  f();\n}\n"),
     ("a.py", "\ufeffx = '''\n<<<<<<< HEAD\n'''\n"), ("a.py", "def f(a, /, *, b=1) -> int:\n    return a  # ( it's\n"), ("a.ts", "a.b(c\n  .d)\n"),
+    # Words of other languages and of later standards are names, and a slash behind the head of a statement begins a pattern.
+    ("a.ts","for await (const x of y) {\n  f(x);\n}\n"),
+    ("a.js","done = true;\n"),
+    ("a.js","const o = { def : 1, echo : 2 };\n"),
+    ("a.ts","using r = open();\n"),
+    ("a.js","for (;;) {;;;}\n"),
+    ("a.js",";;;\n"),
+    ("a.js","if (a) /'/.test(b);\n"),
+    ("a.ts","while (x) /[(]/.exec(y);\n"),
+    ("a.js","const x = (a) / 2 / b;\n"),
+    ("a.ts","def = 1;\nelif = 2;\n"),
+    ("a.js","const of = 1, get = of;\nlet async = get;\n"),
+    ("a.ts","await using f = g();\n"),
+    ("a.js","label: while (1) { break label; }\n"),
+    ("a.ts","let x = <T,>(a: T) => a;\n"),
+    ("a.ts","abstract class A<T> extends B<T> implements C { declare x: number; static { f(); } }\n"),
+    ("a.ts","type X = `a${string}`;\ntype Y = A extends infer U ? U : never;\n"),
+    ("a.ts","enum E { A = 1, B }\nexport * as ns from './x';\n"),
+    ("a.js","a = b\n++c\n"),
+    ("a.js","var a = b\n/re/g.test(c)\n"),
+    ("a.ts","x = y as unknown as string;\nif (x) return;\n"),
+    ("a.ts","let a!: string;\nfoo?.bar?.[0]?.();\n"),
+    ("a.php","<?php if ($a): ?>x<?php else: ?>y<?php endif; ?>\n"),
+    ("a.php","<?php\nfunction f(int ...$a): ?array { return [...$a]; }\n"),
+    ("a.php","<?php\necho 'a' , 'b';\nprint $x and die();\n"),
+    ("a.php","<?php\nmatch(true) { $a => 1, default => 2 };\n"),
+    ("a.php","<?php\nenum Suit: string { case A = 'a'; }\n"),
+    ("a.php","<?php\n#[Attr(1)]\nfinal readonly class A { public function __construct(private int $x = 1) {} }\n"),
+    ("a.php","<?php\n$f = fn(int $x): int => $x * 2;\ngoto end;\nend:\necho <<<'X'\n  it's\n  X;\n"),
+    ("a.js","import x, { y as z } from 'm' with { type: 'json' };\n"),
+    ("a.tsx","const f = <T extends object>(p: P<T>) => <div {...p}>{p.a < 3 ? <b/> : null} text's</div>;\n"),
+    ("a.ts","class A { constructor(@Inject() private x: B, @Q('a') readonly y: C) {} }\n"),
+    ("a.ts","function f(a: unknown): asserts a is string { if (!a) throw e; else return; }\n"),
+    ("a.js","x = 0xFFn + 1_000 + 1e-5 + .5 + 5..toString() + 0b101;\n"),
+    ("a.js","if (a) b(); else if (c) d(); else e();\nfor (const x of y) f(x);\ndo x(); while (y)\n"),
+    ("a.js","p.then(f).catch(g).finally(h);\nx.else = 1; const y = { else: 2, return: 3 };\n"),
+    ("a.js","const f = function (a) { return a; };\nexport default class { }\n"),
+    ("a.js","(function () {})();\n!function (a) {}(1);\n"),
+    ("a.php","<?php\nif ($a) return 1;\nelse if ($b) return 2;\nelse return 3;\nfor ($i = 0; $i < 10; $i++) f(1, 2);\n"),
+    ("a.php","<?php\nswitch ($a) { case 1: break 2; default: x(); }\n$a = $b ? 1 : 2;\n"),
+    ("a.js","let x = a ? function () {} : class {};\n"),
+    ("a.ts","import type from './x';\nimport type { A } from './y';\nexport type { B } from './z';\n"),
+    ("a.ts","let f: (a: number) => void = g;\nlet n: new (x: A) => B;\n"),
+    ("a.js","return_ = 1; typeofx = 2; of.x();\n"),
 ]
 BROKEN = [
     ("a.ts", "const a = 'x;\n"), ("a.ts", "f(a;\n"), ("a.ts", "function f() {\n  return 1;\n"), ("a.ts", "const e = <p>x</p>;\n"), ("a.tsx", "<<<<<<< HEAD\nconst a = 1;\n=======\nconst a = 2;\n>>>>>>> x\n"),
     ("a.js", "interface A { x: string }\n"), ("a.js", "const f = (a: string) => a;\n"), ("a.ts", "def f(x):\n    return x\n"), ("a.ts", '{\n "a": 1\n}\n'), ("a.js", "const a = `x ${b} \n"),
     ("a.tsx", "const e = <a><b></a></b>;\n"), ("a.php", "<?php\nfunction f() {\n  return 1;\n"), ("a.php", "<?php\n$a = 'x;\n"), ("a.py", "print 'x'\n"), ("a.py", "def f(:\n  pass\n"), ("a.py", "x = 1\n y = 2\n"), ("a.ts", "const a =\n"),
     ("a.js", "/* never ends\nconst a = 1;\n"),
+    # Operands side by side, and words where none can stand.
+    ("a.js","const = 5;\n"),
+    ("a.js","else { x }\n"),
+    ("a.js","var 1a = 2;\n"),
+    ("a.js","foo(a, b) bar\n"),
+    ("a.php","<?php else {\n}\n"),
+    ("a.js","x = = 2;\n"),
+    ("a.ts","let a b = 1;\n"),
+    ("a.ts","if x > 1 {\n}\n"),
+    ("a.js","return return;\n"),
+    ("a.js","a + ;\n"),
+    ("a.js","function (a, ) {}\n"),
+    ("a.js","class { }\n"),
+    ("a.php","<?php\n$a = ;\n"),
+    ("a.php","<?php\necho $a $b;\n"),
+    ("a.php","<?php\nfoo(1 2);\n"),
+    ("a.js","import from 'x';\n"),
+    ("a.js","let x = {a: 1 b: 2};\n"),
+    ("a.js","const x = [1, 2 3];\n"),
+    ("a.js","catch (e) {}\n"),
+    ("a.js","x = 1;\nelse { y }\n"),
 ]
 
 
