@@ -33,6 +33,29 @@ AHEAD = 3
 WINDOW = 64
 
 
+# How byte-level vocabularies of this family cut a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@cache
+def fast_encoder(path: str):
+    """A second public library's encoder of the same vocabulary, several times as fast, or None.
+
+    It merges by id where the first one merges by rank, so it is used only where
+    ids follow the ranks and the text is cut by the common pattern.
+    """
+    import tiktoken
+
+    whole = json.loads(Path(path).read_text(encoding="utf-8"))
+    cut, model = whole["pre_tokenizer"] or {}, whole["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not whole["normalizer"] and not whole["post_processor"]
+    ids = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if not plain or any(b - a != 1 for a, b in zip(ids, ids[1:])) or model.get("ignore_merges") or model.get("byte_fallback"):
+        return None
+    ranks = {piece: k for k, piece in enumerate(_pieces(path)) if piece}
+    return tiktoken.Encoding("leaves", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 @cache
 def tokenizer(path: str):
     """A tokenizer whose special strings are ordinary text."""
@@ -49,6 +72,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
+        self.fast = fast_encoder(path)
 
     def node(self, text: str) -> tuple[list[int], list[int], list[int]]:
         e = self.t.encode(text, add_special_tokens=False)
@@ -112,7 +136,9 @@ class Codec:
         return ids, starts, at
 
     def ids(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; those that are a leaf as a whole need no pieces and are encoded together."""
+        """The ids of each text; those that are a leaf as a whole need no pieces."""
+        if self.fast:
+            return [[] if not t else self.fast.encode_ordinary(t) if len(t) <= LEAF else self.encode(t)[0] for t in texts]
         out: list[list[int]] = [[]] * len(texts)
         leaves = [k for k, t in enumerate(texts) if t and len(t) <= LEAF]
         for at in range(0, len(leaves), BATCH):

@@ -445,6 +445,14 @@ def test_joining_equals_encoding():
         tokens.LEAF = leaf
 
 
+def test_both_libraries_agree_on_leaves():
+    codec, rng = tokens.codec(PATH), random.Random(12)
+    assert codec.fast is not None
+    points = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    texts = [f"a{c}b 1{c}2 .{c}. {c}{c} x" for c in map(chr, rng.sample(points, 20000))] + ["", " ", "\n\n \n", "a" * 4000, "  it's 12,000 -- don't\t!\r\n", "<|endoftext|>"]
+    assert codec.ids(texts) == [e.ids for e in codec.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_token_ids(spark):
     rng = random.Random(3)
     long = " ".join(rng.choice(["alpha", "it's", "x1", "...", "日本"]) for _ in range(3000))
