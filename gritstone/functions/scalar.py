@@ -60,6 +60,11 @@ def token_payload(token: Column) -> Column:
     return F.try_to_binary(padded, F.lit("base64")).cast("string")
 
 
+def python_name(name: Column) -> Column:
+    """A Python package's name in lower case, runs of separators as one hyphen."""
+    return F.lower(F.regexp_replace(name, "[-_.]+", "-"))
+
+
 def without_ending(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 

@@ -28,8 +28,7 @@ def staged_key(version: Column) -> Column:
     shape = r"^(\d+(?:\.\d+)*)(?:-(alpha|beta|stable|patch|dev|rc|pl|a|b|p)[.-]?(\d*))?$"
     numbers = F.transform(F.split(F.regexp_replace(F.regexp_extract(v, shape, 1), r"(?:\.0+)+$", ""), r"\."), lambda x: x.cast("long"))
     word = F.regexp_extract(v, shape, 2)
-    for short, name in ALIASES.items():
-        word = F.when(word == short, name).otherwise(word)
+    word = F.coalesce(*[F.when(word == short, F.lit(name)) for short, name in ALIASES.items()], word)
     stage = F.coalesce(*[F.when(word == s, F.lit(k)) for k, s in enumerate(STAGES)], F.lit(STAGES.index("stable")))
     number = F.coalesce(F.nullif(F.regexp_extract(v, shape, 3), F.lit("")).cast("long"), F.lit(0).cast("long"))
     return F.when(v.rlike(shape), F.struct(numbers.alias("release"), stage.alias("stage"), number.alias("number")))

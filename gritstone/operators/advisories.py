@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gritstone.functions.scalar import python_name
+from gritstone.functions.versions import pep440_key, semver_key, staged_key
+
 # Kinds of range events in the order they are read at one version.
 KINDS = ("introduced", "fixed", "last_affected")
 
@@ -27,8 +30,7 @@ def range_state(version_key: Column, events: Column) -> Column:
             F.struct(F.when(starts, version_key >= e["key"]).otherwise(F.lit(False)).alias("open"), (fixed | last).alias("holds"), F.when(fixed, e["version"]).alias("fix"))
         )
 
-    walked = F.aggregate(order, start, step)
-    result = F.struct((walked["holds"] | walked["open"]).alias("holds"), walked["fix"].alias("fix"))
+    result = F.aggregate(order, start, step, lambda w: F.struct((w["holds"] | w["open"]).alias("holds"), w["fix"].alias("fix")))
     readable = version_key.isNotNull() & F.forall(events, lambda e: e["key"].isNotNull())
     return F.when(readable, result)
 
@@ -45,6 +47,60 @@ def affected(packages: DataFrame, advisories: DataFrame, key, on: list[str]) ->
     return rows.filter("state.holds").withColumn("fix", F.col("state.fix")).drop("state", "events")
 
 
+# Ecosystems whose own ranges have an order of their own; ranges of semantic versions are read everywhere.
+ORDERED = {"npm": None, "PyPI": pep440_key, "Packagist": staged_key}
+
+
+def _keyed(events: Column, key) -> Column:
+    return F.transform(events, lambda e: F.struct(key(e["version"]).alias("key"), e["kind"].alias("kind"), e["version"].alias("version")))
+
+
+def with_fix(rows: DataFrame, ecosystem: str) -> DataFrame:
+    """``rows`` (version, ranges, ...) of one ecosystem with what the ranges say: fix_kind and fix.
+
+    ``ranges`` is an array of (type, events of (kind, version)). The first range
+    that holds the version names the fix (named) or names none (none); else
+    unreadable where one could not be ordered, outside where all could. Ranges
+    of commits, of an ecosystem without an order and with a version that is none
+    cannot be ordered. Null ranges are none.
+    """
+    own = ORDERED.get(ecosystem)
+    # Keys are columns of their own: inside a lambda they would be worked out for every event.
+    rows = rows.withColumn("_vs", semver_key(F.col("version")))
+    rows = rows.withColumn("_vo", own(F.col("version")) if own else F.lit(None).cast("int"))
+    ranges = F.transform("ranges", lambda r: F.struct(F.when(r["type"] == "SEMVER", _keyed(r["events"], semver_key)).alias("semver"), (F.when(r["type"] == "ECOSYSTEM", _keyed(r["events"], own)) if own else F.lit(None).cast("int")).alias("own")))
+    rows = rows.withColumn("_r", ranges)
+    says = lambda r: F.coalesce(range_state(F.col("_vs"), r["semver"]), range_state(F.col("_vo"), r["own"])) if own else range_state(F.col("_vs"), r["semver"])
+    rows = rows.withColumn("_s", F.transform("_r", says))
+    rows = rows.withColumn("_h", F.filter("_s", lambda s: F.coalesce(s["holds"], F.lit(False))))
+    fix = F.try_element_at("_h", F.lit(1))["fix"]
+    kind = F.when(F.col("ranges").isNull(), "none").when(F.size("_h") > 0, F.when(fix.isNotNull(), "named").otherwise("none")).when(F.exists("_s", lambda s: s.isNull()), "unreadable").otherwise("outside")
+    return rows.withColumn("fix_kind", kind).withColumn("fix", fix).drop("_vs", "_vo", "_r", "_s", "_h")
+
+
+def same_name(ecosystem: Column, name: Column) -> Column:
+    """The spelling under which an ecosystem knows a package: PyPI folds case and separators."""
+    return F.when(ecosystem == "PyPI", python_name(name)).otherwise(name)
+
+
+def advised(packages: DataFrame, batch: DataFrame, details: DataFrame) -> DataFrame:
+    """Packages with each advisory that the batch answer names for them, and what its details say.
+
+    ``packages`` (ecosystem, name, version, ...), ``batch`` (ecosystem, name, advisory),
+    ``details`` (advisory, rating, ranges). An advisory without details is reported
+    all the same: unknown ratings are low, and no fix is named.
+    """
+    key = same_name(F.col("ecosystem"), F.col("name"))
+    known = batch.select("ecosystem", key.alias("_key"), "advisory").distinct()
+    hits = packages.withColumn("_key", key).join(known, ["ecosystem", "_key"]).drop("_key")
+    rows = hits.join(details, "advisory", "left").withColumn("severity", severity(F.col("rating")))
+    out = None
+    for ecosystem in ORDERED:
+        part = with_fix(rows.filter(F.col("ecosystem") == ecosystem), ecosystem).drop("ranges", "rating")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def severity(rating: Column) -> Column:
     """Severity of an advisory's rating; unknown ones are low."""
     r = F.upper(rating)

@@ -34,6 +34,13 @@ def signature_similarity(a: str, b: str) -> Column:
     return 0.6 * jaccard(*map(F.array_distinct, callees)) + same("param_count", 0.2) + same("returns_value", 0.1) + same("is_async", 0.1)
 
 
+def not_nested(pairs: DataFrame) -> DataFrame:
+    """Pairs (a_file, a_start_line, a_end_line, b_...) neither of which begins inside the other; unknown places are not nested."""
+    inside = lambda x, y: F.col(f"{x}_start_line").between(F.col(f"{y}_start_line"), F.col(f"{y}_end_line"))
+    nested = (F.col("a_file") == F.col("b_file")) & (inside("a", "b") | inside("b", "a"))
+    return pairs.filter(~F.coalesce(nested, F.lit(False)))
+
+
 def structural_classes(functions: DataFrame, least_tokens: int) -> DataFrame:
     """(id, shash, members) of functions that share their structure with another.
 

@@ -137,13 +137,16 @@ def dead_exports(exports: DataFrame, edges: DataFrame) -> DataFrame:
     return exports.join(importers, "rel", "left_semi").join(whole, "rel", "left_anti").join(by_name, ["rel", "name"], "left_anti")
 
 
-def boundary_violations(edges: DataFrame, boundaries: list[tuple[str, str, list[str]]]) -> DataFrame:
+def boundary_violations(edges: DataFrame, boundaries: list[tuple[str, str, list[str], list[str]]]) -> DataFrame:
     """(from_rel, line, to_rel, label) of edges from a zone to a place it must not import.
 
-    Boundaries come from the configuration, so each becomes a literal predicate and
-    the edges are read once.
+    A boundary (label, zone, forbidden, allowed) names what is forbidden or, where
+    that is empty, all that is allowed besides the zone itself. Boundaries come from
+    the configuration, so each becomes a literal predicate and the edges are read once.
     """
-    labels = F.array_compact(F.array(*[F.when(matches_any(F.col("from_rel"), [zone]) & matches_any(F.col("to_rel"), forbid), F.lit(label)) for label, zone, forbid in boundaries]))
+    to = F.col("to_rel")
+    crossed = lambda zone, forbid, allow: matches_any(to, forbid) if forbid else ~matches_any(to, [*allow, zone])
+    labels = F.array_compact(F.array(*[F.when(matches_any(F.col("from_rel"), [zone]) & crossed(zone, forbid, allow), F.lit(label)) for label, zone, forbid, allow in boundaries]))
     return edges.filter("to_rel is not null").select("from_rel", "line", "to_rel", F.explode(labels).alias("label")).distinct()
 
 

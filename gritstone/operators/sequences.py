@@ -52,6 +52,13 @@ def surely_unchanged(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.filter(known).join(before.filter(known).select("rel", "size", "mtime"), ["rel", "size", "mtime"], "left_semi").select("rel").distinct()
 
 
+def refreshed(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(rel, size, mtime) of files of the same known content whose known size or time is not what was stored."""
+    was = before.filter("content_hash is not null").select("rel", "content_hash", F.col("size").alias("_s"), F.col("mtime").alias("_m"))
+    rows = now.filter("size > 0 and mtime > 0").join(was, ["rel", "content_hash"])
+    return rows.filter(~(F.col("size").eqNullSafe(F.col("_s")) & F.col("mtime").eqNullSafe(F.col("_m")))).select("rel", "size", "mtime")
+
+
 def served(files: DataFrame, cache: DataFrame, rules: list[str], config: str) -> DataFrame:
     """(rel) of files whose cached results may be used: same content and configuration, every rule present."""
     hits = cache.filter((F.col("config_hash") == config) & F.col("rule").isin(*rules)).select("rel", "content_hash", "rule").distinct()

@@ -11,7 +11,7 @@ from gritstone.plans.resolution import resolver_sql
 from gritstone.session import table
 
 ENTRIES = ["app/**", "**/app/**", "index.*", "**/index.*", "**/*.test.*", "**/tests/**", "**/*.config.*", "**/scripts/**", "**/bin/**"]
-BOUNDARIES = [("server-from-lib", "*/lib/**", ["*/server/**"]), ("vendor-from-src", "*/src/**", ["*/vendor/**", "*/src/vendor/**"])]
+BOUNDARIES = [("server-from-lib", "*/lib/**", ["*/server/**"], []), ("vendor-from-src", "*/src/**", ["*/vendor/**", "*/src/vendor/**"], []), ("scripts-alone", "*/scripts/**", [], ["*/lib/**", "*/src/**"])]
 RULES = ["leftover-debug"]
 CAP = 3
 SINCE = "2024-01-03"
@@ -168,7 +168,7 @@ ORACLE_SQL = {
     "current_files": f"WITH {_F} SELECT rel, indexed_at, content_hash FROM c",
     "dead_file": f"WITH {_E}, {_F} SELECT rel FROM c WHERE NOT regexp_matches(rel, '{_ENTRY}') AND rel NOT IN (SELECT to_rel FROM e WHERE to_rel IS NOT NULL)",
     "dead_export": f"WITH {_E}, {_dead_sql()} SELECT rel, name FROM x WHERE EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel AND (e.name = x.name OR e.name = '*'))",
-    "boundary_violation": f"WITH {_E}, b AS (SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/lib/.*$') AND regexp_matches(to_rel, '^.*/server/.*$') THEN 'server-from-lib' END AS label FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/src/.*$') AND regexp_matches(to_rel, '^.*/vendor/.*$|^.*/src/vendor/.*$') THEN 'vendor-from-src' END FROM e) SELECT DISTINCT from_rel, line, to_rel, label FROM b WHERE label IS NOT NULL AND to_rel IS NOT NULL",
+    "boundary_violation": f"WITH {_E}, b AS (SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/lib/.*$') AND regexp_matches(to_rel, '^.*/server/.*$') THEN 'server-from-lib' END AS label FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/src/.*$') AND regexp_matches(to_rel, '^.*/vendor/.*$|^.*/src/vendor/.*$') THEN 'vendor-from-src' END FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/scripts/.*$') AND NOT regexp_matches(to_rel, '^.*/lib/.*$|^.*/src/.*$|^.*/scripts/.*$') THEN 'scripts-alone' END FROM e) SELECT DISTINCT from_rel, line, to_rel, label FROM b WHERE label IS NOT NULL AND to_rel IS NOT NULL",
     "edges_neighbours": f"WITH {_E}, s AS (SELECT DISTINCT rel FROM parsed_files WHERE has_error AND rel IS NOT NULL), p AS (SELECT DISTINCT from_rel, to_rel FROM e WHERE to_rel IS NOT NULL) SELECT rel FROM s UNION SELECT to_rel FROM p WHERE from_rel IN (SELECT rel FROM s) UNION SELECT from_rel FROM p WHERE to_rel IN (SELECT rel FROM s) AND from_rel IS NOT NULL",
     "resolve_ranked": f"WITH {_E}, {resolver_sql('e')} SELECT edge_id, target FROM resolved",
     "departed_edges": f"WITH {_E}, g AS (SELECT DISTINCT rel FROM files WHERE rel IS NOT NULL AND rel NOT IN (SELECT rel FROM removed_files WHERE rel IS NOT NULL)), k AS (SELECT CASE WHEN to_rel IS NOT NULL AND to_rel NOT IN (SELECT rel FROM g) THEN 'unresolved' ELSE resolution END AS resolution, CASE WHEN to_rel IN (SELECT rel FROM g) THEN to_rel END AS to_rel FROM e WHERE from_rel IN (SELECT rel FROM g)) SELECT resolution, count(*) AS edges, count(to_rel) AS targets FROM k GROUP BY resolution",

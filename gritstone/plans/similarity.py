@@ -85,7 +85,21 @@ def planted_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.recall_by_kind(E.planted(table(spark, sf_dir, "function_records")), 3, PLANTED)
 
 
-QUERIES = {f.__name__: f for f in (structural_dupes, structure_hash, pair_buckets, duplicate_pairs, signature_scores, precision_recall_sweep, chosen_threshold, weighted_precision, gate_breakdown, pair_degrees, planted_recall)}
+def pairs_not_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pairs of functions that still exist, neither of which begins inside the other."""
+    rows = table(spark, sf_dir, "candidate_pairs").filter("a_id <> b_id").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+    f = _functions(spark, sf_dir).select("id", "file", "start_line", "end_line")
+    sides = {x: f.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "file", "start_line", "end_line")]) for x in "ab"}
+    return E.not_nested(rows.join(sides["a"], "a_id").join(sides["b"], "b_id")).select("a_id", "b_id")
+
+
+def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred pairs of the report: equal structure, then likeness, then ids."""
+    rows = _pairs(spark, sf_dir).withColumn("structural_match", F.coalesce("structural_match", F.lit(False)))
+    return rows.orderBy(F.desc("structural_match"), F.desc_nulls_last("jaccard"), "pair").limit(100).select("pair", "structural_match", "jaccard")
+
+
+QUERIES = {f.__name__: f for f in (structural_dupes, structure_hash, pair_buckets, duplicate_pairs, signature_scores, precision_recall_sweep, chosen_threshold, weighted_precision, gate_breakdown, pair_degrees, pairs_not_nested, first_pairs, planted_recall)}
 
 _P = "p AS (SELECT concat_ws('|', least(a_id, b_id), greatest(a_id, b_id)) AS pair, bool_or(structural_match) AS structural_match, max(jaccard) AS jaccard, max(sig_sim) AS sig_sim, bool_or(sig_gate) AS sig_gate FROM candidate_pairs WHERE a_id IS NOT NULL AND b_id IS NOT NULL AND a_id <> b_id GROUP BY 1)"
 _B = "CASE WHEN coalesce(structural_match, false) THEN 'structural' WHEN jaccard >= 0.6 THEN 'high' WHEN jaccard >= 0.3 THEN 'low' ELSE 'below' END"
@@ -103,6 +117,8 @@ ORACLE_SQL = {
     "chosen_threshold": f"WITH {_SWEEP} SELECT max(threshold) AS threshold, arg_max(precision, threshold) AS precision FROM w WHERE recall >= 0.9",
     "weighted_precision": f"WITH {_P}, b AS (SELECT {_B} AS stratum, sig_gate FROM p), e AS (SELECT stratum, avg(CASE WHEN sig_gate THEN 1.0 ELSE 0.0 END) AS pr FROM b WHERE sig_gate IS NOT NULL GROUP BY stratum), n AS (SELECT stratum, count(*) AS n FROM b GROUP BY stratum) SELECT round(sum(pr * n) / sum(n), 6) AS precision, count(*) AS strata FROM e JOIN n USING (stratum)",
     "gate_breakdown": f"WITH {_P} SELECT {_B} AS bucket, count(*) FILTER (WHERE sig_gate) AS yes, count(*) FILTER (WHERE NOT sig_gate) AS no, count(*) FILTER (WHERE sig_gate IS NULL) AS unknown FROM p GROUP BY 1",
+    "pairs_not_nested": f"WITH {_FN}, q AS (SELECT DISTINCT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id FROM candidate_pairs WHERE a_id <> b_id) SELECT a_id, b_id FROM q JOIN f a ON a_id = a.id JOIN f b ON b_id = b.id WHERE NOT coalesce(a.file = b.file AND (b.start_line BETWEEN a.start_line AND a.end_line OR a.start_line BETWEEN b.start_line AND b.end_line), false)",
+    "first_pairs": f"WITH {_P} SELECT pair, coalesce(structural_match, false) AS structural_match, jaccard FROM p ORDER BY coalesce(structural_match, false) DESC, jaccard DESC NULLS LAST, pair LIMIT 100",
     "pair_degrees": "WITH r AS (SELECT a_id AS x, b_id AS y FROM candidate_pairs WHERE structural_match AND a_id <> b_id UNION SELECT b_id, a_id FROM candidate_pairs WHERE structural_match AND a_id <> b_id) SELECT x AS id, count(*) AS links FROM r GROUP BY x",
 }
 

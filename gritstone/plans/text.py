@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar as S
+from gritstone.functions import secrets
 from gritstone.operators import imports, verdict
 from gritstone.plans.findings import _LINES
 from gritstone.plans.resolution import resolver_sql
@@ -28,6 +29,8 @@ STATEMENTS = {
     "dynamic": r"()\bimport\(\s*['\"]([^'\"\n]+)['\"]\s*\)",
 }
 DECLARED = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+|const\s+|class\s+|def\s+)([A-Za-z_$][\w$]*)"
+LITERAL = r"['\"]([A-Za-z0-9+/=_.-]{16,80})['\"]"
+BASIC = r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})"
 INTENT = ("load", "handle", "frame")
 TEST_FILE = r"(^|/)__tests__/|\.(?:test|spec)\."
 TEST_FOLDER = r"(^|/)(?:test|tests|__tests__|spec)/|[._-](?:test|spec)\.[^/]*$"
@@ -269,6 +272,26 @@ def entropy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rel", S.masked(F.col("value")).alias("mask"), F.sha2("value", 256).alias("hash"), F.round(S.shannon(F.col("value")), 6).alias("entropy"))
 
 
+def generated_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct long string literals and whether they look generated, or are filler."""
+    literal = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LITERAL), 1)))
+    rows = _texts(spark, sf_dir).select("rel", F.explode(S.lines(F.col("source"))).alias("text")).select("rel", literal.alias("value")).distinct()
+    return rows.select("rel", F.sha2("value", 256).alias("hash"), secrets.looks_generated(F.col("value")).alias("generated"), secrets.is_filler(F.col("value")).alias("filler"))
+
+
+def basic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel, line, pair) of basic headers in text and quoted lines, and whether each decodes to a user and a password."""
+    lines = source_lines(spark, sf_dir).union(_quoted(spark, sf_dir))
+    rows = lines.select("rel", "line", F.explode(F.regexp_extract_all("text", F.lit(BASIC), 1)).alias("value")).distinct()
+    return rows.select("rel", "line", secrets.decodes_to_a_pair(F.col("value")).alias("pair"))
+
+
+def gated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of files in a language that their repository reads."""
+    read = language_gate(spark, sf_dir).select(F.col("rel").alias("file")).distinct()
+    return verdict.one_per_id(table(spark, sf_dir, "findings")).join(read, "file", "left_semi").select("id", "file")
+
+
 def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two notions of a test file, and the path without its ending."""
     rows = _texts(spark, sf_dir).select("rel").distinct()
@@ -277,7 +300,7 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (files_index, language_gate, line_counts, line_ordinals, agent_markers, leftover_debug, comment_blocks, weak_random, swallowed_errors, import_lines, unused_imports, made_imports, made_edges, declared_names, exported_names, symbol_search, name_words, entropy_gate, path_predicates)
+    for f in (files_index, language_gate, line_counts, line_ordinals, agent_markers, leftover_debug, comment_blocks, weak_random, swallowed_errors, import_lines, unused_imports, made_imports, made_edges, declared_names, exported_names, symbol_search, name_words, entropy_gate, generated_literals, basic_pairs, gated_findings, path_predicates)
 }
 
 _LANG = r"""CASE WHEN regexp_matches(rel, '\.d\.[mc]?ts$|\.pyi$') THEN NULL WHEN regexp_matches(rel, '\.tsx$') THEN 'tsx' WHEN regexp_matches(rel, '\.[mc]?ts$') THEN 'typescript'
@@ -328,5 +351,8 @@ ORACLE_SQL = {
     "symbol_search": f"WITH f AS (SELECT DISTINCT id, file, name, start_line FROM function_records WHERE name IS NOT NULL), o AS (SELECT *, CAST(len(list_intersect(list_distinct({_WORDS}), ['load', 'handle', 'frame'])) AS BIGINT) AS overlap FROM f) SELECT id, name, overlap FROM o WHERE overlap > 0 ORDER BY overlap DESC, file, start_line, name, id LIMIT 10",
     "name_words": f"WITH f AS (SELECT DISTINCT id, name FROM function_records WHERE name IS NOT NULL), w AS (SELECT DISTINCT id, unnest({_WORDS}) AS word FROM f) SELECT word, count(*) AS functions FROM w GROUP BY word",
     "entropy_gate": rf"""WITH {_LINES}, v AS (SELECT DISTINCT rel, unnest(regexp_extract_all(text, '[''"]([A-Za-z0-9+/=_-]{{24,80}})[''"]', 1)) AS value FROM lines), c AS (SELECT rel, value, unnest(string_split(value, '')) AS ch FROM v), n AS (SELECT rel, value, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY rel, value, ch) SELECT rel, concat(substr(value, 1, 4), '...(', CAST(length(value) AS VARCHAR), ' chars)') AS mask, sha256(value) AS hash, round(-sum(k / CAST(length(value) AS DOUBLE) * log2(k / CAST(length(value) AS DOUBLE))), 6) AS entropy FROM n GROUP BY rel, value""",
+    "generated_literals": rf"""WITH {_LINES}, v AS (SELECT DISTINCT rel, unnest(regexp_extract_all(text, '{LITERAL.replace("'", "''")}', 1)) AS value FROM lines), c AS (SELECT rel, value, unnest(string_split(value, '')) AS ch FROM v), n AS (SELECT rel, value, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY rel, value, ch), e AS (SELECT rel, value, -sum(k / CAST(length(value) AS DOUBLE) * log2(k / CAST(length(value) AS DOUBLE))) AS bits FROM n GROUP BY rel, value), w AS (SELECT *, array_to_string(list_transform(range(1, length(value)), lambda i: CASE ascii(substr(value, i + 1, 1)) - ascii(substr(value, i, 1)) WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END), '') AS walk FROM e) SELECT rel, sha256(value) AS hash, length(value) >= 20 AND NOT (contains(value, '://') OR starts_with(value, 'www.') OR regexp_matches(value, '{secrets.PATH}') OR contains(substr(value || value, 2, 2 * length(value) - 2), value) OR contains(walk, '+++++') OR contains(walk, '-----') OR regexp_matches(value, '{secrets.STAND_IN}')) AND (regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^A-Za-z0-9]')::INT) >= 3 AND round(bits, 9) >= 3.5 AS generated, round(bits, 9) < 2.0 AS filler FROM w""",
+    "basic_pairs": rf"WITH {_LINES}, a AS (SELECT rel, line, text FROM lines UNION ALL SELECT file, CAST(span.start_line AS BIGINT), evidence FROM findings WHERE evidence IS NOT NULL AND file IS NOT NULL), v AS (SELECT DISTINCT rel, line, unnest(regexp_extract_all(text, '{BASIC}', 1)) AS value FROM a) SELECT rel, line, coalesce(regexp_matches(try(decode(from_base64(value))), '^[ -9;-~]+:[ -~]+$'), false) AS pair FROM v",
+    "gated_findings": f"WITH {_SRC}, g AS (SELECT rel, {_LANG} AS language, split_part(rel, '/', 1) AS repo FROM s), r AS (SELECT repo, bool_or(php_enabled) AS php, bool_or(python_enabled) AS py FROM repos GROUP BY repo), k AS (SELECT rel FROM g LEFT JOIN r USING (repo) WHERE language IS NOT NULL AND CASE language WHEN 'php' THEN coalesce(php, false) WHEN 'python' THEN coalesce(py, false) ELSE true END) SELECT DISTINCT id, file FROM findings WHERE id IS NOT NULL AND file IN (SELECT rel FROM k)",
     "path_predicates": rf"WITH s AS (SELECT DISTINCT rel FROM parsed_files WHERE rel IS NOT NULL AND source IS NOT NULL) SELECT rel, regexp_matches(rel, '{TEST_FILE}') AS test_file, regexp_matches(rel, '{TEST_FOLDER}') AS test_folder, regexp_replace(rel, '\.[^./]*$', '') AS stem FROM s",
 }

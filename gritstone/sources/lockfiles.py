@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalar import lines
+from gritstone.functions.scalar import lines, python_name
 
 # The file each manager writes and the ecosystem of its names.
 LOCKS = {
@@ -35,11 +35,6 @@ def _packages(rows: DataFrame, ecosystem: str) -> DataFrame:
     return rows.filter("name <> '' and version <> ''").select("lock_rel", "name", "version", F.col("line").cast("int"), F.lit(ecosystem).alias("ecosystem"))
 
 
-def python_name(name: Column) -> Column:
-    """Lower case, runs of separators as one hyphen."""
-    return F.lower(F.regexp_replace(name, "[-_.]+", "-"))
-
-
 def npm(files: DataFrame) -> DataFrame:
     """The ``packages`` map; links and folders of the workspace itself are no packages."""
     schema = "packages map<string, struct<version: string, link: boolean>>"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gritstone.functions import scalar, versions
+from gritstone.functions import scalar, secrets, versions
 from gritstone.operators import advisories, evaluation, imports, orphans, sequences, verdict
 from gritstone.plans import similarity, text
 from gritstone.sources import lockfiles, repository
@@ -81,6 +81,29 @@ def test_ranges(spark):
     assert got == [("0.5", "B", None), ("1.5", "A", "2.0"), ("1.5", "B", None), ("3.1", "D", None)]
 
 
+def test_ranges_of_ecosystems(spark):
+    ranges = [("GIT", [("introduced", "0")]), ("ECOSYSTEM", [("introduced", "1.0"), ("fixed", "2.0")]), ("SEMVER", [("introduced", "3")])]
+    rows = [("1.5", ranges), ("1.0rc1", ranges), ("3.1", ranges), ("2.5", ranges[1:]), ("x", ranges), ("1.5", []), ("1.5", None)]
+    frame = spark.createDataFrame(rows, "version string, ranges array<struct<type:string,events:array<struct<kind:string,version:string>>>>")
+    got = {e: [(r.fix_kind, r.fix) for r in advisories.with_fix(frame, e).collect()] for e in ("PyPI", "npm")}
+    assert got["PyPI"] == [("named", "2.0"), ("unreadable", None), ("none", None), ("outside", None), ("unreadable", None), ("outside", None), ("none", None)]
+    assert got["npm"] == [("unreadable", None), ("unreadable", None), ("none", None), ("unreadable", None), ("unreadable", None), ("outside", None), ("none", None)]
+    packs = spark.createDataFrame([("PyPI", "zope.Interface", "1.5"), ("npm", "left-pad", "1")], "ecosystem string, name string, version string")
+    batch = spark.createDataFrame([("PyPI", "Zope_interface", "A"), ("PyPI", "zope-interface", "A"), ("npm", "left_pad", "B"), ("npm", "left-pad", "C")], "ecosystem string, name string, advisory string")
+    details = spark.createDataFrame([("A", "High", ranges)], "advisory string, rating string, ranges array<struct<type:string,events:array<struct<kind:string,version:string>>>>")
+    hits = advisories.advised(packs, batch, details).select("advisory", "severity", "fix_kind", "fix")
+    assert values(hits) == [("A", "high", "named", "2.0"), ("C", "low", "none", None)]
+
+
+def test_values_that_may_be_credentials(spark):
+    want = {"Zk3vX9qLm2Rt8WcYb5Nd7Hs1": True, "Zk3vX9qLm2Rt8W": False, "abcABC123abcABC123abcABC123": False, "src/components/App_v2.tsx": False, "Zk3vX9q123456t8WcYb5Nd7": False, "https://a.B1/zk3vX9qLm2Rt8": False, "myTestKey3vX9qLm2Rt8WcY": False, "zk3vx9qlm2rt8wcyb5nd7hs1": False, "": False}
+    rows = spark.createDataFrame([(v,) for v in [*want, None]], "v string").select("v", secrets.looks_generated(F.col("v")).alias("x"))
+    assert {r.v: r.x for r in rows.collect()} == {**want, None: False}
+    assert one(spark, secrets.is_filler(F.lit("xxxxxxxxxxxx"))) and not one(spark, secrets.is_filler(F.lit("abcdefgh")))
+    pairs = {"dXNlcjpwYXNz": True, "OnBhc3M=": False, "dXNlcjo=": False, "bm9wZQ==": False, "/////w==": False, "a": False}
+    assert {v: one(spark, secrets.decodes_to_a_pair(F.lit(v))) for v in pairs} == pairs
+
+
 FINDING = "id string, rule string, severity string, confidence string, file string, span struct<start_line:int,start_col:int,end_line:int,end_col:int>, evidence string"
 
 
@@ -130,7 +153,7 @@ def test_graph(spark):
     exports = spark.createDataFrame([("b.ts", "x"), ("b.ts", "y"), ("a.ts", "main"), ("d/index.ts", "q")], "rel string, name string")
     assert values(imports.dead_exports(exports, e)) == [("b.ts", "y")]
     assert values(imports.neighbours(e, spark.createDataFrame([("b.ts",)], "rel string"))) == [("a.ts",), ("b.ts",), ("c.ts",), ("d/index.ts",)]
-    assert values(imports.boundary_violations(e, [("no-d", "*", ["d/**"])]).select("from_rel", "label")) == [("b.ts", "no-d")]
+    assert values(imports.boundary_violations(e, [("no-d", "*", ["d/**"], []), ("only-b", "a.ts", [], ["b.*"]), ("only-c", "c.ts", [], ["c/**"])]).select("from_rel", "label")) == [("b.ts", "no-d"), ("c.ts", "only-c")]
     left = imports.without_departed(e, files.filter("rel <> 'b.ts'"))
     assert values(left.select("from_rel", "to_rel", "resolution")) == [("a.ts", None, "unresolved"), ("c.ts", None, "unresolved"), ("d/index.ts", None, "resolved")]
     got = dict(values(imports.resolved(e, files)))
@@ -252,6 +275,16 @@ def test_sequences(spark):
     assert values(sequences.served(files, cache, ["r", "s"], "k")) == [("a",)]
     stat = spark.createDataFrame([("a", 1, 1), ("b", 0, 1), ("c", 2, None)], "rel string, size long, mtime long")
     assert values(sequences.surely_unchanged(stat, stat)) == [("a",)]
+    kept = "rel string, content_hash string, size int, mtime int"
+    seen = spark.createDataFrame([("a", "1", 5, 5), ("b", "1", 5, 5), ("c", "1", 0, 5), ("d", None, 5, 5), ("e", "1", 5, 6)], kept)
+    stored = spark.createDataFrame([("a", "1", 5, 5), ("b", "2", 4, 4), ("c", "1", 4, 4), ("d", None, 4, 4), ("e", "1", None, 6)], kept)
+    assert values(sequences.refreshed(seen, stored)) == [("e", 5, 6)]
+
+
+def test_nested_pairs(spark):
+    rows = [("outer", "f", 1, 9, "f", 3, 4), ("inner", "f", 3, 4, "f", 1, 9), ("after", "f", 1, 2, "f", 3, 4), ("other", "f", 1, 9, "g", 3, 4), ("unknown", "f", None, 9, "f", 3, None)]
+    pairs = spark.createDataFrame(rows, "n string, a_file string, a_start_line int, a_end_line int, b_file string, b_start_line int, b_end_line int")
+    assert values(evaluation.not_nested(pairs).select("n")) == [("after",), ("other",), ("unknown",)]
 
 
 def test_evaluation(spark):
