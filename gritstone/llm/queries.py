@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.found_pairs(table(spark, sf_dir, "function_records"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.linked_classes(table(spark, sf_dir, "function_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.foreign_files(table(spark, sf_dir, "parsed_files"), table(spark, sf_dir, "files"))
 
@@ -68,7 +72,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p3_found, p3_labels, p5_found, p5_rates, p6_found, p6_redacted, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)
+    for f in (p1_found, p2_found, p2_classes, p3_found, p3_labels, p5_found, p5_rates, p6_found, p6_redacted, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -404,3 +404,21 @@ def found_pairs(functions: DataFrame, settings: JoinSettings = FUNCTIONS) -> Dat
     within = left.join(right, (F.col("a") == F.col("b")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id")
     ordered = across.filter("x <> y").select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
     return ordered.union(within).distinct()
+
+
+def linked_classes(functions: DataFrame, settings: JoinSettings = FUNCTIONS) -> DataFrame:
+    """(id, class_id, links) of functions of enough tokens that have a copy or a near copy: the form of the result for any number of copies.
+
+    Functions of one set of word runs are one class, named by its smallest id;
+    ``links`` counts the other classes alike enough. A text copied a million times
+    is a million rows, not their pairs; no link between different texts is lost.
+    """
+    long = functions.filter(F.size("toks") >= MIN_TOKENS).select("id", F.col("source").alias("text"))
+    links, members = similarity_join(long, settings)
+    links, members = checkpointed(links), checkpointed(members)
+    ends = links.select(F.col("a").alias("n"), F.col("a_rep").alias("rep")).union(links.select("b", "b_rep"))
+    degrees = ends.groupBy("n").agg(F.min("rep").alias("rep"), F.count("*").alias("links"))
+    reps = members.groupBy("n").agg(F.min("id").alias("class_id"))
+    copied = members.join(reps, "n").join(degrees.select("n", "links"), "n", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    alone = degrees.join(reps, "n", "left_anti").select(F.col("rep").alias("id"), F.col("rep").alias("class_id"), "links")
+    return copied.union(alone)

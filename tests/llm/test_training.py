@@ -82,6 +82,12 @@ def test_similar_functions(spark):
     want = sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6)
     assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
     assert values(simjoin.found_pairs(frame.limit(0))) == []
+    classes = {r.id: (r.class_id, r.links) for r in simjoin.linked_classes(frame, simjoin.JoinSettings(similarity=0.6, shingle=3, leaf=8, depth=3, block=16)).collect()}
+    assert set(classes) == {x for pair in got for x in pair}
+    assert {classes[f"copy{k}"][0] for k in range(4)} == {"copy0"} and classes["f000"][0] == "copy0"
+    distinct = {(sets[a], sets[b]) for a, b in got if sets[a] != sets[b]} | {(sets[b], sets[a]) for a, b in got if sets[a] != sets[b]}
+    assert all(n == sum(x == sets[i] for x, _ in distinct) for i, (_, n) in classes.items())
+    assert values(simjoin.linked_classes(frame.limit(0))) == []
 
 
 def test_draws_reach_the_recall_at_the_deepest_level():
