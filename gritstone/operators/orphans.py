@@ -1,7 +1,8 @@
 """References to records that do not exist, or not yet, or no longer.
 
 Keys are dictionary-encoded as integers, one code for every stretch of time over
-which a key is steadily present or absent. Compressed bitmaps per key range and
+which a key is steadily present or absent; until they have a code, paths travel as
+hashes of 96 bits. Compressed bitmaps per key range and
 period hold the codes that are referenced; bitmaps per key range hold the codes of
 present parents. Reference AND-NOT parent leaves the dangling codes, which are
 decoded back to the rows that made the reference.
