@@ -72,6 +72,23 @@ def ranked(findings: DataFrame, within: str) -> DataFrame:
     return out.withColumn("place", (F.col("_own") + F.col("_before")).cast("long")).drop(*keys, "_part", "_own", "_w", "_p", "_before")
 
 
+def assembled(stored: DataFrame, fresh: DataFrame, graph: DataFrame, unchanged: DataFrame) -> DataFrame:
+    """(id, rule, rel, origin): stored findings of ``unchanged`` files (rel), fresh ones of all others, and all of the graph.
+
+    Findings are (id, rule, rel). An id that comes from several sources counts once,
+    the stored one first. Rows without an id are left out.
+    """
+    same = unchanged.select("rel").distinct()
+    parts = [
+        stored.join(same, "rel", "left_semi").select("id", "rule", "rel", F.lit("stored").alias("origin"), F.lit(1).alias("_o")),
+        fresh.join(same, "rel", "left_anti").select("id", "rule", "rel", F.lit("fresh").alias("origin"), F.lit(2).alias("_o")),
+        graph.select("id", "rule", "rel", F.lit("graph").alias("origin"), F.lit(3).alias("_o")),
+    ]
+    rows = parts[0].union(parts[1]).union(parts[2]).filter("id is not null")
+    first = rows.groupBy("id").agg(F.min(F.struct("_o", "rule", "rel", "origin")).alias("v"))
+    return first.select("id", "v.rule", "v.rel", "v.origin")
+
+
 def in_scope(findings: DataFrame, scope: DataFrame) -> DataFrame:
     """Findings of files in ``scope`` (rel)."""
     return findings.join(scope.select(F.col("rel").alias("file")).distinct(), "file", "left_semi")

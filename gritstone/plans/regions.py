@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar as S
-from gritstone.operators import evaluation, imports, regions, sequences
+from gritstone.operators import evaluation, imports, regions, sequences, testcases, verdict
 from gritstone.plans.findings import _LINES
-from gritstone.plans.graph import _E, _F, _P
+from gritstone.plans.graph import _E, _F, _P, dead_export
 from gritstone.plans.resolution import candidates_sql, modules_sql
 from gritstone.plans.similarity import _pairs
-from gritstone.plans.text import language, source_lines
+from gritstone.plans.text import agent_markers, language, source_lines
 from gritstone.session import table
 
 ALIASES = [("@umbra/*", ["umbra-*/src", "umbra-mono/packages/*"]), ("@umbra/kit", ["umbra-kit/lib", "umbra-kit/src"]), ("@*", ["packages/*"])]
@@ -51,6 +51,45 @@ def related_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.families(links, F.col("name").rlike(r"(^|/)index\.")).select(F.col("name").alias("rel"), "family")
 
 
+def _written_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel, source): a test file written for every file with functions, one case a function.
+
+    Every fifth case is skipped and a case asserts as often as its function has
+    parameters, so what is read back can be told from the functions.
+    """
+    rows = table(spark, sf_dir, "function_records").filter("id is not null and file is not null and name is not null").select("id", "file", "name", "start_line", "param_count").distinct()
+    skip = F.when(F.col("start_line") % 5 == 0, ".skip").when(F.col("start_line") % 5 == 1, ".only").otherwise("")
+    body = F.repeat(F.lit("  expect(made).toBe(1);\n"), F.coalesce("param_count", F.lit(0)))
+    case = F.concat(F.lit("it"), skip, F.lit("('"), F.col("name"), F.lit("', () => {\n  const made = run();\n"), body, F.lit("});\n"))
+    # One case a function of the file.
+    files = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", case.alias("case")))).alias("cases"))
+    return files.select(F.concat(F.regexp_replace("file", r"\.[^./]*$", ""), F.lit(".test.ts")).alias("rel"), F.concat(F.lit("import { run } from './run';\n"), F.array_join(F.transform("cases", lambda c: c["case"]), "")).alias("source"))
+
+
+def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of written test files, read back: how many of each name, skipped or not, and their assertions."""
+    found = testcases.cases(_written_tests(spark, sf_dir).filter(testcases.is_test_file(F.col("rel"))))
+    return found.groupBy("rel", "name", "skipped").agg(F.count("*").alias("cases"), F.sum("assertions").alias("assertions"))
+
+
+def asserting_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of the written test files that run and assert nothing."""
+    found = testcases.without_assertion(testcases.cases(_written_tests(spark, sf_dir)))
+    return found.groupBy("rel").agg(F.count("*").alias("cases"))
+
+
+def assembled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list from three sources: stored findings of unchanged files, fresh ones of the others, and those of the graph."""
+    files = table(spark, sf_dir, "files")
+    gone = sequences.changed(imports.current_files(files), imports.current_files(files.filter(F.col("indexed_at") < BEFORE)), "rel", "content_hash").select("rel")
+    unchanged = imports.current_files(files).select("rel").join(gone, "rel", "left_anti")
+    stored = table(spark, sf_dir, "findings").select("id", "rule", F.col("file").alias("rel"))
+    fresh = agent_markers(spark, sf_dir).select("id", F.lit("leftover-agent-marker").alias("rule"), "rel")
+    dead = dead_export(spark, sf_dir)
+    graph = dead.select(S.finding_id(F.lit("dead-export"), F.col("rel"), F.col("name")).alias("id"), F.lit("dead-export").alias("rule"), "rel")
+    return verdict.assembled(stored, fresh, graph, unchanged).select("id", "rule", "rel", "origin")
+
+
 def label_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs to be labelled, so many of each bucket."""
     rows = _pairs(spark, sf_dir).withColumn("bucket", evaluation.bucket())
@@ -120,7 +159,7 @@ def changed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (finding_owner, line_owners, related_families, label_sample, unreachable_lines, alias_targets, workspace_targets, token_roles, address_strength, rule_scores, cache_rows, changed_scope)
+    for f in (finding_owner, line_owners, related_families, label_sample, test_cases, asserting_nothing, assembled_findings, unreachable_lines, alias_targets, workspace_targets, token_roles, address_strength, rule_scores, cache_rows, changed_scope)
 }
 
 _NARROW = "row_number() OVER (PARTITION BY {0} ORDER BY f.end_line - f.start_line, f.start_line DESC, f.id)"
@@ -128,10 +167,14 @@ _FN = "f AS (SELECT DISTINCT id, file, start_line, end_line FROM function_record
 _A = ADDRESS.replace("'", "''")
 _PAIRS = "p AS (SELECT concat_ws('|', least(a_id, b_id), greatest(a_id, b_id)) AS pair, bool_or(structural_match) AS sm, max(jaccard) AS j FROM candidate_pairs WHERE a_id IS NOT NULL AND b_id IS NOT NULL AND a_id <> b_id GROUP BY 1)"
 
+_TESTS = r"t AS (SELECT regexp_replace(file, '\.[^./]*$', '') || '.test.ts' AS rel, name, start_line % 5 = 0 AS skipped, coalesce(param_count, 0) AS n FROM (SELECT DISTINCT id, file, name, start_line, param_count FROM function_records WHERE id IS NOT NULL AND file IS NOT NULL AND name IS NOT NULL))"
+
 ORACLE_SQL = {
     "finding_owner": f"WITH {_FN}, g AS (SELECT DISTINCT id, file, span.start_line AS line FROM findings WHERE id IS NOT NULL), o AS (SELECT g.id, f.id AS owner, {_NARROW.format('g.id')} AS k FROM g JOIN f ON f.file = g.file AND g.line BETWEEN f.start_line AND f.end_line) SELECT id, owner FROM o WHERE k = 1",
     "line_owners": f"WITH {_LINES}, {_FN}, o AS (SELECT rel, line, f.id AS owner, {_NARROW.format('rel, line')} AS k FROM lines JOIN f ON f.file = rel AND line BETWEEN f.start_line AND f.end_line) SELECT rel, owner, count(*) AS lines FROM o WHERE k = 1 GROUP BY rel, owner",
     "related_families": r"WITH RECURSIVE x AS (SELECT DISTINCT file AS a, unnest(related) AS b FROM findings WHERE file IS NOT NULL), l AS (SELECT a, b FROM x WHERE a <> b UNION SELECT b, a FROM x WHERE a <> b), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS rel, substr(min(CASE WHEN regexp_matches(b, '(^|/)index\.') THEN '0' ELSE '1' END || b), 2) AS family FROM r GROUP BY a",
+    "test_cases": f"WITH {_TESTS} SELECT rel, name, skipped, count(*) AS cases, CAST(sum(n) AS BIGINT) AS assertions FROM t GROUP BY rel, name, skipped",
+    "asserting_nothing": f"WITH {_TESTS} SELECT rel, count(*) AS cases FROM t WHERE NOT skipped AND n = 0 GROUP BY rel",
     "label_sample": f"WITH {_PAIRS}, b AS (SELECT pair, CASE WHEN sm THEN 'structural' WHEN j >= 0.6 THEN 'high' WHEN j >= 0.3 THEN 'low' ELSE 'below' END AS bucket FROM p) SELECT pair, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256(pair)) AS k FROM b) WHERE k <= {QUOTA}",
     "unreachable_lines": rf"WITH {_LINES}, pf AS (SELECT DISTINCT id AS rel, regexp_replace(source, '{PLANT}', '\1\2' || chr(10) || '\1plantedCall(1);', 'g') AS source FROM function_records WHERE id IS NOT NULL AND source IS NOT NULL), pl AS (SELECT rel, i AS line, parts[i] AS text FROM (SELECT rel, string_split_regex(regexp_replace(source, '\r?\n$', ''), '\r?\n') AS parts FROM pf) p, LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)), al AS (SELECT DISTINCT rel, line, text FROM lines UNION ALL SELECT rel, line, text FROM pl), n AS (SELECT rel, line, text, lag(text) OVER (PARTITION BY rel ORDER BY line) AS before FROM al WHERE regexp_matches(text, '\S')) SELECT rel, line FROM n WHERE regexp_matches(before, '{ENDS}') AND NOT regexp_matches(text, '{EXEMPT}') AND regexp_extract(before, '^(\s*)', 1) = regexp_extract(text, '^(\s*)', 1)",
     "alias_targets": f"WITH {_E}, t AS (SELECT edge_id, substr(specifier, 9) AS s, specifier FROM e WHERE NOT regexp_matches(specifier, '^[./]')), aw AS (SELECT edge_id, 0 AS pos, 'umbra-kit/lib' AS wanted FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 1, 'umbra-kit/src' FROM t WHERE specifier = '@umbra/kit' UNION ALL SELECT edge_id, 2, 'umbra-' || substr(specifier, 8) || '/src' FROM t WHERE starts_with(specifier, '@umbra/') UNION ALL SELECT edge_id, 3, 'umbra-mono/packages/' || substr(specifier, 8) FROM t WHERE starts_with(specifier, '@umbra/') UNION ALL SELECT edge_id, 4, 'packages/' || substr(specifier, 2) FROM t WHERE starts_with(specifier, '@')), ac AS ({candidates_sql('aw', 'edge_id, pos')}), am AS ({modules_sql()}), ab AS (SELECT edge_id, arg_min(rel, pos * 100 + k) AS target FROM ac JOIN am ON ac.path = am.rel GROUP BY edge_id) SELECT DISTINCT aw.edge_id AS edge_id, ab.target AS target FROM aw LEFT JOIN ab ON aw.edge_id = ab.edge_id",
@@ -151,3 +194,20 @@ def _rule_scores_sql() -> str:
 
 
 ORACLE_SQL["rule_scores"] = _rule_scores_sql()
+
+
+def _assembled_sql() -> str:
+    from gritstone.plans import graph, text
+
+    hashed = "substr(sha256(concat_ws(chr(31), 'dead-export', rel, name)), 1, 16)"
+    return (
+        f"WITH am AS ({text.ORACLE_SQL['agent_markers']}), de AS ({graph.ORACLE_SQL['dead_export']}), cf AS ({graph.ORACLE_SQL['changed_files']}), {_F}, "
+        "un AS (SELECT rel FROM c WHERE rel NOT IN (SELECT rel FROM cf)), "
+        "al AS (SELECT DISTINCT id, rule, file AS rel, 'stored' AS origin, 1 AS o FROM findings WHERE id IS NOT NULL AND file IN (SELECT rel FROM un) "
+        "UNION ALL SELECT id, 'leftover-agent-marker', rel, 'fresh', 2 FROM am WHERE rel NOT IN (SELECT rel FROM un) "
+        f"UNION ALL SELECT {hashed}, 'dead-export', rel, 'graph', 3 FROM de) "
+        "SELECT id, rule, rel, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, rule, rel) AS k FROM al) WHERE k = 1"
+    )
+
+
+ORACLE_SQL["assembled_findings"] = _assembled_sql()

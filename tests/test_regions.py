@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar
-from gritstone.operators import evaluation, imports, regions
+from gritstone.operators import evaluation, imports, regions, testcases, verdict
 
 
 def values(df):
@@ -98,3 +98,35 @@ def test_planted_copies(spark):
     got = {r.kind: (r.n, r.recall) for r in evaluation.recall_by_kind(evaluation.planted(rows), 3, 0.7).collect()}
     assert got["insert"] == (1, 1.0) and got["literals"] == (1, 1.0) and got["rename"] == (1, 0.0)
     assert values(evaluation.recall_by_kind(evaluation.planted(rows.limit(0)), 3, 0.7)) == []
+
+
+def test_cases_of_test_files(spark):
+    source = """import x from './x';
+describe('suite', () => {
+  it('one', () => {
+    expect(a).toBe(1);
+    assert.equal(a, 1);
+  });
+  test.skip("two", () => {});
+  xit(`three`, run);
+  it(nameFor(x), () => {
+    check();
+  });
+  it.only('five', () => { expect(1).toBe(1); });
+});
+"""
+    rows = spark.createDataFrame([("a.test.ts", source), ("b.test.ts", ""), ("c.test.ts", None), ("d.ts", "iterate(1)\n")], "rel string, source string")
+    found = testcases.cases(rows)
+    got = [tuple(r) for r in found.orderBy("line").select("name", "line", "end_line", "skipped", "assertions").collect()]
+    assert got == [("one", 3, 6, False, 2), ("two", 7, 7, True, 0), ("three", 8, 8, True, 0), ("<unnamed>", 9, 11, False, 0), ("five", 12, 13, False, 1)]
+    assert [r.name for r in testcases.without_assertion(found).collect()] == ["<unnamed>"]
+    assert sorted(r.name for r in testcases.skipped_names(found).collect()) == ["three", "two"]
+
+
+def test_assembled_findings(spark):
+    schema = "id string, rule string, rel string"
+    stored = spark.createDataFrame([("1", "r", "a"), ("2", "r", "b"), (None, "r", "a"), ("1", "r", "a")], schema)
+    fresh = spark.createDataFrame([("3", "r", "b"), ("4", "r", "a"), ("1", "s", "b")], schema)
+    graph = spark.createDataFrame([("5", "g", "a"), ("3", "g", "b")], schema)
+    got = verdict.assembled(stored, fresh, graph, spark.createDataFrame([("a",), ("a",)], "rel string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "r", "a", "stored"), ("3", "r", "b", "fresh"), ("5", "g", "a", "graph")]
