@@ -59,7 +59,7 @@ def _answers(files: DataFrame) -> DataFrame:
     return ways.groupBy("w.wanted").agg(F.min_by("rel", "w.rank").alias("target"))
 
 
-def _looked_up(wanted: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
+def find_modules(wanted: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
     """``wanted`` (keys, wanted) with the target each path leads to.
 
     Paths are looked up once each, so a path that a third of all edges want is one
@@ -79,7 +79,7 @@ def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
     """
     near = edges.filter(F.col("specifier").startswith(".") & F.col("from_rel").isNotNull())
     near = near.select("edge_id", joined_inside(F.col("from_rel"), F.col("specifier")).alias("wanted"))
-    return _looked_up(near, files, "edge_id")
+    return find_modules(near, files, "edge_id")
 
 
 def resolved_by_alias(edges: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]]) -> DataFrame:
@@ -102,7 +102,7 @@ def resolved_by_alias(edges: DataFrame, files: DataFrame, aliases: list[tuple[st
         return edges.select("edge_id", F.lit(None).cast("string").alias("target")).limit(0)
     tried = edges.filter(~spec.rlike("^[./]")).select("edge_id", F.posexplode(F.concat(*choices)).alias("pos", "path"))
     tried = tried.select("edge_id", "pos", joined_inside(F.lit(""), F.col("path")).alias("wanted"))
-    found = _looked_up(tried, files, "edge_id", "pos")
+    found = find_modules(tried, files, "edge_id", "pos")
     return found.groupBy("edge_id").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("pos"))).alias("target"))
 
 
@@ -119,13 +119,18 @@ def resolved_by_package(edges: DataFrame, files: DataFrame, packages: DataFrame)
     near = edges.filter("specifier is not null").select("edge_id", name.alias("name"), rest.alias("rest")).filter("name <> ''").join(known, "name")
     inside = F.when(F.col("rest") == "", F.coalesce("p.main", F.lit("index"))).otherwise(F.col("rest"))
     near = near.select("edge_id", joined_inside(F.concat("p.dir", F.lit("/")), inside).alias("wanted"))
-    return _looked_up(near, files, "edge_id")
+    return find_modules(near, files, "edge_id")
 
 
-def dead_files(files: DataFrame, edges: DataFrame, entry_globs: list[str]) -> DataFrame:
-    """(rel) of files that nothing imports and that are no entry points; files importing each other count as imported."""
-    imported = edges.filter("to_rel is not null").select(F.col("to_rel").alias("rel")).distinct()
-    return files.select("rel").distinct().filter(~matches_any(F.col("rel"), entry_globs)).join(imported, "rel", "left_anti")
+def dead_files(files: DataFrame, edges: DataFrame, entry_globs: list[str], entries: DataFrame | None = None) -> DataFrame:
+    """(rel) of files that nothing imports and that are no entry points, by pattern or named in ``entries`` (rel).
+
+    Files importing each other count as imported.
+    """
+    imported = edges.filter("to_rel is not null").select(F.col("to_rel").alias("rel"))
+    if entries is not None:
+        imported = imported.union(entries.select("rel"))
+    return files.select("rel").distinct().filter(~matches_any(F.col("rel"), entry_globs)).join(imported.distinct(), "rel", "left_anti")
 
 
 def dead_exports(exports: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gritstone.operators import imports as I
 from gritstone.operators import sequences as Q
-from gritstone.plans.resolution import resolver_sql
+from gritstone.plans.resolution import candidates_sql, modules_sql, resolver_sql
 from gritstone.session import table
+from gritstone.sources import manifests
 
 ENTRIES = ["app/**", "**/app/**", "index.*", "**/index.*", "**/*.test.*", "**/tests/**", "**/*.config.*", "**/scripts/**", "**/bin/**"]
 BOUNDARIES = [("server-from-lib", "*/lib/**", ["*/server/**"], []), ("vendor-from-src", "*/src/**", ["*/vendor/**", "*/src/vendor/**"], []), ("scripts-alone", "*/scripts/**", [], ["*/lib/**", "*/src/**"])]
@@ -37,6 +38,21 @@ def dead_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.dead_files(_files(spark, sf_dir), _edges(spark, sf_dir), ENTRIES)
 
 
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written for every repository: it starts from its index, its first script and its first server file."""
+    rels = _files(spark, sf_dir).select("rel", F.substring_index("rel", "/", 1).alias("top"))
+    inside = lambda folder: F.min(F.when(F.col("rel").rlike(rf"^[^/]+/{folder}/.*\.(?:[mc]?[jt]s)$"), F.regexp_replace("rel", "^[^/]+/", "")))
+    tops = rels.groupBy("top").agg(F.coalesce(inside("scripts"), F.lit("none.js")).alias("script"), F.coalesce(inside("server"), F.lit("none.js")).alias("server"))
+    text = F.format_string('{"name": "@x/%s", "main": "./src/index", "bin": {"run": "%s"}, "scripts": {"start": "node --flag ./%s && echo done"}, "workspaces": ["packages/*"]}', "top", "script", "server")
+    return manifests.manifests(tops.select(F.concat("top", F.lit("/package.json")).alias("rel"), text.alias("text")))
+
+
+def dead_file_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead files where manifests name entry points too."""
+    files = _files(spark, sf_dir)
+    return I.dead_files(files, _edges(spark, sf_dir), ENTRIES[:2], manifests.entry_files(_manifests(spark, sf_dir), files))
+
+
 def dead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gritstone.plans.text import exported_names
 
@@ -146,7 +162,7 @@ def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (current_files, dead_file, dead_export, boundary_violation, edges_neighbours, resolve_ranked, departed_edges, unresolved_importers, fan_in, edge_kinds, late_edges, changed_files, surely_unchanged, cache_serve, newly_skipped, event_runs, hook_rounds, latest_event, route_without_cover, created_unlocked, replaced_rows)
+    for f in (current_files, dead_file, dead_file_by_manifest, dead_export, boundary_violation, edges_neighbours, resolve_ranked, departed_edges, unresolved_importers, fan_in, edge_kinds, late_edges, changed_files, surely_unchanged, cache_serve, newly_skipped, event_runs, hook_rounds, latest_event, route_without_cover, created_unlocked, replaced_rows)
 }
 
 _NORM = "regexp_replace(replace({0}, '\\', '/'), '^\\./', '')"
@@ -167,6 +183,7 @@ def _dead_sql() -> str:
 ORACLE_SQL = {
     "current_files": f"WITH {_F} SELECT rel, indexed_at, content_hash FROM c",
     "dead_file": f"WITH {_E}, {_F} SELECT rel FROM c WHERE NOT regexp_matches(rel, '{_ENTRY}') AND rel NOT IN (SELECT to_rel FROM e WHERE to_rel IS NOT NULL)",
+    "dead_file_by_manifest": rf"WITH {_E}, {_F}, mt AS (SELECT split_part(rel, '/', 1) AS top, min(CASE WHEN regexp_matches(rel, '^[^/]+/scripts/.*\.(?:[mc]?[jt]s)$') THEN rel END) AS a, min(CASE WHEN regexp_matches(rel, '^[^/]+/server/.*\.(?:[mc]?[jt]s)$') THEN rel END) AS b FROM c GROUP BY 1), mw AS (SELECT top || '/src/index' AS wanted FROM mt UNION SELECT a FROM mt WHERE a IS NOT NULL UNION SELECT b FROM mt WHERE b IS NOT NULL), mc AS ({candidates_sql('mw', 'wanted')}), mm AS ({modules_sql()}), mb AS (SELECT arg_min(rel, k) AS rel FROM mc JOIN mm ON mc.path = mm.rel GROUP BY wanted) SELECT rel FROM c WHERE NOT regexp_matches(rel, '^app/.*$|^(?:.*/)?app/.*$') AND rel NOT IN (SELECT to_rel FROM e WHERE to_rel IS NOT NULL) AND rel NOT IN (SELECT rel FROM mb)",
     "dead_export": f"WITH {_E}, {_dead_sql()} SELECT rel, name FROM x WHERE EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_rel = x.rel AND (e.name = x.name OR e.name = '*'))",
     "boundary_violation": f"WITH {_E}, b AS (SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/lib/.*$') AND regexp_matches(to_rel, '^.*/server/.*$') THEN 'server-from-lib' END AS label FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/src/.*$') AND regexp_matches(to_rel, '^.*/vendor/.*$|^.*/src/vendor/.*$') THEN 'vendor-from-src' END FROM e UNION SELECT from_rel, line, to_rel, CASE WHEN regexp_matches(from_rel, '^.*/scripts/.*$') AND NOT regexp_matches(to_rel, '^.*/lib/.*$|^.*/src/.*$|^.*/scripts/.*$') THEN 'scripts-alone' END FROM e) SELECT DISTINCT from_rel, line, to_rel, label FROM b WHERE label IS NOT NULL AND to_rel IS NOT NULL",
     "edges_neighbours": f"WITH {_E}, s AS (SELECT DISTINCT rel FROM parsed_files WHERE has_error AND rel IS NOT NULL), p AS (SELECT DISTINCT from_rel, to_rel FROM e WHERE to_rel IS NOT NULL) SELECT rel FROM s UNION SELECT to_rel FROM p WHERE from_rel IN (SELECT rel FROM s) UNION SELECT from_rel FROM p WHERE to_rel IN (SELECT rel FROM s) AND from_rel IS NOT NULL",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import scalar, secrets, versions
 from gritstone.operators import advisories, evaluation, imports, orphans, sequences, verdict
 from gritstone.plans import similarity, text
-from gritstone.sources import lockfiles, repository
+from gritstone.sources import lockfiles, manifests, repository
 from gritstone.streaming import incremental
 
 
@@ -315,6 +315,28 @@ def test_lock_files(spark):
     }
 
 
+def test_manifests(spark):
+    texts = {
+        "package.json": json.dumps({"name": "root", "main": "lib/main", "module": "./m.mjs", "bin": "cli.js", "workspaces": ["packages/*", "./tools/one/"], "scripts": {"a": "tsx ./run/a.ts --x=b.json && node 'run/c.mjs'", "b": "echo"}}),
+        "packages/p/package.json": json.dumps({"name": "@s/p", "bin": {"x": "./bin/x.ts", "y": "../../../up.js"}, "workspaces": {"packages": ["q"]}}),
+        "packages/p/q/package.json": json.dumps({"name": "q", "main": "q.js"}),
+        "tools/one/package.json": json.dumps({"name": "one"}),
+        "other/package.json": "no json",
+        "x/notpackage.json": "{}",
+        "n/package.json": None,
+    }
+    found = manifests.manifests(spark.createDataFrame(list(texts.items()), "rel string, text string"))
+    got = {r.rel: (r.name, sorted(r.entries), r.workspaces) for r in found.collect()}
+    assert got["package.json"] == ("root", ["cli.js", "lib/main", "m.mjs", "run/a.ts", "run/c.mjs"], ["packages/*", "./tools/one/"])
+    assert got["packages/p/package.json"] == ("@s/p", ["packages/p/bin/x.ts"], ["q"])
+    assert got["other/package.json"] == (None, [], []) and set(got) == set(texts) - {"x/notpackage.json", "n/package.json"}
+    assert values(manifests.workspace_packages(found)) == [("@s/p", "packages/p", None), ("one", "tools/one", None), ("q", "packages/p/q", "q.js")]
+    files = spark.createDataFrame([(x,) for x in ("lib/main.ts", "cli.js", "run/a.ts", "packages/p/bin/x.ts", "loose.ts")], "rel string")
+    entries = manifests.entry_files(found, files)
+    assert values(entries) == [("cli.js",), ("lib/main.ts",), ("packages/p/bin/x.ts",), ("run/a.ts",)]
+    assert values(imports.dead_files(files, edges(spark, []), [], entries)) == [("loose.ts",)]
+
+
 def test_repository_and_baseline(spark, tmp_path):
     for name, data in {"a.ts": b"x\n", "node_modules/b.ts": b"y", "c.bin": b"\xff\xfe\x00"}.items():
         (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
