@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalar import matches_any
+from gritstone.operators.keyed import answered_by
 from gritstone.operators.orphans import joined_path, normal_path
+from gritstone.session import checkpointed
 
 
 # Endings an import may leave out in the order they are tried, and output endings with the source each may stand for.
@@ -62,12 +64,11 @@ def _answers(files: DataFrame) -> DataFrame:
 def find_modules(wanted: DataFrame, files: DataFrame, *keys: str) -> DataFrame:
     """``wanted`` (keys, wanted) with the target each path leads to.
 
-    Paths are looked up once each, so a path that a third of all edges want is one
-    row of the join; the answers go back to the edges by a join that streams them.
+    Paths are looked up once each; a path that a third of all edges want is spread.
     """
-    asked = wanted.select("wanted").filter("wanted is not null").distinct()
-    found = asked.join(_answers(files), "wanted")
-    return wanted.join(found, "wanted", "left").select(*keys, "target")
+    asked = checkpointed(wanted.select(*keys, "wanted"))
+    found = asked.select("wanted").filter("wanted is not null").distinct().join(_answers(files), "wanted")
+    return answered_by(asked, found, "wanted").select(*keys, "target")
 
 
 def resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -165,8 +166,8 @@ def neighbours(edges: DataFrame, scope: DataFrame) -> DataFrame:
 
 def without_departed(edges: DataFrame, present: DataFrame) -> DataFrame:
     """Edges of present files; those into files that went away lose their target and become unresolved."""
-    kept = edges.join(present.select(F.col("rel").alias("from_rel")).distinct(), "from_rel", "left_semi")
+    kept = checkpointed(edges.join(present.select(F.col("rel").alias("from_rel")).distinct(), "from_rel", "left_semi"))
     here = present.select(F.col("rel").alias("to_rel"), F.lit(True).alias("here")).distinct()
-    rows = kept.join(here, "to_rel", "left")
+    rows = answered_by(kept, here, "to_rel")
     gone = F.col("to_rel").isNotNull() & F.col("here").isNull()
     return rows.withColumn("resolution", F.when(gone, "unresolved").otherwise(F.col("resolution"))).withColumn("to_rel", F.when(~gone, F.col("to_rel"))).drop("here")

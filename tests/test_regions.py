@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalar
-from gritstone.operators import evaluation, imports, regions, testcases, verdict
+from gritstone.operators import evaluation, imports, keyed, regions, testcases, verdict
 
 
 def values(df):
@@ -130,3 +130,15 @@ def test_assembled_findings(spark):
     graph = spark.createDataFrame([("5", "g", "a"), ("3", "g", "b")], schema)
     got = verdict.assembled(stored, fresh, graph, spark.createDataFrame([("a",), ("a",)], "rel string"))
     assert sorted(tuple(r) for r in got.collect()) == [("1", "r", "a", "stored"), ("3", "r", "b", "fresh"), ("5", "g", "a", "graph")]
+
+
+def test_answers_for_hot_keys(spark):
+    rows = spark.range(9000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then null else concat('k', id % 50) end as key")
+    answers = spark.createDataFrame([("hot", 1), ("k5", 2), ("unused", 3)], "key string, answer int")
+    got = keyed.answered_by(rows, answers, "key")
+    assert got.count() == 9000 and got.columns == ["key", "id", "answer"]
+    want = {(r.id, {"hot": 1, "k5": 2}.get(r.key)) for r in rows.collect()}
+    assert {(r.id, r.answer) for r in got.collect()} == want
+    plain = keyed.answered_by(rows.filter("id < 90"), answers, "key")
+    assert {(r.id, r.answer) for r in plain.collect()} == {x for x in want if x[0] < 90}
+    assert keyed.answered_by(rows.limit(0), answers, "key").count() == 0
