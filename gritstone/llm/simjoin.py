@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.session import checkpointed, spread
+from gritstone.session import checkpointed, discard, spread
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
 COORDINATES = 32  # minwise tokens a path can branch on
@@ -298,14 +298,16 @@ def _in_blocks(members: DataFrame, settings: JoinSettings) -> DataFrame:
 
 
 def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of class numbers that share a small node of a tree and agree in sketch."""
+    """Distinct pairs (a, b), a < b, of class numbers that share a small node of a tree and agree in sketch; checkpointed."""
     sketch = ", ".join(f"{b} long" for b in BITS)
     node_schema, pair_schema = f"node long, n long, {sketch}", "a long, b long, over boolean"
     rows = classes.select("n", *BITS, "signature").mapInArrow(_branches(settings.branching, settings.draws), node_schema)
     found: list[DataFrame] = []
+    levels: list[DataFrame] = []
     for depth in range(settings.depth):
         compared = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(settings), pair_schema)
         compared = checkpointed(compared)
+        levels.append(compared)
         found.append(compared.filter("not over").select("a", "b"))
         large = compared.filter("over").select(F.col("a").alias("node"), F.col("b").alias("n"))
         if large.isEmpty():
@@ -318,7 +320,10 @@ def candidate_classes(classes: DataFrame, settings: JoinSettings) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.distinct()
+    out = checkpointed(out.distinct())
+    for level in levels:
+        discard(level)
+    return out
 
 
 def _grams(width: int):
@@ -373,7 +378,7 @@ def similarity_join(records: DataFrame, settings: JoinSettings = JoinSettings())
     sketched = checkpointed(spread(clean).mapInArrow(_sketches(settings.shingle), schema))
     classes = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), *[F.first(c).alias(c) for c in (*BITS, "signature")])
     classes = checkpointed(classes.withColumn("n", F.monotonically_increasing_id()))
-    pairs = checkpointed(candidate_classes(classes, settings))
+    pairs = candidate_classes(classes, settings)
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
     wanted = classes.select("n", F.col("rep").alias("id"), "h1", "h2").join(wanted, "n", "left_semi")
     grams = clean.join(wanted, "id").select("text", "n", "h1", "h2", F.col("id").alias("rep")).mapInArrow(_grams(settings.shingle), "n long, rep string, grams binary")
