@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.session import discard, shuffle_partitions, written
+from gritstone.operators.keyed import answered_by
+from gritstone.session import discard, written
 
 MAX_ROUNDS = 200
-HOT_ROWS = 1000  # a key of fewer rows is never hot
 
 
 def linked_pairs(pairs: DataFrame) -> DataFrame:
@@ -32,24 +32,12 @@ def linked_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def mapped(rows: DataFrame, key: str, pointers: DataFrame) -> DataFrame:
-    """``rows`` with every ``key`` replaced by what ``pointers`` (key, to) say; a key without one stays.
+    """``rows``, a table, with every ``key`` replaced by what ``pointers`` (key, to) say; a key without one stays.
 
-    Keys above a share of all rows, of which there are at most four times as many
-    as shuffle partitions, are spread over salts, and only their pointers are
-    repeated, so a hub is never one task's work.
+    A hub is spread over salts, so it is never one task's work.
     """
-    width = shuffle_partitions(rows.sparkSession)
-    least = max(HOT_ROWS, rows.count() // (4 * width))
     known = pointers.select(F.col("key").alias(key), F.col("to").alias("_to"))
-    hot = written(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key, F.lit(width).alias("_salts")))
-    if hot.isEmpty():
-        out = rows.join(known, key, "left")
-    else:
-        salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), "_salts")).cast("int")
-        salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
-        copies = known.join(F.broadcast(hot), key, "left").select(key, "_to", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
-        out = salted.join(copies, [key, "_salt"], "left")
-    return out.withColumn(key, F.coalesce("_to", key)).select(rows.columns)
+    return answered_by(rows, known, key, cut=written).withColumn(key, F.coalesce("_to", key)).select(rows.columns)
 
 
 def _jumped(pointers: DataFrame) -> DataFrame:
