@@ -40,6 +40,15 @@ def identifier_words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(cut, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
 
 
+# Words of a phrase that say nothing of what is looked for.
+STOP_WORDS = ("a", "an", "the", "to", "for", "of", "in", "on", "that", "is", "with", "and", "or", "function", "helper", "method")
+
+
+def telling_words(phrase: Column) -> Column:
+    """Distinct words of a phrase or identifier without those that say nothing."""
+    return F.filter(F.array_distinct(identifier_words(phrase)), lambda w: ~w.isin(*STOP_WORDS))
+
+
 def shannon(text: Column) -> Column:
     """Bits per character of a text; an empty one has none."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")

@@ -31,7 +31,9 @@ STATEMENTS = {
 DECLARED = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s+|const\s+|class\s+|def\s+)([A-Za-z_$][\w$]*)"
 LITERAL = r"['\"]([A-Za-z0-9+/=_.-]{16,80})['\"]"
 BASIC = r"\b[Bb]asic\s+([A-Za-z0-9+/]{8,}={0,2})"
-INTENT = ("load", "handle", "frame")
+INTENT = "a function to load the handleOf a frame"
+PARAMETERS = 2  # that the function looked for takes
+SYMBOL = r"^(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|const|let|var|class|type|interface|enum|def)\b\s*\*?\s*([A-Za-z_$][\w$]*)"
 TEST_FILE = r"(^|/)__tests__/|\.(?:test|spec)\."
 TEST_FOLDER = r"(^|/)(?:test|tests|__tests__|spec)/|[._-](?:test|spec)\.[^/]*$"
 
@@ -250,12 +252,23 @@ def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark, sf_dir).select("rel", F.explode(F.concat(declared, listed, default)).alias("name")).filter("name <> ''").distinct()
 
 
+def declared_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rel, line, kind, name, exported) of what is declared at the left margin, types and enumerations too."""
+    rows = source_lines(spark, sf_dir).filter(F.col("text").rlike(SYMBOL))
+    part = lambda k: F.regexp_extract("text", SYMBOL, k)
+    return rows.select("rel", "line", part(2).alias("kind"), part(3).alias("name"), (part(1) != "").alias("exported")).distinct()
+
+
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten functions whose name shares most words with an intent; ties by file, line and name."""
-    rows = table(spark, sf_dir, "function_records").filter("name is not null").select("id", "file", "name", "start_line").distinct()
-    wanted = F.array(*map(F.lit, INTENT))
-    rows = rows.withColumn("overlap", F.size(F.array_intersect(F.array_distinct(S.identifier_words(F.col("name"))), wanted)).cast("long"))
-    return rows.filter("overlap > 0").orderBy(F.desc("overlap"), "file", "start_line", "name", "id").limit(10).select("id", "name", "overlap")
+    """The ten functions that fit an intent best: of the wanted number of parameters first, then by shared words, then by place.
+
+    An unknown number of parameters fits nothing; functions without a shared word are none.
+    """
+    rows = table(spark, sf_dir, "function_records").filter("name is not null").select("id", "file", "name", "start_line", "param_count").distinct()
+    rows = rows.withColumn("overlap", F.size(F.array_intersect(F.array_distinct(S.identifier_words(F.col("name"))), S.telling_words(F.lit(INTENT)))).cast("long"))
+    fits = F.coalesce(F.col("param_count") == PARAMETERS, F.lit(False))
+    rows = rows.filter("overlap > 0").withColumn("fits", fits)
+    return rows.orderBy(F.desc("fits"), F.desc("overlap"), "file", "start_line", "name", "id").limit(10).select("id", "name", "fits", "overlap")
 
 
 def name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +313,7 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (files_index, language_gate, line_counts, line_ordinals, agent_markers, leftover_debug, comment_blocks, weak_random, swallowed_errors, import_lines, unused_imports, made_imports, made_edges, declared_names, exported_names, symbol_search, name_words, entropy_gate, generated_literals, basic_pairs, gated_findings, path_predicates)
+    for f in (files_index, language_gate, line_counts, line_ordinals, agent_markers, leftover_debug, comment_blocks, weak_random, swallowed_errors, import_lines, unused_imports, made_imports, made_edges, declared_names, declared_symbols, exported_names, symbol_search, name_words, entropy_gate, generated_literals, basic_pairs, gated_findings, path_predicates)
 }
 
 _LANG = r"""CASE WHEN regexp_matches(rel, '\.d\.[mc]?ts$|\.pyi$') THEN NULL WHEN regexp_matches(rel, '\.tsx$') THEN 'tsx' WHEN regexp_matches(rel, '\.[mc]?ts$') THEN 'typescript'
@@ -348,7 +361,8 @@ ORACLE_SQL = {
     "made_imports": f"WITH {_CLEAN}, {_MADE} SELECT rel, specifier, name, kind FROM made",
     "made_edges": f"WITH {_CLEAN}, {_MADE}, files AS (SELECT rel FROM parsed_files), e AS (SELECT DISTINCT rel || chr(31) || specifier AS edge_id, rel AS from_rel, specifier FROM made), {resolver_sql('e')} SELECT made.rel AS from_rel, target AS to_rel, made.specifier AS specifier, name, kind FROM made LEFT JOIN resolved ON resolved.edge_id = made.rel || chr(31) || made.specifier",
     "exported_names": rf"WITH {_CLEAN}, {_EXPORTED} SELECT rel, name FROM x",
-    "symbol_search": f"WITH f AS (SELECT DISTINCT id, file, name, start_line FROM function_records WHERE name IS NOT NULL), o AS (SELECT *, CAST(len(list_intersect(list_distinct({_WORDS}), ['load', 'handle', 'frame'])) AS BIGINT) AS overlap FROM f) SELECT id, name, overlap FROM o WHERE overlap > 0 ORDER BY overlap DESC, file, start_line, name, id LIMIT 10",
+    "symbol_search": f"WITH f AS (SELECT DISTINCT id, file, name, start_line, param_count FROM function_records WHERE name IS NOT NULL), o AS (SELECT *, CAST(len(list_intersect(list_distinct({_WORDS}), ['load', 'handle', 'frame'])) AS BIGINT) AS overlap, coalesce(param_count = 2, false) AS fits FROM f) SELECT id, name, fits, overlap FROM o WHERE overlap > 0 ORDER BY fits DESC, overlap DESC, file, start_line, name, id LIMIT 10",
+    "declared_symbols": rf"WITH {_LINES}, d AS (SELECT DISTINCT rel, line, text FROM lines WHERE regexp_matches(text, '{SYMBOL}')) SELECT DISTINCT rel, line, regexp_extract(text, '{SYMBOL}', 2) AS kind, regexp_extract(text, '{SYMBOL}', 3) AS name, regexp_extract(text, '{SYMBOL}', 1) <> '' AS exported FROM d",
     "name_words": f"WITH f AS (SELECT DISTINCT id, name FROM function_records WHERE name IS NOT NULL), w AS (SELECT DISTINCT id, unnest({_WORDS}) AS word FROM f) SELECT word, count(*) AS functions FROM w GROUP BY word",
     "entropy_gate": rf"""WITH {_LINES}, v AS (SELECT DISTINCT rel, unnest(regexp_extract_all(text, '[''"]([A-Za-z0-9+/=_-]{{24,80}})[''"]', 1)) AS value FROM lines), c AS (SELECT rel, value, unnest(string_split(value, '')) AS ch FROM v), n AS (SELECT rel, value, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY rel, value, ch) SELECT rel, concat(substr(value, 1, 4), '...(', CAST(length(value) AS VARCHAR), ' chars)') AS mask, sha256(value) AS hash, round(-sum(k / CAST(length(value) AS DOUBLE) * log2(k / CAST(length(value) AS DOUBLE))), 6) AS entropy FROM n GROUP BY rel, value""",
     "generated_literals": rf"""WITH {_LINES}, v AS (SELECT DISTINCT rel, unnest(regexp_extract_all(text, '{LITERAL.replace("'", "''")}', 1)) AS value FROM lines), c AS (SELECT rel, value, unnest(string_split(value, '')) AS ch FROM v), n AS (SELECT rel, value, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY rel, value, ch), e AS (SELECT rel, value, -sum(k / CAST(length(value) AS DOUBLE) * log2(k / CAST(length(value) AS DOUBLE))) AS bits FROM n GROUP BY rel, value), w AS (SELECT *, array_to_string(list_transform(range(1, length(value)), lambda i: CASE ascii(substr(value, i + 1, 1)) - ascii(substr(value, i, 1)) WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END), '') AS walk FROM e) SELECT rel, sha256(value) AS hash, length(value) >= 20 AND NOT (contains(value, '://') OR starts_with(value, 'www.') OR regexp_matches(value, '{secrets.PATH}') OR contains(substr(value || value, 2, 2 * length(value) - 2), value) OR contains(walk, '+++++') OR contains(walk, '-----') OR regexp_matches(value, '{secrets.STAND_IN}')) AND (regexp_matches(value, '[a-z]')::INT + regexp_matches(value, '[A-Z]')::INT + regexp_matches(value, '[0-9]')::INT + regexp_matches(value, '[^A-Za-z0-9]')::INT) >= 3 AND round(bits, 9) >= 3.5 AS generated, round(bits, 9) < 2.0 AS filler FROM w""",
