@@ -405,6 +405,9 @@ def analyse(texts: list[str]) -> Tokens:
     lengths = np.fromiter(map(len, found), np.int64, n) - url
     lead = codes >> _LEAD & 2**20 - 1
     newlines = codes >> _NEWLINES & 2**20 - 1
+    for k in np.flatnonzero(lead == 2**20 - 1).tolist():  # more white space than a code can tell
+        lead[k] = len(found[k]) - len(found[k].lstrip())
+        newlines[k] = found[k].count("\n", 0, lead[k])
     shapes = (codes & 63).astype(np.int16)
     text = np.repeat(np.arange(len(texts)), counts)
     heads = np.cumsum([0, *counts])[:-1]

@@ -384,6 +384,9 @@ def test_secrets_over_lines(source, lines):
         ("const x = 'socket72.report';", "const x = 'socket72.report';"),
         ("", ""),
         ("\n \n", "\n \n"),
+        ("\n" * 1_100_000 + "password = 'Winter-stone42'", "\n" * 1_100_000 + "password = 'REDACTED'"),
+        ("a = '\x01'; password = 'Winter-stone42'; \x01", "a = '\x01'; password = 'REDACTED'; \x01"),
+        ("password = 'Winter-stone42'\u2028token: 日本語", "password = 'REDACTED'\u2028token: 日本語"),
     ],
 )
 def test_redaction_of_one_line(source, clean):
