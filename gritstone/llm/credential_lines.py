@@ -183,7 +183,7 @@ class Templates:
                 lambda: f"{self.one('define', 'set', 'os.putenv')}('{self.secret_name().upper()}',\n  '{r.choice([t, p])}');",
                 lambda: f"{self.noun()}:\n  {self.secret_name()}: >-\n    {r.choice([t, p])}",
                 lambda: f"{self.one('exec', 'run', 'sh')}(`curl -H '{self.one('x-token', 'Authorization', 'x-api-key')}: {t}' {self.url('')}`)",
-                lambda: f'{self.one("console.log", "print", "logger.info")}("{self.one("token", "secret", "x-api-key")}", "{t}");',
+                lambda: f'{self.one("console.log", "print", "logger.info")}("{self.one("token", "secret", "x-api-key", "api-key", "auth")}", "{t}");',
                 lambda: f'{self.one("md5", "sha1", "hmac")}("{self.one("secret", "token", "api-key")}" + "{t}"){self.one("", ";", " is weak")}',
                 lambda: f"if ({self.secret_name()} === '{r.choice([t, p])}') {{",
                 *[lambda: self.pem(self.one("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"), True)] * 2,
