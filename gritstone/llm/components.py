@@ -37,7 +37,7 @@ def mapped(rows: DataFrame, key: str, pointers: DataFrame) -> DataFrame:
     A hub is spread over salts, so it is never one task's work.
     """
     known = pointers.select(F.col("key").alias(key), F.col("to").alias("_to"))
-    return answered_by(rows, known, key, cut=written).withColumn(key, F.coalesce("_to", key)).select(rows.columns)
+    return answered_by(rows, known, key).withColumn(key, F.coalesce("_to", key)).select(rows.columns)
 
 
 def _jumped(pointers: DataFrame) -> DataFrame:
