@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -95,6 +97,40 @@ def test_ranges_of_ecosystems(spark):
     assert values(hits) == [("A", "high", "named", "2.0"), ("C", "low", "none", None)]
 
 
+def test_numbers_too_long_for_a_key_make_no_version(spark):
+    for key in (versions.staged_key, versions.pep440_key):
+        assert order(spark, key, ["1." + "9" * 20, "2", "0" * 20 + "1.5", "1"]) == ["1", "0" * 20 + "1.5", "2"]
+    packs = spark.createDataFrame([("PyPI", "p", "1"), ("PyPI", "q", "9" * 20)], "ecosystem string, name string, version string")
+    batch = spark.createDataFrame([("PyPI", "p", "A"), ("PyPI", "q", "A")], "ecosystem string, name string, advisory string")
+    ranges = [("ECOSYSTEM", [("introduced", "0"), ("fixed", "2")])]
+    details = spark.createDataFrame([("A", "LOW", ranges)], "advisory string, rating string, ranges array<struct<type:string,events:array<struct<kind:string,version:string>>>>")
+    assert values(advisories.advised(packs, batch, details).select("name", "fix_kind", "fix")) == [("p", "named", "2"), ("q", "unreadable", None)]
+
+
+def test_hits_are_judged_by_stretches_of_versions(spark, monkeypatch):
+    """Each hit says what its ranges say of its version, whatever they hold, salted or not; ranges and versions are read before they meet."""
+    draw = random.Random(5)
+    said = ["0", "1", "1.0", "1.0.0", "1.0rc1", "1.0-rc.1", "1.0-beta2", "1.5", "v2", "2.0.post1", "2.0-p1", "3", "1!0", "junk", "", None]
+    event = lambda: None if draw.random() < 0.02 else (draw.choice(["introduced", "fixed", "last_affected", "introduced", "fixed", "limit", None]), draw.choice(said[:-3] if draw.random() < 0.95 else said))
+    span = lambda: None if draw.random() < 0.02 else (draw.choice(["SEMVER", "ECOSYSTEM", "GIT", "ECOSYSTEM", None]), None if draw.random() < 0.03 else [event() for _ in range(draw.randrange(5))])
+    details = [(f"A{i}", draw.choice(["High", "moderate", None]), None if i % 29 == 0 else [span() for _ in range(draw.randrange(4))]) for i in range(240)]
+    named = [(e, "p", f"A{i}") for i in range(250) for e in (("PyPI", "npm", "Packagist", "Go")[i % 4], "PyPI")]
+    packs = spark.createDataFrame([(k, e, "p", v) for k, (e, v) in enumerate((e, v) for e in ("PyPI", "npm", "Packagist", "Go", None) for v in said)], "id int, ecosystem string, name string, version string")
+    batch = spark.createDataFrame(named, "ecosystem string, name string, advisory string")
+    details = spark.createDataFrame(details, "advisory string, rating string, ranges array<struct<type:string,events:array<struct<kind:string,version:string>>>>")
+    plain = packs.join(batch.distinct(), ["ecosystem", "name"]).join(details, "advisory", "left")
+    want = Counter((r.id, r.advisory, r.fix_kind, r.fix) for e in ("PyPI", "npm", "Packagist") for r in advisories.with_fix(plain.filter(F.col("ecosystem") == e), e).collect())
+    assert {kind for _, _, kind, _ in want} == {"named", "none", "unreadable", "outside"} and len(want) > 4000
+    for hot in (10**9, 10):
+        monkeypatch.setattr(advisories, "HOT_HITS", hot, raising=False)
+        hits = advisories.advised(packs, batch, details)
+        assert Counter((r.id, r.advisory, r.fix_kind, r.fix) for r in hits.collect()) == want
+    # Above the join that makes the hits nothing is read, matched or joined again.
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join ")]
+    assert plan.count("Join Inner", 0, len(top) + 12) == 1 and not any(word in top for word in ("Union", "transform(", "RLIKE", "regexp"))
+
+
 def test_values_that_may_be_credentials(spark):
     want = {"Zk3vX9qLm2Rt8WcYb5Nd7Hs1": True, "Zk3vX9qLm2Rt8W": False, "abcABC123abcABC123abcABC123": False, "src/components/App_v2.tsx": False, "Zk3vX9q123456t8WcYb5Nd7": False, "https://a.B1/zk3vX9qLm2Rt8": False, "myTestKey3vX9qLm2Rt8WcY": False, "zk3vx9qlm2rt8wcyb5nd7hs1": False, "": False}
     rows = spark.createDataFrame([(v,) for v in [*want, None]], "v string").select("v", secrets.looks_generated(F.col("v")).alias("x"))
